@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeloom.llm import pairs, terms
+from gaugeloom.llm import pairs, phrases, terms
 from gaugeloom.runtime import table
 
 
@@ -28,7 +28,15 @@ def p4_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.count_terms(_label_terms(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_counts)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.canonical_labels(table(spark, sf_dir, "freeform_outputs"), table(spark, sf_dir, "alias_entries"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.unmatched_report(table(spark, sf_dir, "freeform_outputs"), table(spark, sf_dir, "alias_entries"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_counts, p6_found, p6_report)}
 
 _TERMS = """with long as (
   select 'category_name' as field_name, lower(trim(category_name)) as term, cast(image_id as varchar) as record from annotations where category_name is not null
