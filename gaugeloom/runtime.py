@@ -62,11 +62,9 @@ def heavy_keys(df: DataFrame, key: str, parts: int) -> list:
     The count is combined before its shuffle; only those few values reach the driver.
     """
     counts = df.groupBy(key).count().where(F.col(key).isNotNull())
-    top = counts.orderBy(F.col("count").desc(), F.col(key)).limit(parts).agg(
-        F.collect_list(F.struct("count", key)).alias("top")
-    )
-    row = top.crossJoin(df.agg(F.count(F.lit(1)).alias("total"))).first()
-    return [v for n, v in row["top"] if n * parts > row["total"]]
+    top = counts.orderBy(F.col("count").desc(), F.col(key)).limit(parts).collect()
+    total = df.count() if top else 0
+    return [r[key] for r in top if r["count"] * parts > total]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str], how: str = "inner", salts: int = 0) -> DataFrame:
