@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeloom.llm import encodings, leaks, pairs, phrases, terms
+from gaugeloom.llm import encodings, leaks, mixing, pairs, phrases, terms
 from gaugeloom.runtime import table
 
 
@@ -44,6 +44,18 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).chosen()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares()
+
+
+def p9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).blocks()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.garbled_texts(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -52,7 +64,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.garbled_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_counts, p6_found, p6_report, p8_found, p8_report, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_counts, p6_found, p6_report, p8_found, p8_report, p9_mix, p9_shares, p9_blocks, p10_found, p10_restored)}
 
 _TERMS = """with long as (
   select 'category_name' as field_name, lower(trim(category_name)) as term, cast(image_id as varchar) as record from annotations where category_name is not null
