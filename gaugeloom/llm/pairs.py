@@ -207,7 +207,9 @@ def copies(answer: list[str], prompt: list[str]) -> bool:
     """The answer is nothing but the prompt, or most of it: four fifths of its words tile at least half of the prompt."""
     if len(answer) < 4 or not prompt or 2 * len(set(answer) & set(prompt)) < len(set(answer)):
         return False
-    of_answer, of_prompt = tile(answer, prompt)
+    size = max(64, 4 * len(prompt))  # longer answers are tiled piece by piece, so the work stays linear
+    pieces = [tile(answer[i : i + size], prompt) for i in range(0, len(answer), size)]
+    of_answer, of_prompt = sum(a for a, _ in pieces), max(b for _, b in pieces)
     return of_answer >= 0.8 * len(answer) and of_prompt >= 0.5 * len(prompt)
 
 
