@@ -105,17 +105,46 @@ def with_all_labels(counts: DataFrame, vocabulary: DataFrame, by: list[str] = ()
 
 
 def gated_summary(df: DataFrame, by: list[str], group: list[str], gate: bool) -> DataFrame:
-    """Per ``by``: kept and raw rows and groups, groups the gate excludes, and metric means over kept rows."""
-    rows = with_group(df, group, gate)
-    kept = F.col("counted")
-    keys = F.struct(*group)
-    return rows.groupBy(*by).agg(
-        F.count_if(kept).alias("num_samples"), F.count(F.lit(1)).alias("raw_num_samples"),
-        F.count_distinct(F.when(kept, keys)).alias("num_groups"), F.count_distinct(keys).alias("raw_num_groups"),
-        F.count_distinct(F.when(~kept, keys)).alias("num_groups_excluded"),
-        *[F.coalesce(F.avg(F.when(kept, F.col(m))), F.lit(0.0)).alias(f"avg_{m}") for m in METRICS],
-        F.coalesce(F.avg(F.when(kept, F.col("parse_error").cast("double"))), F.lit(0.0)).alias("parse_error_rate"),
+    """Per ``by``: kept and raw rows and groups, groups the gate excludes, and metric means over kept rows.
+
+    group must contain ``by``. Rows are reduced to one per group (map-side combined), and the
+    gate is applied to these; rows are neither joined nor gathered.
+    """
+    if not set(by) <= set(group):
+        raise ValueError("a group must lie within one of by")
+    groups = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max("exact").alias("_ok"), *[F.sum(m).alias(f"_{m}") for m in METRICS], F.sum(F.col("parse_error").cast("double")).alias("_parse_error"))
+    kept = (F.col("_ok") >= 1) if gate else F.lit(True)
+    n = F.sum(F.when(kept, F.col("_n")))
+    mean = lambda c: L.ratio(F.sum(F.when(kept, F.col(c))), n)
+    return groups.groupBy(*by).agg(
+        F.coalesce(n, F.lit(0)).alias("num_samples"), F.coalesce(F.sum("_n"), F.lit(0)).alias("raw_num_samples"),
+        F.count_if(kept).alias("num_groups"), F.count(F.lit(1)).alias("raw_num_groups"), F.count_if(~kept).alias("num_groups_excluded"),
+        *[mean(f"_{m}").alias(f"avg_{m}") for m in METRICS], mean("_parse_error").alias("parse_error_rate"),
+    )
+
+
+def gated_label_scores(df: DataFrame, group: list[str]) -> DataFrame:
+    """One row: kept and raw rows and groups, exact_accuracy, set_miou, micro and macro metrics over the gate's kept groups.
+
+    Every item gives one row per label and one row of its own (null label). These are reduced
+    to one row per group and label, map-side; the gate then only looks at a group's few label
+    rows. The input is read once, and a group with a third of all items is no hot spot.
+    """
+    label = F.explode(F.concat(F.array_union("gold", "pred"), F.array(F.lit(None).cast("string")))).alias("label")
+    rows = df.select(*group, "gold", "pred", "exact", "iou", label)
+    g, p = F.array_contains("gold", F.col("label")), F.array_contains("pred", F.col("label"))
+    cells = rows.groupBy(*group, "label").agg(
+        F.count(F.lit(1)).alias("n"), F.max("exact").alias("ok"), F.sum("exact").alias("exact"), F.sum("iou").alias("iou"), F.count_if(g & p).alias("tp"), F.count_if(~g & p).alias("fp"), F.count_if(g & ~p).alias("fn")
+    )
+    cells = cells.withColumn("kept", F.max("ok").over(Window.partitionBy(*group)) >= 1)
+    item, kept = F.col("label").isNull(), F.col("kept")
+    n = F.sum(F.when(item & kept, F.col("n")))
+    head = cells.where(item).agg(
+        F.coalesce(n, F.lit(0)).alias("num_samples"), F.coalesce(F.sum("n"), F.lit(0)).alias("raw_num_samples"), F.count_if(kept).alias("num_groups"), F.count(F.lit(1)).alias("raw_num_groups"),
+        L.ratio(F.sum(F.when(kept, F.col("exact"))), n).alias("exact_accuracy"), L.ratio(F.sum(F.when(kept, F.col("iou"))), n).alias("set_miou"),
     )
+    counts = cells.where(~item & kept).groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    return head.join(F.broadcast(micro_macro(counts)))  # two single rows
 
 
 def mean_consistency(df: DataFrame, group: list[str], value: str, correct: str = "exact", gate: bool = True, least: int = 1, skip_null: bool = True, if_none: float = 0.0) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeloom.functions import labels as L
+from gaugeloom.runtime import shuffle_partitions
+
+BROADCAST_ROWS = 300_000  # rows of a few numbers each that may be broadcast
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] = (), name: str = "rank") -> DataFrame:
@@ -104,11 +107,14 @@ def bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicate
     upto = F.sum("_n").over(w.orderBy(*sums))  # over distinct values, not rows
     ranges = values.select(*by, *sums, (upto - F.col("_n")).alias("_from"), upto.alias("_to"), F.sum("_n").over(w).alias("_all"))
     placed = ranges.withColumn("_slot", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1))).drop("_from", "_to")
-    drawn = placed.select(*by, "_all", "_slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    spread = placed.select(*by, "_all", "_slot").repartition(shuffle_partitions(df.sparkSession), *by, "_slot")
+    drawn = spread.select(*by, "_all", "_slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     place = hash_draw([F.col("rep").cast("string"), F.col("_slot").cast("string")], F.col("_all"))
-    times = drawn.select(*by, "rep", place.alias("_slot")).groupBy(*by, "rep", "_slot").agg(F.count(F.lit(1)).alias("_k"))
-    hit = times.join(placed.drop("_all"), [*by, "_slot"])
-    return hit.groupBy(*by, "rep").agg(F.sum("_k").alias("n"), *[F.sum(F.col(s) * F.col("_k")).alias(s) for s in sums])
+    targets = placed.drop("_all")
+    if df.count() <= BROADCAST_ROWS:
+        targets = F.broadcast(targets)
+    hit = drawn.select(*by, "rep", place.alias("_slot")).join(targets, [*by, "_slot"])
+    return hit.groupBy(*by, "rep").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums])
 
 
 def poisson_bootstrap_sums(df: DataFrame, sums: list[str], id_columns: list[str], by: list[str] = (), replicates: int = 200, seed: int = 42) -> DataFrame:

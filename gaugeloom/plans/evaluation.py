@@ -174,13 +174,7 @@ select (select count(*) from sc) as num_samples, (select count(*) from all_rows)
   round((select avg(exact) from sc), 6) as exact_accuracy, round((select avg(iou) from sc), 6) as set_miou, {_MICRO_COLUMNS} from mi""")
 def attr_scoring(spark, d):
     """Flagship: label sets scored, gated by group, with micro and macro metrics over kept rows."""
-    rows = scoring.with_group(label_sets(spark, d), ["grp"])
-    kept = rows.where("counted")
-    head = rows.agg(
-        F.count_if("counted").alias("num_samples"), F.count(F.lit(1)).alias("raw_num_samples"), F.count_distinct(F.when(F.col("counted"), F.col("grp"))).alias("num_groups"), F.count_distinct("grp").alias("raw_num_groups"),
-        F.avg(F.when(F.col("counted"), F.col("exact"))).alias("exact_accuracy"), F.avg(F.when(F.col("counted"), F.col("iou"))).alias("set_miou"),
-    )
-    return rounded(head.join(F.broadcast(scoring.micro_macro(scoring.label_counts(kept)))))  # two single rows
+    return rounded(scoring.gated_label_scores(label_sets(spark, d), ["grp"]))
 
 
 @query(_SETS_SCORED + _LABELS + "select label, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from lf")
