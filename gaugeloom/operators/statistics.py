@@ -150,24 +150,17 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         return 0.0 if x <= 0 else 1.0
     if x > (a + 1) / (a + b + 2):
         return 1 - incomplete_beta(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
-    tiny, c, d = 1e-300, 1.0, 0.0
-    f = 1.0
-    for i in range(400):
-        m = i // 2
-        if i == 0:
-            t = 1.0
-        elif i % 2 == 0:
-            t = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        else:
-            t = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        d = 1 / ((1 + t * d) or tiny)
-        c = (1 + t / c) if i else 1.0
-        c = c or tiny
-        f *= c * d
-        if i > 1 and abs(1 - c * d) < 1e-15:
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    value = d
+    for m in range(1, 1000):
+        for t in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + t * d)
+            c = 1 + t / c
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
             break
-    return front * f
+    return front * value
 
 
 def t_two_sided(t: float, df: float) -> float:
