@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeloom.functions.treedit import edit_script
+from gaugeloom.runtime import shuffle_partitions, spread
 
 #: Fields that name a record: of items, and of predictions.
 RECORD_KEYS = {"items": ["item_id"], "predictions": ["item_id", "model_id", "timestamp"]}
@@ -95,7 +96,7 @@ def records_with_leaves(raw: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(recs, pa.string()), pa.array(all_leaves, pa.list_(LEAF_ARROW))], names=[*names, "rec", "leaves"])
 
     source = raw.select(F.col("stream_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("file_no").cast("int"), "record_kind", "payload")
-    return source.mapInArrow(emit, schema)
+    return spread(source, "file_id", "payload").mapInArrow(emit, schema)
 
 
 def _fields_of(leaves: list) -> dict[str, str | None]:
@@ -169,7 +170,8 @@ def file_changes(raw: DataFrame) -> DataFrame:
                 rows += [(r.file_id, *step) for step in edit_script(old, new, same)]
             yield pd.DataFrame(rows, columns=["file_id", "change", "old_field", "new_field"])
 
-    return pairs.join(evidence, ["stream_id", "file_no"], "left").select("file_id", "old", "new", "evidence").mapInPandas(
+    ready = pairs.join(evidence, ["stream_id", "file_no"], "left").select("file_id", "old", "new", "evidence")
+    return ready.repartition(shuffle_partitions(raw.sparkSession), "file_id").mapInPandas(
         scripts, "file_id bigint, change string, old_field string, new_field string"
     )
 

@@ -56,6 +56,18 @@ def instant_micros(c: Column) -> Column:
     return F.unix_micros(whole.try_cast("timestamp"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df in at least as many partitions as there are cores, for steps that cost far more than moving their rows.
+
+    Inputs in enough splits, as on any large table, stay as they are. Others are hashed by
+    keys, so that a task that runs again sees the same rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(2 * cores, *keys)
+
+
 def heavy_keys(df: DataFrame, key: str, parts: int) -> list:
     """Values of key that hold more than one part in ``parts`` of the rows; never more than ``parts`` values.
 
@@ -67,21 +79,25 @@ def heavy_keys(df: DataFrame, key: str, parts: int) -> list:
     return [r[key] for r in top if r["count"] * parts > total]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str], how: str = "inner", salts: int = 0) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str], how: str = "inner", salts: int = 0, partitions: int | None = None) -> DataFrame:
     """Equi-join on ``key`` whose heavy keys are split over several tasks.
 
     left: the side that may hold a third of its rows under one key. Rows of a heavy key
     get a salt from a hash of ``salt_by`` (stable when a lost task is run again); right
     rows of these few keys are repeated once per salt. Other rows are joined as usual.
     how: inner, left, left_semi or left_anti. The key column comes out once, from the left.
+    partitions: keep so many tasks after the join, where what follows is costly per row; else
+    small partitions are coalesced.
     """
     spark = left.sparkSession
     parts = max(8, shuffle_partitions(spark))
     heavy = heavy_keys(left.select(key), key, parts)
     if not heavy:
-        return left.join(right, key, how)
+        return (left.repartition(partitions, key) if partitions else left).join(right, key, how)
     n = salts or min(64, parts)
     hot = F.col(key).isin(heavy)
     salted = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(*salt_by), F.lit(n)).cast("int")).otherwise(0))
-    spread = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(spread, [key, "_salt"], how).drop("_salt")
+    if partitions:
+        salted = salted.repartition(partitions, key, "_salt")
+    repeated = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
