@@ -6,13 +6,17 @@ import math
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.runtime import spread
+
 RUN = 12  # consecutive words that make a leak
-WINDOW = 64  # words of a document asked at once; windows overlap by RUN - 1 words
-BLOCK = 16  # postings per block
+WINDOW = 24  # words of a document asked at once; windows overlap by RUN - 1 words
+BLOCK = 16  # postings per block of a list
+RANGES = 64  # ranges of passages, at most, whose greatest weights are kept per term
 K1, B = 1.2, 0.75
 MAX_PASSAGES = 2000  # passages in one index
 
@@ -63,12 +67,30 @@ class PassageIndex:
             cuts = range(0, len(p), BLOCK)
             self.postings[t] = at, weights, max(weights), [at[min(i + BLOCK, len(p)) - 1] for i in cuts], [max(weights[i : i + BLOCK]) for i in cuts]
 
+        # Greatest weight of each term in each range of passages, a little raised against rounding.
+        self.size = max(BLOCK, -(-n // RANGES))
+        self.terms = {t: i for i, t in enumerate(lists)}
+        self.ranges = np.zeros((len(lists), -(-n // self.size) if n else 1), np.float32)
+        for t, p in lists.items():
+            for k, x in p:
+                at = self.terms[t], k // self.size
+                self.ranges[at] = max(self.ranges[at], x * (1 + 1e-6))
+
     def search(self, words: list[str]) -> list[int]:
-        """Positions of all passages that score at least 1 with the words (block-max WAND)."""
-        lists = [self.postings[t] for t in set(words) if t in self.postings]
-        if sum(p[2] for p in lists) < 1:
+        """Positions of all passages that score at least 1 with the words (block-max WAND).
+
+        Ranges of passages whose greatest weights together stay under 1 are skipped whole.
+        """
+        known = [t for t in set(words) if t in self.terms]
+        live = np.flatnonzero(self.ranges[[self.terms[t] for t in known]].sum(0) >= 1 - 1e-5) if known else ()
+        if not len(live):
             return []
+        lists = [self.postings[t] for t in known]
+        starts = (live * self.size).tolist()
+        alive = set(live.tolist())
         cursors = [[p[0][0], 0, p] for p in lists]  # passage, place, posting list
+        for c in cursors:
+            self._seek(c, starts[0])
         found = []
         while True:
             cursors.sort(key=lambda c: c[0])
@@ -85,6 +107,13 @@ class PassageIndex:
             doc = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == doc:
                 pivot += 1
+            if doc // self.size not in alive:
+                j = bisect_left(starts, doc)
+                if j == len(starts):
+                    return found
+                for c in cursors[: pivot + 1]:
+                    self._seek(c, starts[j])
+                continue
             # Block maxima at the pivot passage, and where the first of these blocks ends.
             block_bound, block_end = 0.0, END
             for c in cursors[: pivot + 1]:
@@ -139,7 +168,8 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, max_passages: int
     """(doc_id, eval_id, n_runs): documents that hold at least 12 consecutive words of a passage.
 
     n_runs counts the document's runs of 12 words that stand in the passage. Each task asks the
-    index with every window of 64 words of its documents, so nothing is shuffled. Passages are
+    index with every window of 24 words of its documents, so nothing is shuffled (a corpus in fewer splits than cores is
+    spread first). Passages are
     sent to the tasks in indexes of at most max_passages (a further index means a further pass
     over the corpus); the threshold of the search is the least score a leak can have, so none
     is lost. Null texts and passages, and passages under 12 words, leak nowhere. Very long
@@ -159,7 +189,7 @@ def leaked_passages(documents: DataFrame, passages: DataFrame, max_passages: int
                 out = [(d, e, n) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for e, n in index.leaks(t).items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["doc_id", "eval_id", "n_runs"])
 
-        part = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(ask, "doc_id bigint, eval_id bigint, n_runs bigint")
+        part = spread(documents.select(F.col("doc_id").cast("bigint"), "text"), "doc_id").mapInArrow(ask, "doc_id bigint, eval_id bigint, n_runs bigint")
         found = part if found is None else found.unionByName(part)
     return found
 
