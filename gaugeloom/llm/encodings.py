@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.runtime import spread
+
 #: Encodings a text may wrongly have been read with, and those it may have been written in.
 READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_15", "koi8_r", "cp866"]
 WRITTEN_IN = ["utf-8", "cp1252", "mac_roman", "cp1250", "cp1251"]
@@ -68,8 +70,20 @@ def _letter_cost(before: str, c: str, after: str) -> float:
     return 0.0 if ord(c) < 0x100 or c in USUAL else 0.6
 
 
+COSTS: dict[str, float] = {}  # known costs, by the three characters
+
+
 def char_cost(before: str, c: str, after: str) -> float:
     """How implausible a character outside ASCII is between its neighbours (empty at the ends of the text)."""
+    key = f"{before or chr(0)}{c}{after or chr(0)}"
+    if key not in COSTS:
+        if len(COSTS) > 200_000:
+            COSTS.clear()
+        COSTS[key] = _char_cost(before, c, after)
+    return COSTS[key]
+
+
+def _char_cost(before: str, c: str, after: str) -> float:
     o = ord(c)
     if c == "\ufffd":
         return 5.0
@@ -223,7 +237,7 @@ def garbled_texts(documents: DataFrame) -> DataFrame:
     shuffle. Null and empty texts are not garbled. Repeated documents count each. An empty
     table gives an empty result. lang and other columns are not used.
     """
-    suspects = documents.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").rlike(r"[^\x00-\x7f]|&[#A-Za-z]"))
+    suspects = spread(documents.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").rlike(r"[^\x00-\x7f]|&[#A-Za-z]")), "doc_id")
 
     def search(batches):
         for b in batches:
