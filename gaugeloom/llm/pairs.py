@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.runtime import clean_id, salted_join
+from gaugeloom.runtime import clean_id, salted_join, shuffle_partitions
 
 # Function words and common verbs by language, in lower case.
 LANGUAGE_WORDS = {
@@ -275,15 +275,15 @@ def broken_pairs(predictions: DataFrame, items: DataFrame) -> DataFrame:
     answers = predictions.select("delivery_id", F.coalesce(clean_id(F.col("item_id")), F.lit("")).alias("_key"), "raw_text").where(
         F.col("raw_text").isNull() | ~(F.col("raw_text").rlike(WHOLE_JSON) | F.col("raw_text").rlike(BARE_LETTERS))
     )
-    joined = salted_join(answers, prompts, "_key", ["delivery_id"], "left").select("delivery_id", "raw_text", "prompt")
+    joined = salted_join(answers, prompts, "_key", ["delivery_id"], "left", partitions=shuffle_partitions(items.sparkSession)).select("delivery_id", "raw_text", "prompt")
 
     def judge(batches):
         own: dict = {}
         asked: dict = {}
         for b in batches:
-            if len(own) > 200_000:
+            if len(own) > 50_000:
                 own.clear()
-            if len(asked) > 50_000:
+            if len(asked) > 20_000:
                 asked.clear()
             ids, found = [], []
             for i, text, prompt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
