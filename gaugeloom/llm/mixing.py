@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gaugeloom.runtime import shared_dir
+from gaugeloom.runtime import shared_dir, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of the byte-level tokenizer.
@@ -39,7 +39,7 @@ def with_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "source", "digest", "n_tokens"])
 
     known = documents.where("text is not null and source is not null")
-    return known.select(F.col("doc_id").cast("bigint"), "source", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), "text").mapInArrow(count, schema)
+    return spread(known, "doc_id").select(F.col("doc_id").cast("bigint"), "source", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), "text").mapInArrow(count, schema)
 
 
 def entropy(shares: list[float]) -> float:
