@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeloom.functions.treedit import edit_script
-from gaugeloom.runtime import shuffle_partitions, spread
+from gaugeloom.runtime import shared_dir, shuffle_partitions, spread
 
 #: Fields that name a record: of items, and of predictions.
 RECORD_KEYS = {"items": ["item_id"], "predictions": ["item_id", "model_id", "timestamp"]}
@@ -120,7 +120,10 @@ def file_changes(raw: DataFrame) -> DataFrame:
     leaves the later file without changes. An empty table gives an empty result. Long payloads
     are read whole. Columns besides the named ones are ignored.
     """
-    lines = records_with_leaves(raw)
+    # Lines are parsed once, into the shared folder, and read for fields and for evidence.
+    at = shared_dir(raw.sparkSession)
+    records_with_leaves(raw).write.parquet(at)
+    lines = raw.sparkSession.read.parquet(at)
     files = lines.groupBy("stream_id", "file_no", "file_id").agg(F.count(F.lit(1)).alias("n")).drop("n")
     fields = (
         lines.select("stream_id", "file_no", "file_id", F.explode("leaves").alias("x"))
@@ -241,6 +244,9 @@ def consistent_table(raw: DataFrame, kind: str, max_columns: int = 500) -> DataF
             F.array_distinct(F.transform(F.map_entries("leaves"), lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("key"), e["value"].alias("value"))))
         ).alias("leaves"),
     )
+    at = shared_dir(raw.sparkSession)
+    named.write.parquet(at)
+    named = raw.sparkSession.read.parquet(at)
     stats = named.select(F.explode("leaves")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.collect_set("value.type").alias("types")).orderBy(F.desc("n"), "key").limit(max_columns).collect()
     taken, cols = set(k.lower() for k in keep) | {"extra"}, []
     for r in sorted(stats, key=lambda r: r["key"]):
