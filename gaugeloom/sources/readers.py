@@ -111,3 +111,23 @@ def policy_version(path: str) -> str:
 
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def prompts(path: str, key: str) -> list[str]:
+    """The list of prompts under a key of a JSON file; anything else there, or none, is an error."""
+    import json
+
+    found = json.loads(Path(path).read_text()).get(key)
+    if not isinstance(found, list) or not found:
+        raise ValueError(f"no prompts under {key} in {path}")
+    return [str(p) for p in found]
+
+
+def confusion_cells(spark: SparkSession, path: str, drop_empty: list[str] = ()) -> DataFrame:
+    """(target, pred, n) of the ``confusion`` section of metric documents, whole rows of zeros dropped for the given targets."""
+    df = spark.read.schema("confusion map<string,map<string,bigint>>").option("multiLine", "true").json(path)
+    cells = df.select(F.explode("confusion").alias("target", "row")).select("target", F.explode("row").alias("pred", "n"))
+    if not drop_empty:
+        return cells
+    sums = cells.groupBy("target").agg(F.sum("n").alias("total"))
+    return cells.join(sums, "target").where(~F.col("target").isin(list(drop_empty)) | (F.col("total") > 0)).drop("total")

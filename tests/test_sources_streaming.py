@@ -137,3 +137,20 @@ def test_chart_rows(spark):
     assert [r[0] for r in charts.bar_rows(df, "m", "s")] == ["b", "a"]
     names, cells = charts.heat_rows(df, "m", "v", "s", ["x", "y"])
     assert names == ["a", "b"] and cells[1][0] == 3.0 and np.isnan(cells[0][1])
+
+
+def test_display_and_small_readers(spark, tmp_path):
+    from gaugeloom.functions import display as D
+
+    row = spark.range(1).select(
+        D.rate(F.lit(2.0)).alias("a"), D.rate(F.lit(0.5)).alias("b"), D.days_hours_minutes(F.lit(93784)).alias("c"), D.remaining(F.lit(10.0), F.lit(5), F.lit(15)).alias("d"), D.remaining(F.lit(10.0), F.lit(0), F.lit(15)).alias("e"),
+        D.image_path("/p/img", "/p", F.lit("x.png")).alias("f"), D.model_size(F.lit("lumen-vl-30b-instruct")).alias("g"), D.model_title(F.lit("lumen-vl-4b")).alias("h"), D.variant_of_path(F.lit("compatibility_category.jsonl")).alias("i"),
+    ).first()
+    assert tuple(row) == ("2.00 it/s", "30.00 it/min", "1d 2h 3m", 20.0, None, "img/x.png", 30.0, "Lumen Vl 4B", "compatibility_category")
+    names = ["b-4b", "a-12b", "a-4b-thinking", "a-4b-instruct", "a-4b", "z"]
+    assert [r.m for r in D.ordered_models(spark.createDataFrame([(n,) for n in names], "m string"), "m", ["a", "b"]).collect()] == ["a-4b", "a-4b-instruct", "a-4b-thinking", "a-12b", "b-4b", "z"]
+    sinks.document({"p": ["one"], "confusion": {"a": {"a": 1, "b": 0}, "d": {"a": 0}}}, str(tmp_path / "x.json"))
+    assert readers.prompts(str(tmp_path / "x.json"), "p") == ["one"]
+    with pytest.raises(ValueError):
+        readers.prompts(str(tmp_path / "x.json"), "q")
+    assert readers.confusion_cells(spark, str(tmp_path / "x.json"), ["d"]).count() == 2
