@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.runtime import WHITESPACE, salted_join
+from gaugeloom.runtime import WHITESPACE, salted_join, shuffle_partitions
 
 UNMATCHED = "unmatched"
 THRESHOLD = 0.55  # least score of an entry for a phrase to stand for it
@@ -104,7 +104,7 @@ class Entries:
     def repair(self, token: str) -> dict[str, float]:
         """Vocabulary words a typed token may mean, with their likeness."""
         if token not in self.repairs:
-            if len(self.repairs) > 500_000:
+            if len(self.repairs) > 100_000:
                 self.repairs.clear()
             found = {w: likeness(token, w) for w in self.vocabulary if abs(len(w) - len(token)) <= 1 + len(w) // 2}
             self.repairs[token] = {w: s for w, s in found.items() if s}
@@ -155,7 +155,10 @@ def map_phrases(phrases: DataFrame, entries: DataFrame, max_entries: int = MAX_E
     is sent is bounded; each block ranks all phrases and the best score over the blocks wins
     (weights are per block). Every distinct token is repaired once per worker.
     """
+    parts = shuffle_partitions(phrases.sparkSession)
     distinct = phrases.where("phrase is not null").distinct()
+    # Ranking costs far more than moving the few distinct phrases: they are hashed anew, as small partitions would be coalesced.
+    distinct = distinct.repartition(parts, F.xxhash64("phrase"))
     listed = entries.where("canonical is not null and text is not null").distinct()
     blocks = -(-listed.count() // max_entries)
     place = F.pmod(F.xxhash64("canonical"), F.lit(max(1, blocks)))
