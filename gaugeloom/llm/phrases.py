@@ -22,6 +22,7 @@ MAX_ENTRIES = 5000  # entries of the reference list per block
 FILLERS = frozenset("a an the one some maybe probably perhaps old x ok seen area behind or so here there ca about like very".split())
 # Characters taken for one another in typing and scanning.
 LOOKALIKE = frozenset(p for a, b in ("1l", "1i", "0o", "3e", "5s", "6b", "4a", "7t", "8b", "9g", "2z", "li") for p in ((a, b), (b, a)))
+AMBIGUOUS = frozenset(a for a, _ in LOOKALIKE)
 VOWELS = frozenset("aeiou")
 SPLIT = re.compile(r"[^0-9a-z]+")
 
@@ -44,33 +45,74 @@ def edit_cost(typed: str, meant: str, most: float) -> float:
     n, m = len(typed), len(meant)
     if abs(n - m) * 0.4 > most:
         return most + 1
-    before, row = [], [0.0] * (m + 1)
-    for j in range(1, m + 1):
-        row[j] = row[j - 1] + (0.5 if meant[j - 1] in VOWELS else 1.0)
-    for i in range(1, n + 1):
-        c = typed[i - 1]
-        last, row = row, [0.0] * (m + 1)
-        extra = 0.5 if i > 1 and c == typed[i - 2] else 1.0
-        row[0] = last[0] + extra
-        for j in range(1, m + 1):
-            d = meant[j - 1]
-            best = last[j - 1] if c == d else last[j - 1] + (0.4 if (c, d) in LOOKALIKE else 1.0)
-            best = min(best, last[j] + extra, row[j - 1] + (0.5 if d in VOWELS or (j > 1 and d == meant[j - 2]) else 1.0))
-            if i > 1 and j > 1 and c == meant[j - 2] and typed[i - 2] == d and c != d:
-                best = min(best, before[j - 2] + 0.7)
-            row[j] = best
-        if min(row) > most:
+    # Cost of leaving out each letter of the meant word: half for vowels and doubled letters.
+    omit = [0.5 if d in VOWELS or (j and d == meant[j - 1]) else 1.0 for j, d in enumerate(meant)]
+    before, row = [], [0.0]
+    for d in meant:
+        row.append(row[-1] + (0.5 if d in VOWELS else 1.0))
+    previous = ""
+    for i, c in enumerate(typed):
+        last, extra = row, 0.5 if c == previous else 1.0
+        left = last[0] + extra
+        row, lowest = [left], left
+        for j, d in enumerate(meant):
+            if c == d:
+                best = last[j]
+            else:
+                best = last[j] + (0.4 if (c, d) in LOOKALIKE else 1.0)
+                if i and j and c == meant[j - 1] and previous == d:
+                    swap = before[j - 1] + 0.7
+                    if swap < best:
+                        best = swap
+            up = last[j + 1] + extra
+            if up < best:
+                best = up
+            left += omit[j]
+            if left < best:
+                best = left
+            row.append(best)
+            left = best
+            if best < lowest:
+                lowest = best
+        if lowest > most:
             return most + 1
-        before = last
+        before, previous = last, c
     return row[m]
 
 
-def likeness(typed: str, meant: str, least: float = TOKEN_SIM) -> float:
+def bag(word: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for c in word:
+        out[c] = out.get(c, 0) + 1
+    return out
+
+
+def least_cost(typed: dict[str, int], meant: dict[str, int]) -> float:
+    """A bound no edit cost falls below, from the letters alone.
+
+    A letter that only one side has costs half at least: a step costs half a letter or more,
+    and one for both sides costs a whole, except 0.4 for lookalikes.
+    """
+    bound = 0.0
+    for c, n in typed.items():
+        extra = n - meant.get(c, 0)
+        if extra > 0:
+            bound += extra * (0.5 if c not in AMBIGUOUS else -0.1)
+    for c, n in meant.items():
+        extra = n - typed.get(c, 0)
+        if extra > 0:
+            bound += 0.5 * extra
+    return bound
+
+
+def likeness(typed: str, meant: str, least: float = TOKEN_SIM, bags: tuple | None = None) -> float:
     """1 less the edit cost per letter; 0 below ``least``. A plural s costs little."""
     if typed == meant:
         return 1.0
     size = max(len(typed), len(meant))
     most = (1 - least) * size
+    if bags and least_cost(*bags) - 0.3 > most + 1e-9:
+        return 0.0
     cost = edit_cost(typed, meant, most)
     if len(typed) > 3 and typed[-1] == "s" and meant[-1:] != "s":
         cost = min(cost, 0.2 + edit_cost(typed[:-1], meant, most))
@@ -99,6 +141,7 @@ class Entries:
             for w in set(t):
                 self.holding.setdefault(w, []).append(k)
         self.joined = [("".join(t), k) for k, (t, _) in enumerate(self.items)]
+        self.bags = {w: bag(w) for w in [*self.vocabulary, *(t for t, _ in self.joined)]}
         self.repairs: dict[str, dict[str, float]] = {}
 
     def repair(self, token: str) -> dict[str, float]:
@@ -106,7 +149,8 @@ class Entries:
         if token not in self.repairs:
             if len(self.repairs) > 100_000:
                 self.repairs.clear()
-            found = {w: likeness(token, w) for w in self.vocabulary if abs(len(w) - len(token)) <= 1 + len(w) // 2}
+            own = bag(token)
+            found = {w: likeness(token, w, TOKEN_SIM, (own, self.bags[w])) for w in self.vocabulary if abs(len(w) - len(token)) <= 1 + len(w) // 2}
             self.repairs[token] = {w: s for w, s in found.items() if s}
         return self.repairs[token]
 
@@ -136,10 +180,11 @@ class Entries:
         if best[0] >= SURE:
             return best
         glued = {"".join(kept), "".join(words)} if len(kept) <= 6 else set()
+        own = {g: bag(g) for g in glued if len(g) > 3}
         for text, k in self.joined:  # words run together or broken apart
-            for g in glued:
-                if len(g) > 3 and abs(len(g) - len(text)) <= 1 + len(text) // 3:
-                    s = likeness(g, text, 0.7) * 0.97
+            for g in own:
+                if abs(len(g) - len(text)) <= 1 + len(text) // 3:
+                    s = likeness(g, text, 0.7, (own[g], self.bags[text])) * 0.97
                     canonical = self.items[k][1]
                     if s > best[0] + 1e-9 or (s and abs(s - best[0]) <= 1e-9 and canonical < best[1]):
                         best = (s, canonical)

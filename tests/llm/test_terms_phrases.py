@@ -99,6 +99,9 @@ def test_edit_cost_is_least_over_all_paths():
     for _ in range(300):
         a, b = ("".join(rng.choice("abe1l") for _ in range(rng.randrange(7))) for _ in range(2))
         assert abs(phrases.edit_cost(a, b, 99) - slow(a, b)) < 1e-9, (a, b)
+        assert phrases.least_cost(phrases.bag(a), phrases.bag(b)) <= slow(a, b) + 1e-9, (a, b)
+        for least in (0.55, 0.7):
+            assert phrases.likeness(a + "s", b, least) == phrases.likeness(a + "s", b, least, (phrases.bag(a + "s"), phrases.bag(b)))
 
 
 def test_labels_table(spark):
