@@ -42,7 +42,7 @@ def _script(c: str) -> str:
 def _letter_cost(before: str, c: str, after: str) -> float:
     left, right = before.isalpha(), after.isalpha()
     kind, near = _script(c), [x for x in (before, after) if x.isalpha()]
-    sign_follows = bool(after) and ord(after) > 127 and not right and after not in QUOTES
+    sign_follows = bool(after) and ord(after) > 127 and (not right or after in "µªº") and after not in QUOTES and not (after in "ªº" and c in "nN")
     if kind != "latin":
         if any(_script(x) == "latin" for x in near):
             return 3.0
@@ -57,7 +57,7 @@ def _letter_cost(before: str, c: str, after: str) -> float:
             return 1.0 if before.isdigit() or after.isdigit() else 0.4
         return 0.0 if usual else 0.8
     if any(_script(x) in ("greek", "cyrillic") for x in near):
-        return 1.0
+        return 2.0
     if sign_follows:
         return 2.0
     if c.isupper():
@@ -89,6 +89,8 @@ def _char_cost(before: str, c: str, after: str) -> float:
         return 5.0
     if 0x80 <= o < 0xA0:
         return 4.0
+    if c == "µ":  # a sign among the letters
+        return 2.0 if before.isalpha() else 0.0
     if c.isalpha() and c not in "ªº":
         return _letter_cost(before, c, after)
     left, right = before.isalpha(), after.isalpha()
@@ -107,7 +109,7 @@ def _char_cost(before: str, c: str, after: str) -> float:
         if left and (right or ord(before) > 127):
             return 2.0
         if right and c != "°":
-            return 1.5
+            return 2.0
         return 1.0 if left and c not in "™®©²³¹°" else 0.3 if strange else 0.0
     if unicodedata.category(c).startswith("M"):
         return 0.2 if left else 1.5
@@ -121,8 +123,28 @@ def suspicious(text: str) -> bool:
     return any(run_cost(text[m.start() - 1 : m.start()], m.group(), text[m.end() : m.end() + 1]) >= SUSPECT for m in RUN.finditer(text))
 
 
+def misread_pairs() -> frozenset[str]:
+    """What the two UTF-8 bytes of each sign and letter of Latin-1 look like, read one by one in the known encodings."""
+    out = set()
+    for read in READ_AS:
+        for o in range(0xA0, 0x100):
+            try:
+                out.add(chr(o).encode("utf-8").decode(read))
+            except UnicodeDecodeError:
+                continue
+    return frozenset(out)
+
+
+PAIRS = misread_pairs()
+PAIR_COST, QUOTED_PAIR_COST = 1.0, 0.7  # the latter where the second may be a closing quotation mark
+
+
 def run_cost(before: str, run: str, after: str) -> float:
+    """Cost of a run of characters outside ASCII; each pair that looks like two bytes read one by one adds to it."""
     total = 0.0
+    for i in range(len(run) - 1):
+        if run[i : i + 2] in PAIRS:
+            total += QUOTED_PAIR_COST if run[i + 1] in QUOTES else PAIR_COST
     for i, c in enumerate(run):
         if ord(c) > 127:
             total += char_cost(run[i - 1] if i else before, c, run[i + 1] if i + 1 < len(run) else after)
@@ -192,8 +214,8 @@ def apply(text: str, operation: tuple[str, str]) -> str:
 def restore(text: str, gain: float = GAIN, max_states: int = MAX_STATES) -> tuple[bool, str, list[str], bool]:
     """(garbled, best text, operations, whole): best-first search over re-reading operations.
 
-    States are texts, seen ones are known by their hash; the cheapest is looked at next; a
-    step costs a little, one that does not end in UTF-8 more. Garbled: the cheapest reachable text is cheaper by ``gain``, or the
+    States are texts, seen ones are known by their hash; the cheapest is looked at next, where
+    texts that could be read as UTF-8 are preferred and other steps cost a little. Garbled: the cheapest reachable text is cheaper by ``gain``, or the
     text holds replacement or control characters that only a wrong decoding leaves. whole:
     nothing implausible is left.
     """
@@ -201,7 +223,7 @@ def restore(text: str, gain: float = GAIN, max_states: int = MAX_STATES) -> tupl
         return False, text, [], True
     start = text_cost(text)
     lost = "�" in text or any(0x80 <= ord(c) < 0xA0 and c != "\x85" for c in text)
-    if start < gain and not lost:
+    if start < gain - 1e-9 and not lost:
         return False, text, [], True
     best, best_text, best_path = start, text, []
     heap, seen, order, looked = [(start, 0, start, text, ())], {hash(text)}, 0, 0
@@ -222,9 +244,9 @@ def restore(text: str, gain: float = GAIN, max_states: int = MAX_STATES) -> tupl
                 order += 1
                 c = text_cost(other)
                 if c < real or op[0] == "unescape":
-                    step = 0.2 if op[1] in ("utf-8", "") else 0.6
+                    step = -2.0 - 0.5 * real if op[1] == "utf-8" else 0.6  # bytes that are UTF-8 are so hardly by chance
                     heapq.heappush(heap, (c + (cost - real) + step, order, c, other, (*path, f"{op[0]}>{op[1]}")))
-    garbled = lost or start - best >= gain
+    garbled = lost or start - best >= gain - 1e-9
     return garbled, best_text if garbled else text, best_path if garbled else [], "�" not in best_text and best < max(gain, 0.25 * start)
 
 

@@ -173,6 +173,15 @@ def test_wrong_reading_is_undone(text, read):
     assert found and restored == "An introduction stays. " + text + " And an end."
 
 
+@pytest.mark.parametrize("sign", list("½ãâà°±÷£©µ«»"))
+@pytest.mark.parametrize("read", ["cp1252", "mac_roman", "cp437", "cp1251"])
+def test_single_signs(sign, read):
+    text = f"He mentions {sign} of the grid."
+    assert encodings.restore(f"He mentions {sign.encode('utf-8').decode(read)} of the grid.")[:2] == (True, text)
+    twice = sign.encode("utf-8").decode("cp1252").encode("utf-8").decode("cp1252", "ignore")
+    assert encodings.restore(f"Grade {twice} = 36.8, {twice} = 12.9.")[0]
+
+
 @pytest.mark.parametrize("text", SENTENCES)
 def test_twice_garbled(text):
     once = text.encode("utf-8").decode("latin-1")
