@@ -9,7 +9,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: what separates items of a free-form answer.
@@ -155,36 +155,46 @@ def choice_token(c: Column, numeric: bool = False) -> Column:
     return out.when(t.rlike("^[1-8]$"), F.char(t.try_cast("int") + 64)) if numeric else out
 
 
-def choices_of(raw: Column, numeric: bool = False) -> tuple[Column, Column]:
-    """(choices, parse error) of a model answer, by five ways in turn.
+def _choice_text(raw: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"```json\s*", ""), r"```\s*", "")
 
-    The first flat JSON object's choices list, or its single choice; a choices list anywhere;
-    a "choice" entry; option letters that stand alone, in alphabetical order; with numeric,
-    digits 1-8. Fences are dropped. What no way reads is a parse error.
-    """
-    text = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"```json\s*", ""), r"```\s*", "")
+
+def _choices_found(text: Column, listed: Column, single: Column, inside: Column, numeric: bool) -> Column:
+    """Options by five ways in turn; null if none reads any."""
     none = F.lit(None).cast("array<string>")
     tokens = lambda a: F.array_distinct(F.array_compact(F.transform(a, lambda x: choice_token(x, numeric))))
-    obj = F.nullif(F.regexp_extract(text, r"(\{[^}]*\})", 1), F.lit(""))
-    listed = F.get_json_object(obj, "$.choices")
     from_object = F.when(listed.startswith("["), tokens(F.from_json(listed, "array<string>")))
-    single = F.upper(F.get_json_object(obj, "$.choice"))
     from_single = F.when(single.rlike("^[A-H]$"), F.array(single))
-    inside = F.regexp_extract(text, r'"choices"\s*:\s*\[([^\]]*)\]', 1)
-    has_list = text.rlike(r'"choices"\s*:\s*\[[^\]]*\]')
     quoted = F.regexp_extract_all(inside, F.lit('"([A-H])"'), 1)
     digits = F.regexp_extract_all(inside, F.lit(r"\b([1-8])\b"), 1)
     entries = F.when(F.size(quoted) > 0, quoted).otherwise(digits) if numeric else quoted
-    from_list = F.when(has_list & ((F.size(entries) > 0) | (F.trim(inside) == "")), tokens(entries))
+    from_list = F.when(inside.isNotNull() & ((F.size(entries) > 0) | (F.trim(inside) == "")), tokens(entries))
     old = F.upper(F.regexp_extract(text, r"""(?i)(?:"choice"\s*:\s*"|'choice'\s*:\s*')([A-H])["']""", 1))
     from_old = F.when(old != "", F.array(old))
-    alone = F.filter(F.array(*[F.when(text.rlike(rf"(?:^|[^A-Za-z0-9_]){x}(?:[^A-Za-z0-9_]|$)"), x) for x in "ABCDEFGH"]), lambda x: x.isNotNull())
+    alone = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-H])(?![A-Za-z0-9_])"), 1)))
     ways = [from_object, from_single, from_list, from_old, F.when(F.size(alone) > 0, alone)]
     if numeric:
         numbers = tokens(F.regexp_extract_all(text, F.lit(r"\b([1-8])\b"), 1))
         ways.append(F.when(F.size(numbers) > 0, numbers))
-    found = F.coalesce(*ways, none)
-    return F.coalesce(found, F.array().cast("array<string>")), found.isNull().cast("int")
+    return F.coalesce(*ways, none)
+
+
+def with_choices(df: DataFrame, raw: str, choices: str = "choices_read", error: str = "error_read", numeric: bool = False) -> DataFrame:
+    """df with the options read from a model answer, and whether none could be read (1 or 0).
+
+    In turn: the first flat JSON object's choices list, or its single choice; a choices list
+    anywhere; a "choice" entry; option letters that stand alone, in alphabetical order; with
+    numeric, digits 1-8. Fences are dropped. Shared steps are columns of their own, so that
+    they are worked out once per row.
+    """
+    inside = r'"choices"\s*:\s*\[([^\]]*)\]'
+    staged = df.withColumn("_text", _choice_text(F.col(raw))).withColumn("_object", F.nullif(F.regexp_extract("_text", r"(\{[^}]*\})", 1), F.lit("")))
+    staged = staged.withColumns({
+        "_listed": F.get_json_object("_object", "$.choices"), "_single": F.upper(F.get_json_object("_object", "$.choice")), "_inside": F.when(F.col("_text").rlike(inside), F.regexp_extract("_text", inside, 1)),
+    })
+    staged = staged.withColumn("_found", _choices_found(F.col("_text"), F.col("_listed"), F.col("_single"), F.col("_inside"), numeric))
+    read = {choices: F.coalesce("_found", F.array().cast("array<string>")), error: F.col("_found").isNull().cast("int")}
+    return staged.withColumns(read).drop("_text", "_object", "_listed", "_single", "_inside", "_found")
 
 
 def category_parts(name: Column, subtypes: list[str] = ("articulated", "functional", "cosmetic"), device: str = "pro") -> tuple[Column, Column, Column]:

@@ -108,15 +108,27 @@ def permuted_copies(items: DataFrame, item: str, options: str, copies: int, limi
 
 
 def shuffle_sensitivity(df: DataFrame, model: str, base: str, selected: str) -> DataFrame:
-    """(model, num_items, selected_set_jaccard_mean, exact_std_mean, f1_std_mean) over permutations of items.
+    """(model, num_items, selected_set_jaccard_mean, exact_std_mean, f1_std_mean) over the permutations of items.
 
-    df: one row per model, base item and permutation, with exact and f1. The permutations of an
-    item (a handful) are gathered, and their pairs compared in place; no self-join.
+    df: one row per model, base item and permutation, with exact and f1. Equal selections of an
+    item are counted first, map-side; only its distinct selections are gathered (at most
+    2^options, however many permutations there are) and compared, weighted by their counts.
     """
-    items = df.groupBy(model, base).agg(F.stddev_pop("exact").alias("es"), F.stddev_pop("f1").alias("fs"), F.collect_list(selected).alias("s"))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.transform(F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda j: j > i), lambda j: L.jaccard(F.get("s", i), F.get("s", j)))))
-    mean = F.when(F.size(pairs) > 0, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.size(pairs)).otherwise(1.0)
-    return items.withColumn("j", mean).groupBy(model).agg(F.count(F.lit(1)).alias("num_items"), F.avg("j").alias("selected_set_jaccard_mean"), F.avg("es").alias("exact_std_mean"), F.avg("fs").alias("f1_std_mean"))
+    x, y = F.col("exact"), F.col("f1")
+    distinct = df.groupBy(model, base, F.array_sort(F.array_distinct(F.col(selected))).alias("_s")).agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(x).alias("_x"), F.sum(x * x).alias("_xx"), F.sum(y).alias("_y"), F.sum(y * y).alias("_yy")
+    )
+    items = distinct.groupBy(model, base).agg(F.sum("_c").alias("n"), *[F.sum(c).alias(c) for c in ("_x", "_xx", "_y", "_yy")], F.collect_list(F.struct("_s", "_c")).alias("s"))
+    variance = lambda one, two: F.col(two) / F.col("n") - (F.col(one) / F.col("n")) ** 2
+    spread = lambda one, two: F.when(variance(one, two) > 1e-13, F.sqrt(variance(one, two))).otherwise(0.0)  # noqa: E731  below lies only rounding
+    places = F.sequence(F.lit(0), F.size("s") - 1)
+    pairs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: L.jaccard(F.get("s", i)["_s"], F.get("s", j)["_s"]) * F.get("s", i)["_c"] * F.get("s", j)["_c"])))
+    unlike = F.aggregate(pairs, F.lit(0.0), lambda a, v: a + v)
+    alike = F.aggregate("s", F.lit(0.0), lambda a, v: a + v["_c"] * (v["_c"] - 1) / 2.0)
+    mean = F.when(F.col("n") > 1, (unlike + alike) / (F.col("n") * (F.col("n") - 1) / 2.0)).otherwise(1.0)
+    return items.select(model, mean.alias("j"), spread("_x", "_xx").alias("es"), spread("_y", "_yy").alias("fs")).groupBy(model).agg(
+        F.count(F.lit(1)).alias("num_items"), F.avg("j").alias("selected_set_jaccard_mean"), F.avg("es").alias("exact_std_mean"), F.avg("fs").alias("f1_std_mean")
+    )
 
 
 def label_frequency(df: DataFrame, labels: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Single-choice answers come from events, label sets from orders and lineitem, option sets from
 predictions and benchmark_items, free text from freeform_outputs, evidence from annotations.
-Averages of fractions are rounded to six digits, as sums of doubles depend on their order.
+Averages of fractions are rounded to nine digits, as sums of doubles depend on their order.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def query(sql: str | None):
     return add
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """All double columns rounded."""
     return df.select(*[F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name) for f in df.schema.fields])
 
@@ -66,28 +66,28 @@ pf as (select *, case when precision + recall = 0 then 0 else 2 * precision * re
 """
 
 
-@query(_ONE + _CLASSES + """select (select count(*) from sc) as num_samples, round((select avg(exact) from sc), 6) as accuracy, (select sum(parse_error) from sc)::bigint as parse_error_count,
-  round((select avg(parse_error) from sc), 6) as parse_error_rate, round(avg(precision), 6) as macro_precision, round(avg(recall), 6) as macro_recall, round(avg(f1), 6) as macro_f1 from pf""")
+@query(_ONE + _CLASSES + """select (select count(*) from sc) as num_samples, round((select avg(exact) from sc), 9) as accuracy, (select sum(parse_error) from sc)::bigint as parse_error_count,
+  round((select avg(parse_error) from sc), 9) as parse_error_rate, round(avg(precision), 9) as macro_precision, round(avg(recall), 9) as macro_recall, round(avg(f1), 9) as macro_f1 from pf""")
 def presence_metrics(spark, d):
     return rounded(scoring.single_choice_summary(single_choice(spark, d), CHOICES))
 
 
-@query(_ONE + _CLASSES + "select label, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from pf")
+@query(_ONE + _CLASSES + "select label, tp, fp, fn, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, support from pf")
 def presence_per_class(spark, d):
     return rounded(scoring.per_label(scoring.single_choice_classes(single_choice(spark, d), CHOICES)))
 
 
 @query(_ONE + """, grid as (select t.label as target, p.label as pred from (select unnest(['a','b','c','d']) as label) t cross join (select unnest(['a','b','c','d']) as label) p),
 cells as (select target, grid.pred as pred, count(item) as n from grid left join sc on gold = target and sc.pred = grid.pred group by 1, 2)
-select target, pred, n, round(coalesce(n / nullif(sum(n) over (partition by target), 0), 0), 6) as row_share, round(coalesce(n / nullif(sum(n) over (partition by pred), 0), 0), 6) as col_share,
-  round(coalesce(n / nullif(sum(n) over (), 0), 0), 6) as share from cells""")
+select target, pred, n, round(coalesce(n / nullif(sum(n) over (partition by target), 0), 0), 9) as row_share, round(coalesce(n / nullif(sum(n) over (partition by pred), 0), 0), 9) as col_share,
+  round(coalesce(n / nullif(sum(n) over (), 0), 0), 9) as share from cells""")
 def presence_confusion(spark, d):
     return rounded(scoring.normalized(scoring.confusion(single_choice(spark, d).where("pred is not null"), "gold", "pred", CHOICES, CHOICES)))
 
 
 @query(_ONE + """, g as (select grp, max(exact) as ok from sc group by grp), r as (select sc.*, ok from sc join g using (grp))
 select count(*) filter (ok = 1) as num_samples, count(*) as raw_num_samples, count(distinct grp) filter (ok = 1) as num_groups, count(distinct grp) as raw_num_groups,
-  count(distinct grp) filter (ok = 0) as num_groups_excluded, round(coalesce(avg(exact) filter (ok = 1), 0), 6) as accuracy, round(coalesce(avg(parse_error) filter (ok = 1), 0), 6) as parse_error_rate from r""")
+  count(distinct grp) filter (ok = 0) as num_groups_excluded, round(coalesce(avg(exact) filter (ok = 1), 0), 9) as accuracy, round(coalesce(avg(parse_error) filter (ok = 1), 0), 9) as parse_error_rate from r""")
 def presence_gated(spark, d):
     out = scoring.gated_summary(single_choice(spark, d), [], ["grp"], True)
     return rounded(out.select("num_samples", "raw_num_samples", "num_groups", "raw_num_groups", "num_groups_excluded", F.col("avg_exact").alias("accuracy"), "parse_error_rate"))
@@ -96,7 +96,7 @@ def presence_gated(spark, d):
 def _consistency_sql(source: str, value: str, where: str = "true", least: int = 1, if_none: float = 0.0) -> str:
     return f"""{source}, g as (select grp, count(*) as n, count(distinct {value}) as dv, max(exact) as ok from sc where {where} group by grp having count(*) >= {least})
 select count(*) filter (ok = 1) as num_groups, count(*) filter (ok <> 1) as num_groups_excluded,
-  round(coalesce(avg(case when n = 1 then 1 else 1 - (dv - 1) / (n - 1) end) filter (ok = 1), {if_none}), 6) as mean_consistency from g"""
+  round(coalesce(avg(case when n = 1 then 1 else 1 - (dv - 1) / (n - 1) end) filter (ok = 1), {if_none}), 9) as mean_consistency from g"""
 
 
 @query(_consistency_sql(_ONE, "pred", "pred is not null"))
@@ -164,20 +164,20 @@ lf as (select *, case when precision + recall = 0 then 0 else 2 * precision * re
 """
 _MICRO = """, mi as (select sum(tp) / nullif(sum(tp) + sum(fp), 0) as mp, sum(tp) / nullif(sum(tp) + sum(fn), 0) as mr, avg(precision) as ap, avg(recall) as ar, avg(f1) as af from lf)
 """
-_MICRO_COLUMNS = """round(coalesce(mp, 0), 6) as micro_precision, round(coalesce(mr, 0), 6) as micro_recall, round(coalesce(2 * mp * mr / nullif(mp + mr, 0), 0), 6) as micro_f1,
-  round(coalesce(ap, 0), 6) as macro_precision, round(coalesce(ar, 0), 6) as macro_recall, round(coalesce(af, 0), 6) as macro_f1"""
+_MICRO_COLUMNS = """round(coalesce(mp, 0), 9) as micro_precision, round(coalesce(mr, 0), 9) as micro_recall, round(coalesce(2 * mp * mr / nullif(mp + mr, 0), 0), 9) as micro_f1,
+  round(coalesce(ap, 0), 9) as macro_precision, round(coalesce(ar, 0), 9) as macro_recall, round(coalesce(af, 0), 9) as macro_f1"""
 
 
 @query(_SETS + _scored_sql("it", "all_rows") + """, ok as (select grp, max(exact) as any_ok from all_rows group by grp),
 sc as (select all_rows.* from all_rows join ok using (grp) where any_ok = 1)""" + _LABELS + _MICRO + f"""
 select (select count(*) from sc) as num_samples, (select count(*) from all_rows) as raw_num_samples, (select count(*) from ok where any_ok = 1) as num_groups, (select count(*) from ok) as raw_num_groups,
-  round((select avg(exact) from sc), 6) as exact_accuracy, round((select avg(iou) from sc), 6) as set_miou, {_MICRO_COLUMNS} from mi""")
+  round((select avg(exact) from sc), 9) as exact_accuracy, round((select avg(iou) from sc), 9) as set_miou, {_MICRO_COLUMNS} from mi""")
 def attr_scoring(spark, d):
     """Flagship: label sets scored, gated by group, with micro and macro metrics over kept rows."""
     return rounded(scoring.gated_label_scores(label_sets(spark, d), ["grp"]))
 
 
-@query(_SETS_SCORED + _LABELS + "select label, tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1, support from lf")
+@query(_SETS_SCORED + _LABELS + "select label, tp, fp, fn, round(precision, 9) as precision, round(recall, 9) as recall, round(f1, 9) as f1, support from lf")
 def segments_per_label(spark, d):
     return rounded(scoring.per_label(scoring.label_counts(label_sets(spark, d))))
 
@@ -187,16 +187,16 @@ def segments_micro_macro(spark, d):
     return rounded(scoring.micro_macro(scoring.label_counts(label_sets(spark, d))))
 
 
-@query(_SETS + _scored_sql() + ", " + _scored_sql("it", "sz", "0.0") + """select sc.item, sc.exact::double as exact, sc.partial::double as partial, round(sc.precision, 6) as precision, round(sc.recall, 6) as recall, round(sc.f1, 6) as f1, round(sc.iou, 6) as iou,
-  sc.tp::int as tp, sc.fp::int as fp, sc.fn::int as fn, round(sz.precision, 6) as precision0, round(sz.recall, 6) as recall0, round(sz.f1, 6) as f10 from sc join sz using (item)""")
+@query(_SETS + _scored_sql() + ", " + _scored_sql("it", "sz", "0.0") + """select sc.item, sc.exact::double as exact, sc.partial::double as partial, round(sc.precision, 9) as precision, round(sc.recall, 9) as recall, round(sc.f1, 9) as f1, round(sc.iou, 9) as iou,
+  sc.tp::int as tp, sc.fp::int as fp, sc.fn::int as fn, round(sz.precision, 9) as precision0, round(sz.recall, 9) as recall0, round(sz.f1, 9) as f10 from sc join sz using (item)""")
 def set_metrics_item(spark, d):
     rows = label_sets(spark, d)
     zero = L.set_metrics(F.col("gold"), F.col("pred"), empty_is_perfect=False)
     return rounded(rows.select("item", *scoring.METRICS, "tp", "fp", "fn", zero["precision"].alias("precision0"), zero["recall"].alias("recall0"), zero["f1"].alias("f10")))
 
 
-@query(_SETS_SCORED + """select grp, count(*) as num_items, max(exact) = 1 as group_any_correct, min(exact) = 1 as group_all_correct, round(avg(exact), 6) as group_mean_exact, round(avg(iou), 6) as group_mean_iou,
-  round(avg(partial), 6) as group_mean_partial, round(case when count(*) = 1 then 1 else 1 - (count(distinct to_json(pred)) - 1) / (count(*) - 1) end, 6) as group_consistency, max(exact) = 1 as counted from sc group by grp""")
+@query(_SETS_SCORED + """select grp, count(*) as num_items, max(exact) = 1 as group_any_correct, min(exact) = 1 as group_all_correct, round(avg(exact), 9) as group_mean_exact, round(avg(iou), 9) as group_mean_iou,
+  round(avg(partial), 9) as group_mean_partial, round(case when count(*) = 1 then 1 else 1 - (count(distinct to_json(pred)) - 1) / (count(*) - 1) end, 9) as group_consistency, max(exact) = 1 as counted from sc group by grp""")
 def group_summary(spark, d):
     return rounded(scoring.group_summary(label_sets(spark, d), ["grp"]))
 
@@ -222,10 +222,10 @@ def composite_to_cues(spark, d):
 @query(_ONE + """, a as (select grp, min(exact) = 1 as ca from sc where grp is not null group by grp), """ + _SETS.replace("with ls as", "ls as") + _scored_sql("it", "s2") + """, b as (select grp, max(exact) = 1 as cb from s2 group by grp),
 j as (select ca, cb from a join b using (grp)), c as (select count(*) as n, count(*) filter (ca and cb) as both_correct, count(*) filter (ca and not cb) as a_correct_b_wrong, count(*) filter (not ca and cb) as a_wrong_b_correct, count(*) filter (not ca and not cb) as both_wrong from j),
 v as (select *, both_correct::double as a, a_correct_b_wrong::double as b, a_wrong_b_correct::double as c2, both_wrong::double as dd from c)
-select n, both_correct, a_correct_b_wrong, a_wrong_b_correct, both_wrong, round(coalesce((a * dd - b * c2) / nullif(sqrt((a + b) * (c2 + dd) * (a + c2) * (b + dd)), 0), 0), 6) as phi,
+select n, both_correct, a_correct_b_wrong, a_wrong_b_correct, both_wrong, round(coalesce((a * dd - b * c2) / nullif(sqrt((a + b) * (c2 + dd) * (a + c2) * (b + dd)), 0), 0), 9) as phi,
   round(case when a > 0 then a / n * log2(a * n / ((a + b) * (a + c2))) else 0 end + case when b > 0 then b / n * log2(b * n / ((a + b) * (b + dd))) else 0 end
-  + case when c2 > 0 then c2 / n * log2(c2 * n / ((c2 + dd) * (a + c2))) else 0 end + case when dd > 0 then dd / n * log2(dd * n / ((c2 + dd) * (b + dd))) else 0 end, 6) as mutual_info_bits,
-  round(dd / nullif(c2 + dd, 0), 6) as p_b_wrong_given_a_wrong from v""")
+  + case when c2 > 0 then c2 / n * log2(c2 * n / ((c2 + dd) * (a + c2))) else 0 end + case when dd > 0 then dd / n * log2(dd * n / ((c2 + dd) * (b + dd))) else 0 end, 9) as mutual_info_bits,
+  round(dd / nullif(c2 + dd, 0), 9) as p_b_wrong_given_a_wrong from v""")
 def task_coupling(spark, d):
     a = scoring.key_correctness(single_choice(spark, d), "grp", "all")
     b = scoring.key_correctness(label_sets(spark, d), "grp", "any")
@@ -267,8 +267,8 @@ it as (select delivery_id, {_id('item_id')} as key, {_id('model_id')} as model,
 _OPTIONS = _ITEMS + _scored_sql()
 
 
-@query(_OPTIONS + """select model, count(*) as num_samples, round(avg(exact), 6) as exact_accuracy, round(avg(partial), 6) as partial_accuracy, round(avg(precision), 6) as avg_precision, round(avg(recall), 6) as avg_recall,
-  round(avg(f1), 6) as avg_f1, round(avg(case when len(pred) = 0 then 1 else 0 end), 6) as abstention_rate, round(avg(case when parse_error <> 0 then 1 else 0 end), 6) as parse_error_rate
+@query(_OPTIONS + """select model, count(*) as num_samples, round(avg(exact), 9) as exact_accuracy, round(avg(partial), 9) as partial_accuracy, round(avg(precision), 9) as avg_precision, round(avg(recall), 9) as avg_recall,
+  round(avg(f1), 9) as avg_f1, round(avg(case when len(pred) = 0 then 1 else 0 end), 9) as abstention_rate, round(avg(case when parse_error <> 0 then 1 else 0 end), 9) as parse_error_rate
   from sc where variant = 'compatibility_diversity' group by model""")
 def diversity_scoring(spark, d):
     rows = option_sets(spark, d).where("variant = 'compatibility_diversity'")
@@ -278,8 +278,8 @@ def diversity_scoring(spark, d):
     ))
 
 
-@query(_OPTIONS + """select model, count(*) as num_samples, round(avg(case when len(pred) = 1 and list_has_any(gold, pred) then 1 else 0 end), 6) as hit_at_1, round(avg(case when len(pred) >= 2 then 1 else 0 end), 6) as non_committal_rate,
-  round(avg(len(pred)), 6) as mean_num_predictions, round(avg(exact), 6) as exact_accuracy from sc where variant = 'compatibility_category' group by model""")
+@query(_OPTIONS + """select model, count(*) as num_samples, round(avg(case when len(pred) = 1 and list_has_any(gold, pred) then 1 else 0 end), 9) as hit_at_1, round(avg(case when len(pred) >= 2 then 1 else 0 end), 9) as non_committal_rate,
+  round(avg(len(pred)), 9) as mean_num_predictions, round(avg(exact), 9) as exact_accuracy from sc where variant = 'compatibility_category' group by model""")
 def category_hit_at_1(spark, d):
     rows = option_sets(spark, d).where("variant = 'compatibility_category'")
     return rounded(rows.groupBy("model").agg(
@@ -288,13 +288,13 @@ def category_hit_at_1(spark, d):
     ))
 
 
-@query(_OPTIONS + "select cast(len(gold) as int) as num_correct, count(*) as n, round(avg(exact), 6) as exact_accuracy, round(avg(partial), 6) as partial_accuracy from sc where parse_error = 0 group by 1")
+@query(_OPTIONS + "select cast(len(gold) as int) as num_correct, count(*) as n, round(avg(exact), 9) as exact_accuracy, round(avg(partial), 9) as partial_accuracy from sc where parse_error = 0 group by 1")
 def by_num_correct(spark, d):
     return rounded(scoring.by_gold_size(option_sets(spark, d)))
 
 
 @query(_OPTIONS + """, tg as (select unnest(targets) as target, exact, partial from sc where parse_error = 0)
-select dim.target, count(exact) as n, round(coalesce(avg(exact), 0), 6) as exact_accuracy, round(coalesce(avg(partial), 0), 6) as partial_accuracy
+select dim.target, count(exact) as n, round(coalesce(avg(exact), 0), 9) as exact_accuracy, round(coalesce(avg(partial), 0), 9) as partial_accuracy
   from (select unnest(['arm_upper', 'arm_lower', 'leg_upper', 'leg_lower']) as target) dim left join tg using (target) group by dim.target""")
 def by_part(spark, d):
     return rounded(scoring.by_target(option_sets(spark, d), "targets", dims.COARSE_PARTS))
@@ -316,9 +316,9 @@ def consistency_pm(spark, d):
 
 @query(_OPTIONS + """, g as (select variant, model, grp, max(exact) as ok from sc group by all), r as (select sc.*, ok from sc join g on sc.variant = g.variant and sc.model is not distinct from g.model and sc.grp = g.grp)
 select variant, model, count(*) filter (ok = 1) as num_samples, count(*) as raw_num_samples, count(distinct grp) filter (ok = 1) as num_groups, count(distinct grp) as raw_num_groups, count(distinct grp) filter (ok = 0) as num_groups_excluded,
-  round(coalesce(avg(exact) filter (ok = 1), 0), 6) as avg_exact, round(coalesce(avg(partial) filter (ok = 1), 0), 6) as avg_partial, round(coalesce(avg(precision) filter (ok = 1), 0), 6) as avg_precision,
-  round(coalesce(avg(recall) filter (ok = 1), 0), 6) as avg_recall, round(coalesce(avg(f1) filter (ok = 1), 0), 6) as avg_f1, round(coalesce(avg(iou) filter (ok = 1), 0), 6) as avg_iou,
-  round(coalesce(avg(parse_error) filter (ok = 1), 0), 6) as parse_error_rate from r group by 1, 2""")
+  round(coalesce(avg(exact) filter (ok = 1), 0), 9) as avg_exact, round(coalesce(avg(partial) filter (ok = 1), 0), 9) as avg_partial, round(coalesce(avg(precision) filter (ok = 1), 0), 9) as avg_precision,
+  round(coalesce(avg(recall) filter (ok = 1), 0), 9) as avg_recall, round(coalesce(avg(f1) filter (ok = 1), 0), 9) as avg_f1, round(coalesce(avg(iou) filter (ok = 1), 0), 9) as avg_iou,
+  round(coalesce(avg(parse_error) filter (ok = 1), 0), 9) as parse_error_rate from r group by 1, 2""")
 def compatibility_gated(spark, d):
     return rounded(scoring.gated_summary(option_sets(spark, d), ["variant", "model"], ["variant", "model", "grp"], True))
 
@@ -337,8 +337,8 @@ def last_prediction(spark, d):
     return p.groupBy(clean_id(F.col("item_id")).alias("item"), clean_id(F.col("model_id")).alias("model")).agg(F.max_by("delivery_id", F.struct("delivered_at", "delivery_id")).alias("delivery_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""select {_id('model_id')} as model, count(latency_ms) as n, sum(latency_ms)::bigint as total, round(avg(latency_ms), 6) as mean, min(latency_ms) as least, max(latency_ms) as most, round(quantile_cont(latency_ms, 0.5), 6) as median,
-  round(quantile_cont(latency_ms, 0.1), 6) as p10, round(quantile_cont(latency_ms, 0.9), 6) as p90 from predictions group by 1""")
+@query(f"""select {_id('model_id')} as model, count(latency_ms) as n, sum(latency_ms)::bigint as total, round(avg(latency_ms), 9) as mean, min(latency_ms) as least, max(latency_ms) as most, round(quantile_cont(latency_ms, 0.5), 9) as median,
+  round(quantile_cont(latency_ms, 0.1), 9) as p10, round(quantile_cont(latency_ms, 0.9), 9) as p90 from predictions group by 1""")
 def latency_statistics(spark, d):
     p = table(spark, d, "predictions").select(clean_id(F.col("model_id")).alias("model"), "latency_ms")
     q = F.percentile("latency_ms", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
@@ -392,7 +392,7 @@ def freeform_counts(spark, d):
     return rounded(scoring.count_statistics(rows.withColumn("answers", F.size("pred")), ["model_name"], "answers"))
 
 
-@query("""select model_name, count(*) as num_items, round(avg(case when parser_status = 'unparsable' then 0 else 1 end), 6) as parse_success_rate, round(avg(case when parser_status = 'hallucinated' then 1 else 0 end), 6) as hallucination_rate
+@query("""select model_name, count(*) as num_items, round(avg(case when parser_status = 'unparsable' then 0 else 1 end), 9) as parse_success_rate, round(avg(case when parser_status = 'hallucinated' then 1 else 0 end), 9) as hallucination_rate
   from freeform_outputs group by 1""")
 def parse_coverage(spark, d):
     rows = free_text(spark, d)
@@ -413,8 +413,8 @@ select delivery_id, list_sort(coalesce(found, [])) as choices, case when found i
 
 @query(_RAW)
 def parse_choices(spark, d):
-    choices, error = X.choices_of(F.col("raw_text"))
-    return table(spark, d, "predictions").select("delivery_id", F.array_sort(choices).alias("choices"), error.alias("parse_error"))
+    p = X.with_choices(table(spark, d, "predictions").select("delivery_id", "raw_text"), "raw_text")
+    return p.select("delivery_id", F.array_sort("choices_read").alias("choices"), F.col("error_read").alias("parse_error"))
 
 
 @query(r"""select delivery_id, nullif(regexp_extract(lower(raw_text), '(?:^|[^a-z0-9_])([abcd])(?:[^a-z0-9_]|$)', 1), '') as by_position,
@@ -441,7 +441,7 @@ def avg_rank(spark, d):
 
 @query(_SCORES + """, r as (select *, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rx, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as ry from ms),
 s as (select sum(sign(a.x - b.x) * sign(a.y - b.y)) as s, count(*) as n0, count(*) filter (a.x = b.x) as n1, count(*) filter (a.y = b.y) as n2 from ms a join ms b on a.model < b.model)
-select round(coalesce(corr(x, y), 0), 6) as pearson, round(coalesce(corr(rx, ry), 0), 6) as spearman, (select round(coalesce(s / nullif(sqrt((n0 - n1)::double * (n0 - n2)), 0), 0), 6) from s) as kendall_tau_b from r""")
+select round(coalesce(corr(x, y), 0), 9) as pearson, round(coalesce(corr(rx, ry), 0), 9) as spearman, (select round(coalesce(s / nullif(sqrt((n0 - n1)::double * (n0 - n2)), 0), 0), 9) from s) as kendall_tau_b from r""")
 def correlations(spark, d):
     ms = model_scores(spark, d)
     p = ms.agg(statistics.pearson(F.col("x"), F.col("y")).alias("pearson"))
@@ -458,7 +458,7 @@ _DRAWS = """draw as (select rep, slot, ('0x' || substr(md5(rep::varchar || ':' |
 
 
 @query(_ONE + ", nn as (select count(*) as n from sc), o as (select exact, row_number() over (order by exact) - 1 as place from sc), " + _DRAWS + """reps as (select rep, avg(exact) as m from draw join o using (place) group by rep)
-select (select round(avg(exact), 6) from sc) as mean, round(stddev_samp(m), 6) as std, round(quantile_cont(m, 0.025), 6) as ci_lower, round(quantile_cont(m, 0.975), 6) as ci_upper from reps""")
+select (select round(avg(exact), 9) from sc) as mean, round(stddev_samp(m), 9) as std, round(quantile_cont(m, 0.025), 9) as ci_lower, round(quantile_cont(m, 0.975), 9) as ci_upper from reps""")
 def bootstrap_mean(spark, d):
     rows = single_choice(spark, d).select(F.col("exact").cast("int").alias("hit"))
     reps = statistics.bootstrap_sums(rows, ["hit"], replicates=50).select((F.col("hit") / F.col("n")).alias("m"))
@@ -467,7 +467,7 @@ def bootstrap_mean(spark, d):
 
 @query(_SETS_SCORED + """, nn as (select count(*) as n from sc), o as (select tp, fp, fn, row_number() over (order by tp, fp, fn) - 1 as place from sc), """ + _DRAWS + """reps as (select rep, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from draw join o using (place) group by rep),
 f as (select 2 * tp / nullif(2 * tp + fp + fn, 0) as m from reps)
-select (select round(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 6) from sc) as mean, round(stddev_samp(m), 6) as std, round(quantile_cont(m, 0.025), 6) as ci_lower, round(quantile_cont(m, 0.975), 6) as ci_upper from f""")
+select (select round(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 9) from sc) as mean, round(stddev_samp(m), 9) as std, round(quantile_cont(m, 0.025), 9) as ci_lower, round(quantile_cont(m, 0.975), 9) as ci_upper from f""")
 def bootstrap_micro_f1(spark, d):
     rows = label_sets(spark, d).select("tp", "fp", "fn")
     f1 = lambda t, p, n: L.ratio(2 * t, 2 * t + p + n)
@@ -484,7 +484,7 @@ def bootstrap_poisson(spark, d):
 
 
 @query("""with runs as (select event_type as model, cast(ts as date) as run, avg(value) as v from events group by 1, 2)
-select model, count(v) as n, round(avg(v), 6) as mean, round(coalesce(stddev_samp(v), 0), 6) as std from runs group by 1""")
+select model, count(v) as n, round(avg(v), 9) as mean, round(coalesce(stddev_samp(v), 0), 9) as std from runs group by 1""")
 def run_moments(spark, d):
     return rounded(statistics.moments(_runs(spark, d), "v", ["model"]))
 
@@ -505,18 +505,18 @@ def welch_t(spark, d):
 
 # ---- findings and reports --------------------------------------------------------------------
 
-@query(_OPTIONS + """select model, round(avg(f1) filter (variant = 'compatibility_diversity'), 6) as compatibility_diversity, round(avg(case when len(pred) = 1 and list_has_any(gold, pred) then 1 else 0 end) filter (variant = 'compatibility_category'), 6) as compatibility_category
+@query(_OPTIONS + """select model, round(avg(f1) filter (variant = 'compatibility_diversity'), 9) as compatibility_diversity, round(avg(case when len(pred) = 1 and list_has_any(gold, pred) then 1 else 0 end) filter (variant = 'compatibility_category'), 9) as compatibility_category
   from sc group by model""")
 def finding_f1(spark, d):
     """Key metric of each variant by model."""
     rows = option_sets(spark, d)
     key = F.when(F.col("variant") == "compatibility_diversity", F.col("f1")).otherwise(L.hit_at_1(F.col("gold"), F.col("pred")))
-    long = rows.groupBy("model", "variant").agg(F.round(F.avg(key), 6).alias("value"))
+    long = rows.groupBy("model", "variant").agg(F.round(F.avg(key), 9).alias("value"))
     return reports.matrix(long, "model", "variant", "value", ["compatibility_diversity", "compatibility_category"])
 
 
 @query(_ONE + """, a as (select grp % 10 as model, avg(exact) as x from sc group by 1), """ + _SETS.replace("with ls as", "ls as") + _scored_sql("it", "s2") + """, b as (select grp % 10 as model, avg(iou) as y from s2 group by 1)
-select model, round(x, 6) as presence, round(y, 6) as attribution, round(x - y, 6) as gap, round(coalesce((x - y) / nullif(x, 0), 0), 6) as relative_gap from a join b using (model)""")
+select model, round(x, 9) as presence, round(y, 9) as attribution, round(x - y, 9) as gap, round(coalesce((x - y) / nullif(x, 0), 0), 9) as relative_gap from a join b using (model)""")
 def finding_f2(spark, d):
     """Gap between two tasks by model (here: ten classes of groups)."""
     model = F.pmod("grp", F.lit(10)).alias("model")
@@ -526,8 +526,8 @@ def finding_f2(spark, d):
 
 
 @query(_ONE + """, a as (select grp, max(exact) = 1 as ca from sc group by grp), """ + _SETS.replace("with ls as", "ls as") + _scored_sql("it", "s2") + """, b as (select grp, max(exact) = 1 as cb from s2 group by grp), j as (select grp % 10 as model, ca, cb from a join b using (grp))
-select model, count(*) as n, round(count(*) filter (cb and ca) / nullif(count(*) filter (ca), 0), 6) as p_b_given_a, round(count(*) filter (cb and not ca) / nullif(count(*) filter (not ca), 0), 6) as p_b_given_not_a,
-  round(count(*) filter (not cb and ca) / nullif(count(*) filter (ca), 0), 6) as p_not_b_given_a, round(count(*) filter (not cb and not ca) / nullif(count(*) filter (not ca), 0), 6) as p_not_b_given_not_a from j group by model""")
+select model, count(*) as n, round(count(*) filter (cb and ca) / nullif(count(*) filter (ca), 0), 9) as p_b_given_a, round(count(*) filter (cb and not ca) / nullif(count(*) filter (not ca), 0), 9) as p_b_given_not_a,
+  round(count(*) filter (not cb and ca) / nullif(count(*) filter (ca), 0), 9) as p_not_b_given_a, round(count(*) filter (not cb and not ca) / nullif(count(*) filter (not ca), 0), 9) as p_not_b_given_not_a from j group by model""")
 def finding_f3(spark, d):
     """Conditional rates between two tasks' groups."""
     a = scoring.key_correctness(single_choice(spark, d), "grp", "any").withColumnRenamed("correct", "ca")
@@ -536,7 +536,7 @@ def finding_f3(spark, d):
     return rounded(reports.conditional_rates(pairs, "model", F.col("ca"), F.col("cb")))
 
 
-@query(_OPTIONS + "select variant, model, round(avg(partial), 6) as partial, round(avg(exact), 6) as exact, round(avg(partial) - avg(exact), 6) as gap, round(coalesce((avg(partial) - avg(exact)) / nullif(avg(partial), 0), 0), 6) as relative_gap from sc group by 1, 2")
+@query(_OPTIONS + "select variant, model, round(avg(partial), 9) as partial, round(avg(exact), 9) as exact, round(avg(partial) - avg(exact), 9) as gap, round(coalesce((avg(partial) - avg(exact)) / nullif(avg(partial), 0), 0), 9) as relative_gap from sc group by 1, 2")
 def finding_f4(spark, d):
     """Gap between partial and exact matches."""
     means = option_sets(spark, d).groupBy("variant", "model").agg(F.avg("partial").alias("partial"), F.avg("exact").alias("exact"))
@@ -551,18 +551,18 @@ def finding_f5(spark, d):
     return reports.consistency_by_correctness(groups, ["variant", "model"], F.col("group_consistency") >= 1, F.col("group_any_correct"))
 
 
-@query(_OPTIONS + """, m as (select variant, model, round(avg(f1), 6) as value from sc where model is not null group by 1, 2)
+@query(_OPTIONS + """, m as (select variant, model, round(avg(f1), 9) as value from sc where model is not null group by 1, 2)
 select variant, arg_min(model, (-value, model)) as model, max(value) as value from m group by variant""")
 def best_model(spark, d):
-    m = option_sets(spark, d).where("model is not null").groupBy("variant", "model").agg(F.round(F.avg("f1"), 6).alias("value"))
+    m = option_sets(spark, d).where("model is not null").groupBy("variant", "model").agg(F.round(F.avg("f1"), 9).alias("value"))
     return reports.best_per(m, "variant", "value", "model")
 
 
-@query(_OPTIONS + """, k as (select model, key, round(avg(f1), 6) as v from sc where model is not null group by 1, 2), a as (select * from k where not ends_with(model, '-instruct')), b as (select replace(model, '-instruct', '') as model, key, v from k where ends_with(model, '-instruct'))
-select model, key, a.v as a, b.v as b, round(a.v - b.v, 6) as delta from a join b using (model, key)""")
+@query(_OPTIONS + """, k as (select model, key, round(avg(f1), 9) as v from sc where model is not null group by 1, 2), a as (select * from k where not ends_with(model, '-instruct')), b as (select replace(model, '-instruct', '') as model, key, v from k where ends_with(model, '-instruct'))
+select model, key, a.v as a, b.v as b, round(a.v - b.v, 9) as delta from a join b using (model, key)""")
 def paired_delta(spark, d):
     """Item-wise difference between a model and its instruct sibling."""
-    k = option_sets(spark, d).where("model is not null").groupBy("model", "key").agg(F.round(F.avg("f1"), 6).alias("f1"))
+    k = option_sets(spark, d).where("model is not null").groupBy("model", "key").agg(F.round(F.avg("f1"), 9).alias("f1"))
     tuned = F.col("model").endswith("-instruct")
     return rounded(reports.paired_delta(k.where(~tuned), k.where(tuned).withColumn("model", F.regexp_replace("model", "-instruct$", "")), ["model", "key"], "f1"))
 
@@ -575,12 +575,12 @@ def failure_examples(spark, d):
     return reports.first_per_class(rows, classes, ["delivery_id"]).select("failure_class", "delivery_id")
 
 
-@query(_OPTIONS + """, a as (select model, count(*) as n, round(avg(exact), 6) as exact_accuracy from sc where model is not null group by 1), b as (select lower(trim(model_name)) as model, round(avg(case when parser_status <> 'unparsable' then 1 else 0 end), 6) as parse_success_rate from freeform_outputs where model_name is not null group by 1)
+@query(_OPTIONS + """, a as (select model, count(*) as n, round(avg(exact), 9) as exact_accuracy from sc where model is not null group by 1), b as (select lower(trim(model_name)) as model, round(avg(case when parser_status <> 'unparsable' then 1 else 0 end), 9) as parse_success_rate from freeform_outputs where model_name is not null group by 1)
 select model, n, exact_accuracy, parse_success_rate from a full join b using (model)""")
 def control_summary(spark, d):
     """Metrics and parse coverage merged by model."""
-    a = option_sets(spark, d).where("model is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("exact"), 6).alias("exact_accuracy"))
-    b = table(spark, d, "freeform_outputs").where("model_name is not null").groupBy(F.lower(F.trim("model_name")).alias("model")).agg(F.round(F.avg((F.col("parser_status") != "unparsable").cast("double")), 6).alias("parse_success_rate"))
+    a = option_sets(spark, d).where("model is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("exact"), 9).alias("exact_accuracy"))
+    b = table(spark, d, "freeform_outputs").where("model_name is not null").groupBy(F.lower(F.trim("model_name")).alias("model")).agg(F.round(F.avg((F.col("parser_status") != "unparsable").cast("double")), 9).alias("parse_success_rate"))
     return reports.upsert(["model"], metrics=a, coverage=b)
 
 
@@ -596,7 +596,7 @@ _TAKE = "list_sort(list_transform(list_sort(list_transform(space, lambda x: [md5
 
 def _baseline_sql(pred: str) -> str:
     return _SETS + _SPACE_SQL + _RANKS + f"bl as (select item, grp, gold, {pred} as pred from it, sp, rk, md),\n" + _scored_sql("bl") + """
-select count(*) as num_samples, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, round(avg(exact), 6) as exact, round(avg(iou), 6) as iou from sc"""
+select count(*) as num_samples, sum(tp)::bigint as tp, sum(fp)::bigint as fp, sum(fn)::bigint as fn, round(avg(exact), 9) as exact, round(avg(iou), 9) as iou from sc"""
 
 
 def _baseline(spark, d, name):
@@ -666,12 +666,13 @@ def option_shuffle(spark, d):
     return sampling.permuted_copies(items.where(F.size("opts") >= 4), "item", "opts", 3)
 
 
-@query(_OPTIONS + """, x as (select model, key, delivery_id % 3 as perm, pred, exact, f1 from sc where model is not null), i as (select model, key, stddev_pop(exact) as es, stddev_pop(f1) as fs, count(*) as n from x group by 1, 2)
-select model, count(*) as num_items, round(avg(es), 6) as exact_std_mean, round(avg(fs), 6) as f1_std_mean from i group by 1""")
+@query(_OPTIONS + """, x as (select model, key, delivery_id, pred, exact, f1 from sc where model is not null), i as (select model, key, stddev_pop(exact) as es, stddev_pop(f1) as fs, count(*) as n from x group by 1, 2),
+ja as (select a.model, a.key, avg(case when len(list_concat(a.pred, b.pred)) = 0 then 1 else len(list_intersect(a.pred, b.pred)) / len(list_distinct(list_concat(a.pred, b.pred))) end) as j from x a join x b on a.model = b.model and a.key = b.key and a.delivery_id < b.delivery_id group by 1, 2)
+select model, count(*) as num_items, round(avg(coalesce(j, 1)), 9) as selected_set_jaccard_mean, round(avg(es), 9) as exact_std_mean, round(avg(fs), 9) as f1_std_mean from i left join ja using (model, key) group by 1""")
 def shuffle_sensitivity(spark, d):
     """Spread of a model's answers to repeated deliveries of an item."""
     rows = option_sets(spark, d).where("model is not null")
-    return rounded(sampling.shuffle_sensitivity(rows, "model", "key", "pred").drop("selected_set_jaccard_mean"))
+    return rounded(sampling.shuffle_sensitivity(rows, "model", "key", "pred"))
 
 
 # ---- resume, audits, construction ------------------------------------------------------------

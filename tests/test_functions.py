@@ -130,11 +130,9 @@ CHOICES = [
 
 def test_choices(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CHOICES)], "i int, raw string")
-    c, e = X.choices_of(F.col("raw"))
-    for r in df.select("i", c.alias("c"), e.alias("e")).collect():
+    for r in X.with_choices(df, "raw", "c", "e").collect():
         assert (r.c, r.e) == CHOICES[r.i][1:], CHOICES[r.i]
-    c, e = X.choices_of(F.col("raw"), numeric=True)
-    rows = spark.createDataFrame([("1, 3",), ('{"choices": ["2", "9"]}',), ("none",)], "raw string").select(c.alias("c"), e.alias("e")).collect()
+    rows = X.with_choices(spark.createDataFrame([("1, 3",), ('{"choices": ["2", "9"]}',), ("none",)], "raw string"), "raw", "c", "e", numeric=True).collect()
     assert [(r.c, r.e) for r in rows] == [(["A", "C"], 0), (["B"], 0), ([], 1)]
 
 
