@@ -381,12 +381,27 @@ def _free_scored(spark, d):
     return rows.withColumns({"invalid": F.col("parser_status") == "unparsable", "hallucinated": F.col("parser_status") == "hallucinated", "omitted": F.size(F.array_except("gold", "pred")) > 0})
 
 
-@query(None)
+_FREE = r"""with al as (select distinct canonical, alias from (select canonical, normalized_alias as alias from alias_entries union all select canonical, replace(canonical, '_', ' ') from alias_entries)),
+pat as (select ' (' || string_agg(replace(alias, ' ', '  '), '|' order by len(string_split(alias, ' ')) desc, len(alias) desc, alias) || ') ' as rx, map(list(alias), list(canonical)) as names from al),
+ff as (select output_id, record_id, image_id, model_name, trim(regexp_replace(lower(coalesce(raw_text, '')), '[\s\x{00a0}]+', ' ', 'g')) as t, predicted_labels from freeform_outputs),
+n as (select * exclude t, trim(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(t, '[^\p{L}\p{N}\-/,;\s]', ' ', 'g'), '\s+', ' ', 'g')), '\s*([,;])\s*', '\1', 'g'), '\s+', ' ', 'g')) as t from ff),
+its as (select *, list_filter(list_transform(regexp_split_to_array(t, '\s*(?:,|;|\bas well as\b|\band\b)\s*'), lambda x: trim(x)), lambda x: x <> '') as items from n),
+ps as (select its.*, flatten(list_transform(items, lambda i: list_transform(regexp_extract_all(' ' || replace(i, ' ', '  ') || ' ', rx, 1), lambda p: names[replace(p, '  ', ' ')]))) as found,
+  len(flatten(list_transform(items, lambda i: list_filter(regexp_split_to_array(' ' || replace(i, ' ', '  ') || ' ', rx), lambda x: trim(x) <> '')))) as rest from its, pat),
+gold as (select image_id, list_sort(list_distinct(arg_min(coalesce(predicted_labels, []), output_id))) as gold from freeform_outputs group by image_id),
+it as (select output_id, model_name, list_sort(list_distinct(found)) as pred, coalesce(gold, []) as gold, len(items) = 0 as invalid, len(items) > 0 and rest > 0 as hallucinated from ps join gold on ps.image_id is not distinct from gold.image_id),
+"""
+
+
+@query(_FREE + _scored_sql("it", "sc", "0.0") + """select model_name, count(*) as num_samples, round(avg(exact), 9) as exact_set_match, round(avg(iou), 9) as set_miou, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0), 9) as micro_precision,
+  round(coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0), 9) as micro_recall, round(coalesce(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0), 9) as micro_f1, round(avg(precision), 9) as macro_precision, round(avg(recall), 9) as macro_recall,
+  round(avg(f1), 9) as macro_f1, round(avg(invalid::int), 9) as invalid_rate, round(avg(hallucinated::int), 9) as hallucinated_rate, round(avg((fn > 0)::int), 9) as omitted_rate from sc group by 1""")
 def freeform_summary(spark, d):
     return rounded(scoring.item_average_summary(_free_scored(spark, d), ["model_name"]))
 
 
-@query(None)
+@query(_FREE + """q as (select model_name, len(pred) as answers from it)
+select model_name, count(answers) as n, round(avg(answers), 9) as mean, round(quantile_cont(answers, 0.5), 9) as median, round(quantile_cont(answers, 0.1), 9) as p10, round(quantile_cont(answers, 0.9), 9) as p90 from q group by 1""")
 def freeform_counts(spark, d):
     rows = _free_scored(spark, d)
     return rounded(scoring.count_statistics(rows.withColumn("answers", F.size("pred")), ["model_name"], "answers"))
@@ -718,13 +733,19 @@ def target_labels(spark, d):
     return construction.image_evidence(table(spark, d, "images"), table(spark, d, "annotations"), **_RULE)
 
 
-@query(None)
+_PROMPTS = [f"prompt {i}" for i in range(8)]
+
+
+@query(_EVIDENCE + f""", c as (select image_id, labels, {_CLASS} as presence_class from evidence),
+t as (select 'recognition' as task_name, image_id, 'presence_img' || image_id as group_id, case presence_class when 'residual_only' then 'a' when 'prosthesis_only' then 'b' when 'residual_and_prosthesis' then 'c' else 'd' end as target_answer, []::varchar[] as target_labels
+  from c where presence_class <> 'none' union all select 'attribution', image_id, 'segments_img' || image_id, null, labels from c where len(labels) > 0),
+p as (select *, list_transform(list_sort(list_transform({_PROMPTS}, lambda x: [md5(image_id::varchar || ':' || x), x]))[1:3], lambda y: y[2]) as picked from t)
+select task_name, image_id, group_id, cast(i - 1 as int) as prompt_id, picked[i] as prompt, target_answer, target_labels from (select *, unnest(generate_series(1, 3)) as i from p)""")
 def evidence_queries(spark, d):
     """Presence and attribution queries of every image, three sampled prompts each."""
-    prompts = [f"prompt {i}" for i in range(8)]
     evidence = construction.image_evidence(table(spark, d, "images"), table(spark, d, "annotations"), **_RULE)
-    a = construction.evidence_queries(evidence, "recognition", prompts, 3)
-    return a.unionByName(construction.evidence_queries(evidence, "attribution", prompts, 3))
+    a = construction.evidence_queries(evidence, "recognition", _PROMPTS, 3)
+    return a.unionByName(construction.evidence_queries(evidence, "attribution", _PROMPTS, 3))
 
 
 @query(f"""with k as (select image_id, annotation_id, lower(trim(part8)) as p, area from prosthesis_instances where area >= 1000 and bbox_xywh[4] > 0 and bbox_xywh[3] / bbox_xywh[4] between 0.25 and 4 and lower(trim(part8)) in {tuple(dims.PART8)}),
