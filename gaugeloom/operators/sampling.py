@@ -40,6 +40,16 @@ def sample_prompts(df: DataFrame, prompts: list[str], k: int, *seed: str) -> Dat
     return df.select("*", F.posexplode(picked).alias("prompt_id", "prompt"))
 
 
+MAX_POOL = 10_000  # options of a pool; every item meets those of its parts
+
+
+def checked_pool(pool: DataFrame, limit: int = MAX_POOL) -> DataFrame:
+    """The pool with its part as option_coarse; more options than the limit are an error."""
+    if pool.limit(limit + 1).count() > limit:
+        raise ValueError(f"more than {limit} options in the pool")
+    return pool.withColumnRenamed("coarse", "option_coarse")
+
+
 def sample_options(targets: DataFrame, pool: DataFrame, quotas: list[tuple[str, str, Column]], item: str, exclude: str | None = None) -> DataFrame:
     """(item, option..., kind, letter): options drawn from a pool per item.
 
@@ -48,14 +58,14 @@ def sample_options(targets: DataFrame, pool: DataFrame, quotas: list[tuple[str,
     ``cross`` (other limb). exclude: a column both have; equal values are left out. Options
     of a quota are the first in md5(item:option) order, letters follow the same order.
 
-    The pool must be a bounded catalogue: the join is on the related part, so an item meets
-    the options of its parts only; per item and kind no more than the quota is kept before
-    the letters are given.
+    The pool is a catalogue of at most MAX_POOL options, which is checked: the join is on the
+    related part, so an item meets the options of its parts only; per item and kind no more
+    than the quota is kept before the letters are given.
     """
     relation = [(c, "same", c) for c in dims.COARSE_PARTS] + [(c, "hard", x) for c in dims.COARSE_PARTS for x in dims.hard_negatives(c)] + [(c, "cross", x) for c in dims.COARSE_PARTS for x in dims.cross_limb(c)]
     spark = targets.sparkSession
     dim = spark.createDataFrame(relation, "coarse string, relation string, option_coarse string")
-    joined = targets.join(F.broadcast(dim), "coarse").join(pool.withColumnRenamed("coarse", "option_coarse"), "option_coarse")  # dim: 16 rows
+    joined = targets.join(F.broadcast(dim), "coarse").join(checked_pool(pool), "option_coarse")  # dim: 16 rows
     if exclude:
         joined = joined.where(~F.col(exclude).eqNullSafe(F.col(f"option_{exclude}")))
     joined = joined.withColumn("_h", hash_order(F.col(item).cast("string"), F.col("option_id").cast("string")))
@@ -72,7 +82,7 @@ def sample_options(targets: DataFrame, pool: DataFrame, quotas: list[tuple[str,
 
 def one_option_per_part(items: DataFrame, pool: DataFrame, item: str, exclude: str | None = None) -> DataFrame:
     """(item, option_id, option_coarse, letter): the first option of every part in md5 order, letters in md5 order."""
-    joined = items.select(item, *([exclude] if exclude else [])).join(F.broadcast(items.sparkSession.createDataFrame([(c,) for c in dims.COARSE_PARTS], "option_coarse string"))).join(pool.withColumnRenamed("coarse", "option_coarse"), "option_coarse")
+    joined = items.select(item, *([exclude] if exclude else [])).join(F.broadcast(items.sparkSession.createDataFrame([(c,) for c in dims.COARSE_PARTS], "option_coarse string"))).join(checked_pool(pool), "option_coarse")
     if exclude:
         joined = joined.where(~F.col(exclude).eqNullSafe(F.col(f"option_{exclude}")))
     h = hash_order(F.col(item).cast("string"), F.col("option_id").cast("string"))

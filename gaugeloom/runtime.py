@@ -59,11 +59,13 @@ def instant_micros(c: Column) -> Column:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """df in at least as many partitions as there are cores, for steps that cost far more than moving their rows.
 
-    Inputs in enough splits, as on any large table, stay as they are. Others are hashed by
-    keys, so that a task that runs again sees the same rows.
+    Inputs in enough splits, as on any large table, stay as they are, and so does what comes
+    out of a shuffle (counting its partitions would run it). Others are hashed by keys, so
+    that a task that runs again sees the same rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+    run = df._jdf.queryExecution()
+    if run.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec" or run.toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores, *keys)
 
