@@ -39,7 +39,7 @@ def with_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "source", "digest", "n_tokens"])
 
     known = documents.where("text is not null and source is not null")
-    return spread(known, "doc_id").select(F.col("doc_id").cast("bigint"), "source", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), "text").mapInArrow(count, schema)
+    return known.select(F.col("doc_id").cast("bigint"), "source", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), "text").mapInArrow(count, schema)
 
 
 def entropy(shares: list[float]) -> float:
@@ -115,7 +115,8 @@ class Mixture:
         if len(listed) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} sources have a target")
         named = spark.createDataFrame([(r["source"],) for r in listed], "source string")
-        chosen = documents.select("doc_id", "source", "text").join(F.broadcast(named), "source", "left_semi")  # at most MAX_SOURCES names
+        known = spread(documents.select("doc_id", "source", "text").where("text is not null and source is not null"), "doc_id")
+        chosen = known.join(F.broadcast(named), "source", "left_semi")  # at most MAX_SOURCES names
         at = shared_dir(spark)
         texts = with_tokens(chosen, path).groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"))
         place = F.xxhash64("digest", F.lit(seed))
