@@ -237,7 +237,8 @@ def consistent_table(raw: DataFrame, kind: str, max_columns: int = 500) -> DataF
             pdf = pdf.assign(leaves=[r and {p: {"type": t, "json": _canon(v)} for p, (t, v) in record_leaves(r).items()} for r in got])
             yield pdf.loc[[r is not None for r in got], [*keep, "leaves"]]
 
-    parsed = raw.select(F.col("stream_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("file_no").cast("int"), "line_no", "received_at", "payload").mapInPandas(emit, schema)
+    lines = raw.select(F.col("stream_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("file_no").cast("int"), "line_no", "received_at", "payload")
+    parsed = spread(lines, "file_id", "line_no").mapInPandas(emit, schema)
     named = parsed.join(names, ["stream_id", "file_no"], "left").select(
         *keep,
         F.map_from_entries(
