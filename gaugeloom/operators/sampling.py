@@ -40,16 +40,6 @@ def sample_prompts(df: DataFrame, prompts: list[str], k: int, *seed: str) -> Dat
     return df.select("*", F.posexplode(picked).alias("prompt_id", "prompt"))
 
 
-MAX_POOL = 10_000  # options of a pool; every item meets those of its parts
-
-
-def checked_pool(pool: DataFrame, limit: int = MAX_POOL) -> DataFrame:
-    """The pool with its part as option_coarse; more options than the limit are an error."""
-    if pool.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} options in the pool")
-    return pool.withColumnRenamed("coarse", "option_coarse")
-
-
 def sample_options(targets: DataFrame, pool: DataFrame, quotas: list[tuple[str, str, Column]], item: str, exclude: str | None = None) -> DataFrame:
     """(item, option..., kind, letter): options drawn from a pool per item.
 
@@ -58,14 +48,13 @@ def sample_options(targets: DataFrame, pool: DataFrame, quotas: list[tuple[str,
     ``cross`` (other limb). exclude: a column both have; equal values are left out. Options
     of a quota are the first in md5(item:option) order, letters follow the same order.
 
-    The pool is a catalogue of at most MAX_POOL options, which is checked: the join is on the
-    related part, so an item meets the options of its parts only; per item and kind no more
-    than the quota is kept before the letters are given.
+    The join is on the related part, so an item meets all options of its parts: costs items x
+    pool. ``draw_options`` draws from a pool of any size without that.
     """
     relation = [(c, "same", c) for c in dims.COARSE_PARTS] + [(c, "hard", x) for c in dims.COARSE_PARTS for x in dims.hard_negatives(c)] + [(c, "cross", x) for c in dims.COARSE_PARTS for x in dims.cross_limb(c)]
     spark = targets.sparkSession
     dim = spark.createDataFrame(relation, "coarse string, relation string, option_coarse string")
-    joined = targets.join(F.broadcast(dim), "coarse").join(checked_pool(pool), "option_coarse")  # dim: 16 rows
+    joined = targets.join(F.broadcast(dim), "coarse").join(pool.withColumnRenamed("coarse", "option_coarse"), "option_coarse")  # dim: 16 rows
     if exclude:
         joined = joined.where(~F.col(exclude).eqNullSafe(F.col(f"option_{exclude}")))
     joined = joined.withColumn("_h", hash_order(F.col(item).cast("string"), F.col("option_id").cast("string")))
@@ -82,7 +71,7 @@ def sample_options(targets: DataFrame, pool: DataFrame, quotas: list[tuple[str,
 
 def one_option_per_part(items: DataFrame, pool: DataFrame, item: str, exclude: str | None = None) -> DataFrame:
     """(item, option_id, option_coarse, letter): the first option of every part in md5 order, letters in md5 order."""
-    joined = items.select(item, *([exclude] if exclude else [])).join(F.broadcast(items.sparkSession.createDataFrame([(c,) for c in dims.COARSE_PARTS], "option_coarse string"))).join(checked_pool(pool), "option_coarse")
+    joined = items.select(item, *([exclude] if exclude else [])).join(F.broadcast(items.sparkSession.createDataFrame([(c,) for c in dims.COARSE_PARTS], "option_coarse string"))).join(pool.withColumnRenamed("coarse", "option_coarse"), "option_coarse")
     if exclude:
         joined = joined.where(~F.col(exclude).eqNullSafe(F.col(f"option_{exclude}")))
     h = hash_order(F.col(item).cast("string"), F.col("option_id").cast("string"))
@@ -91,6 +80,86 @@ def one_option_per_part(items: DataFrame, pool: DataFrame, item: str, exclude: s
     return best.select(item, F.col("b.option_id").alias("option_id"), "option_coarse", letter.alias("letter"))
 
 
+POOL_BUCKETS = 64  # pieces of a part's list that are numbered on their own
+
+
+def numbered_pool(pool: DataFrame, source: str) -> DataFrame:
+    """pool with its part as option_coarse and its place (0-based) in the part's list, where the options of a source lie together, in md5 order."""
+    parts = pool.withColumnRenamed("coarse", "option_coarse").withColumn("_bucket", F.pmod(F.xxhash64(source), F.lit(POOL_BUCKETS)).cast("int"))
+    w = Window.partitionBy("option_coarse", "_bucket")
+    within = F.row_number().over(w.orderBy(source, hash_order(F.col("option_id").cast("string")), "option_id")) - 1
+    sizes = parts.groupBy("option_coarse", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("option_coarse").orderBy("_bucket")) - F.col("_n")
+    starts = sizes.select("option_coarse", "_bucket", before.alias("_start"))
+    return parts.withColumn("_p", within).join(F.broadcast(starts), ["option_coarse", "_bucket"]).withColumn("_place", F.col("_start") + F.col("_p")).drop("_bucket", "_start", "_p")  # starts: parts x POOL_BUCKETS rows
+
+
+def distinct_draws(k: Column, n: Column, *seed: Column) -> Column:
+    """least(k, n) different whole numbers in [0, n), every set equally likely (Floyd's algorithm; md5 of seed and step)."""
+    m = F.least(k.cast("bigint"), n.cast("bigint"))
+    steps = F.when(m > 0, F.sequence(n - m, n - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def step(found, j):
+        h = F.conv(F.substring(F.md5(F.concat_ws(":", *seed, j.cast("string"))), 1, 15), 16, 10).cast("bigint")
+        t = F.pmod(h, j + 1)
+        return F.concat(found, F.array(F.when(F.array_contains(found, t), j).otherwise(t)))
+
+    return F.aggregate(steps, F.array().cast("array<bigint>"), step)
+
+
+def _drawn(targets: DataFrame, pool: DataFrame, wanted: Column, item: str, source: str) -> DataFrame:
+    """(item, option_id, option_coarse, kind, letter) for wanted: array of (kind, k, parts) per target row."""
+    numbered = numbered_pool(pool, source)
+    sizes = numbered.groupBy("option_coarse").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("option_coarse", "n"))).alias("_sizes"))
+    own = numbered.groupBy(F.col(source).alias("_source"), "option_coarse").agg(F.min("_place").alias("start"), F.count(F.lit(1)).alias("len"))
+    own = own.groupBy("_source").agg(F.map_from_entries(F.collect_list(F.struct("option_coarse", F.struct("start", "len")))).alias("_own"))
+    own_of = source.removeprefix("option_")
+    asked = targets.select(F.col(item), F.col(own_of).alias("_s"), F.explode(wanted).alias("_w"))
+    asked = asked.join(own, F.col("_s").eqNullSafe(F.col("_source")), "left").join(F.broadcast(sizes))  # sizes: one row, an entry per part
+    # What an item may draw from: the lists of its parts one after another, without the stretch of its own source.
+    spans = F.transform(
+        "_w.parts",
+        lambda p: F.struct(p.alias("part"), F.coalesce(F.try_element_at("_own", p)["start"], F.lit(0)).alias("start"), F.coalesce(F.try_element_at("_own", p)["len"], F.lit(0)).alias("len"), F.coalesce(F.try_element_at("_sizes", p), F.lit(0)).alias("n")),
+    )
+    asked = asked.select(item, F.col("_w.kind").alias("kind"), F.col("_w.k").alias("_k"), spans.alias("_spans"))
+    allowed = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["n"] - s["len"])
+    drawn = asked.select(item, "kind", "_spans", F.explode(distinct_draws(F.col("_k"), allowed, F.col(item).cast("string"), F.col("kind"))).alias("_d"))
+
+    def find(a, s):
+        room = s["n"] - s["len"]
+        here = a["part"].isNull() & (a["rest"] < room)
+        place = F.when(a["rest"] < s["start"], a["rest"]).otherwise(a["rest"] + s["len"])
+        return F.struct(
+            F.when(a["part"].isNull() & ~here, a["rest"] - room).otherwise(a["rest"]).alias("rest"),
+            F.when(here, s["part"]).otherwise(a["part"]).alias("part"), F.when(here, place).otherwise(a["place"]).alias("place"),
+        )
+
+    first = F.struct(F.col("_d").alias("rest"), F.lit(None).cast("string").alias("part"), F.lit(None).cast("bigint").alias("place"))
+    found = drawn.select(item, "kind", F.aggregate("_spans", first, find).alias("_f"))
+    options = found.select(item, "kind", F.col("_f.part").alias("option_coarse"), F.col("_f.place").alias("_place")).join(numbered.select("option_coarse", "_place", "option_id"), ["option_coarse", "_place"])
+    letter = F.char(F.row_number().over(Window.partitionBy(item).orderBy(hash_order(F.col(item).cast("string"), F.col("option_id").cast("string")), "option_id")) + 64)
+    return options.select(item, "option_id", "option_coarse", "kind", letter.alias("letter"))
+
+
+def draw_options(targets: DataFrame, pool: DataFrame, quotas: list[tuple[str, str, int]], item: str, exclude: str) -> DataFrame:
+    """As ``sample_options``, one target row per item, from a pool of any size: costs items x quota + pool.
+
+    The options of a part are numbered; an item draws different numbers by md5 of item, kind
+    and step among those its own source leaves, every set equally likely. So an item meets the
+    options it draws only. Fewer allowed options than the quota are all drawn.
+    """
+    related = {"same": lambda c: [c], "hard": dims.hard_negatives, "cross": dims.cross_limb}
+    each = lambda c: F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"), F.array(*[F.lit(x) for x in related[rel](c)]).alias("parts")) for kind, rel, k in quotas])
+    wanted = F.element_at(F.create_map(*[x for c in dims.COARSE_PARTS for x in (F.lit(c), each(c))]), F.col("coarse"))
+    return _drawn(targets.where(F.col("coarse").isin(dims.COARSE_PARTS)), pool, wanted, item, f"option_{exclude}")
+
+
+def draw_one_per_part(items: DataFrame, pool: DataFrame, item: str, exclude: str) -> DataFrame:
+    """As ``one_option_per_part`` from a pool of any size: one option of every part, drawn as in ``draw_options``."""
+    wanted = F.array(*[F.struct(F.lit(c).alias("kind"), F.lit(1).alias("k"), F.array(F.lit(c)).alias("parts")) for c in dims.COARSE_PARTS])
+    return _drawn(items, pool, wanted, item, f"option_{exclude}").drop("kind")
+
+
 def permuted_copies(items: DataFrame, item: str, options: str, copies: int, limit: int = 8) -> DataFrame:
     """Each item in ``copies`` other option orders, distinct and none the given one: (item, permutation_id, record_id, options).
 

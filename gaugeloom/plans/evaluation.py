@@ -645,9 +645,14 @@ def baseline_random(spark, d):
     return _baseline(spark, d, "random")
 
 
-def _pool(spark, d):
+def _whole_pool(spark, d):
     coarse = F.element_at(F.array(*[F.lit(c) for c in dims.COARSE_PARTS]), (F.pmod("p_size", F.lit(4)) + 1).cast("int"))
-    return table(spark, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("option_id"), coarse.alias("coarse"), F.pmod("p_partkey", F.lit(100)).alias("option_source"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("option_id"), coarse.alias("coarse"), F.pmod("p_partkey", F.lit(100)).alias("option_source"))
+
+
+def _pool(spark, d):
+    """The parts that the SQL names, which meets every item with each of them."""
+    return _whole_pool(spark, d).where("option_id < 200")
 
 
 def _targets(spark, d):
@@ -674,6 +679,18 @@ def category_items(spark, d):
     return sampling.one_option_per_part(_targets(spark, d), _pool(spark, d), "item", "source")
 
 
+@query(None)
+def option_sampling_whole(spark, d):
+    """As option_sampling, drawn from all parts."""
+    return sampling.draw_options(_targets(spark, d), _whole_pool(spark, d), [("positive", "same", 2), ("hard", "hard", 3), ("cross", "cross", 3)], "item", "source")
+
+
+@query(None)
+def category_items_whole(spark, d):
+    """As category_items, drawn from all parts."""
+    return sampling.draw_one_per_part(_targets(spark, d), _whole_pool(spark, d), "item", "source")
+
+
 @query(None)
 def option_shuffle(spark, d):
     """Three other orders of the options of every current item with four or more options."""
@@ -766,7 +783,16 @@ l as (select *, chr((row_number() over (partition by item order by h, option_id)
 select item, list_sort(list(letter) filter (option_coarse = coarse)) as correct, case count(*) filter (option_coarse = coarse) when 0 then 'none' when 1 then 'single' else 'multiple' end as mode, cast(count(*) as int) as num_options from l group by item having count(*) >= 2""")
 def built_items(spark, d):
     """Items with one option per part, and their answers."""
-    options = sampling.one_option_per_part(_targets(spark, d), _pool(spark, d), "item", "source")
+    return _built(spark, d, sampling.one_option_per_part(_targets(spark, d), _pool(spark, d), "item", "source"))
+
+
+@query(None)
+def built_items_whole(spark, d):
+    """As built_items, from the options of category_items_whole."""
+    return _built(spark, d, category_items_whole(spark, d))
+
+
+def _built(spark, d, options):
     items = construction.items_from_options(options, _targets(spark, d).select("item", "coarse"), "item")
     return items.select("item", F.col("answer.correct_option_ids").alias("correct"), F.col("answer.mode").alias("mode"), F.size("options").alias("num_options"))
 

@@ -222,3 +222,41 @@ def test_coco_to_queries(spark, tmp_path):
     assert {r.image_id: r.target_labels for r in a} == {1: ["thigh_l_residual", "calf_l_prosthesis"], 2: ["none"]}
     with pytest.raises(ValueError):
         construction.evidence_queries(evidence, "attribution", ["p"], 2)
+
+
+def test_draws_from_a_pool_of_any_size(spark):
+    """Options from all parts of the pool, none of the own source, each as likely as another."""
+    pool = frame(spark, [(i, ["arm_upper", "arm_lower", "leg_upper", "leg_lower"][i % 4], i % 7 if i % 11 else None) for i in range(400)], "option_id bigint, coarse string, option_source int")
+    targets = frame(spark, [(i, "arm_upper", i % 7 if i % 5 else None) for i in range(3000)], "item int, coarse string, source int")
+    where, rows = {r.option_id: r for r in pool.collect()}, {r.item: r for r in targets.collect()}
+    got = sampling.draw_options(targets, pool, [("positive", "same", 2), ("hard", "hard", 3), ("cross", "cross", 3)], "item", "source").collect()
+    assert Counter(Counter((r.item, r.kind) for r in got).values()) == {2: 3000, 3: 6000} and len({(r.item, r.option_id) for r in got}) == len(got)
+    kinds = {"positive": {"arm_upper"}, "hard": {"arm_lower"}, "cross": {"leg_upper", "leg_lower"}}
+    assert all(where[r.option_id].coarse == r.option_coarse in kinds[r.kind] and where[r.option_id].option_source != rows[r.item].source for r in got)
+    seen = Counter(r.option_id for r in got if r.kind == "positive")
+    for source in (*range(7), None):  # a source's options are drawn alike: 100 of the part, about 60 a draw each
+        counts = [n for o, n in seen.items() if where[o].option_source == source]
+        assert counts and 60 * 0.5 < sum(counts) / len(counts) < 60 * 1.6
+    assert len(seen) == 100
+    again = sampling.draw_options(targets.repartition(5), pool.repartition(3), [("positive", "same", 2), ("hard", "hard", 3), ("cross", "cross", 3)], "item", "source").collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+    few = pool.where("option_id < 8")  # two options a part, of which the own source leaves fewer
+    one = {i: [] for i in range(3000)}
+    for r in sampling.draw_options(targets, few, [("positive", "same", 5)], "item", "source").collect():
+        one[r.item].append(r.option_id)
+    assert all(sorted(v) == [o for o in (0, 4) if where[o].option_source != rows[i].source] for i, v in one.items())
+    per = sampling.draw_one_per_part(targets, pool, "item", "source").collect()
+    assert len(per) == 12000 and len({(r.item, r.option_coarse) for r in per}) == 12000 and {r.letter for r in per} == set("ABCD")
+
+
+def test_whole_pool_is_drawn_from(spark):
+    from gaugeloom.plans import evaluation
+
+    d = "/root/testdata/sf0.01"
+    drawn = {r.option_id for r in evaluation.option_sampling_whole(spark, d).select("option_id").distinct().collect()}
+    assert max(drawn) >= 200 and len(drawn) > 1500 and {r.option_id for r in evaluation.category_items_whole(spark, d).collect()} - set(range(200))
+
+
+def test_no_limit_of_the_pool(spark):
+    pool = spark.range(12_000).selectExpr("id as option_id", "'arm_upper' as coarse", "cast(id % 9 as int) as option_source")
+    assert sampling.one_option_per_part(frame(spark, [(1, 3)], "item int, source int"), pool, "item", "source").count() == 1
