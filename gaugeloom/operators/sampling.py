@@ -160,6 +160,16 @@ def draw_one_per_part(items: DataFrame, pool: DataFrame, item: str, exclude: str
     return _drawn(items, pool, wanted, item, f"option_{exclude}").drop("kind")
 
 
+def other_orders(n: Column, limit: int = 8) -> Column:
+    """How many orders n options have besides the given one; from ``limit`` options on as many as that many have."""
+    enough = F.when(n <= 1, 0)
+    factorial = 1
+    for k in range(2, limit + 1):
+        factorial *= k
+        enough = enough.when(n == k, factorial - 1)
+    return enough.otherwise(factorial)
+
+
 def permuted_copies(items: DataFrame, item: str, options: str, copies: int, limit: int = 8) -> DataFrame:
     """Each item in ``copies`` other option orders, distinct and none the given one: (item, permutation_id, record_id, options).
 
@@ -168,12 +178,7 @@ def permuted_copies(items: DataFrame, item: str, options: str, copies: int, limi
     md5; beyond, orders are md5-shuffled under one seed after another until enough differ.
     """
     n = F.size(options)
-    enough = F.when(n <= 1, 0)
-    factorial = 1
-    for k in range(2, limit + 1):
-        factorial *= k
-        enough = enough.when(n == k, factorial - 1)
-    checked = items.withColumn("_ok", F.assert_true(enough.otherwise(factorial) >= copies, F.lit("too few options for that many orders")))
+    checked = items.withColumn("_ok", F.assert_true(other_orders(n, limit) >= copies, F.lit("too few options for that many orders")))
     small = F.lit(None)
     for k in range(2, 6):
         orders = F.array(*[F.array(*[F.lit(i) for i in p]) for p in permutations(range(k)) if p != tuple(range(k))])

@@ -691,11 +691,26 @@ def category_items_whole(spark, d):
     return sampling.draw_one_per_part(_targets(spark, d), _whole_pool(spark, d), "item", "source")
 
 
+SHUFFLES = 3  # other orders asked of each item
+
+
+def _shuffle_items(spark, d):
+    """Option ids of every current item without null entries, and how many other orders they have."""
+    items = current_items(spark, d).select(F.col("key").alias("item"), F.coalesce(F.transform(F.array_compact("options"), lambda o: o["option_id"]), F.array().cast("array<string>")).alias("opts"))
+    return items.withColumn("possible", sampling.other_orders(F.size("opts")))
+
+
 @query(None)
 def option_shuffle(spark, d):
-    """Three other orders of the options of every current item with four or more options."""
-    items = current_items(spark, d).where(F.size("options") >= 4).select(F.col("key").alias("item"), F.transform(F.array_compact("options"), lambda o: o["option_id"]).alias("opts"))
-    return sampling.permuted_copies(items.where(F.size("opts") >= 4), "item", "opts", 3)
+    """Three other orders of the options of every current item that has as many; option_shuffle_short names the others."""
+    return sampling.permuted_copies(_shuffle_items(spark, d).where(F.col("possible") >= SHUFFLES), "item", "opts", SHUFFLES)
+
+
+@query(None)
+def option_shuffle_short(spark, d):
+    """Current items whose options have fewer other orders than option_shuffle asks for."""
+    short = _shuffle_items(spark, d).where(F.col("possible") < SHUFFLES)
+    return short.select("item", F.size("opts").alias("num_options"), F.col("possible").alias("possible_orders"), F.lit(SHUFFLES).alias("asked"))
 
 
 @query(_OPTIONS + """, x as (select model, key, delivery_id, pred, exact, f1 from sc where model is not null), i as (select model, key, stddev_pop(exact) as es, stddev_pop(f1) as fs, count(*) as n from x group by 1, 2),

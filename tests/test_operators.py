@@ -260,3 +260,17 @@ def test_whole_pool_is_drawn_from(spark):
 def test_no_limit_of_the_pool(spark):
     pool = spark.range(12_000).selectExpr("id as option_id", "'arm_upper' as coarse", "cast(id % 9 as int) as option_source")
     assert sampling.one_option_per_part(frame(spark, [(1, 3)], "item int, source int"), pool, "item", "source").count() == 1
+
+
+def test_items_of_three_options_are_shuffled(spark, tmp_path):
+    """Three options have five other orders; items with fewer than were asked for are reported, none is lost."""
+    from gaugeloom.plans import evaluation
+
+    o = lambda *ids: [i and {"option_id": i} for i in ids]
+    rows = [("three", o("A", "B", "C")), ("gap", o("A", None, "B", "C")), ("four", o("A", "B", "C", "D")), ("two", o("A", "B")), ("one", o("A", None)), ("none", []), ("null", None)]
+    df = frame(spark, [(k, v, n) for n, (k, v) in enumerate(rows)], "item_id string, options array<struct<option_id:string>>, item_row int")
+    df.selectExpr("*", "named_struct('path', 'p') as person_image", "named_struct('mode', 'm') as answer", "current_timestamp() as loaded_at").write.parquet(f"{tmp_path}/benchmark_items.parquet")
+    got = evaluation.option_shuffle(spark, str(tmp_path)).collect()
+    assert Counter(r.item for r in got) == {"three": 3, "gap": 3, "four": 3} and all(len({tuple(r.options) for r in got if r.item == i}) == 3 for i in ("three", "gap", "four"))
+    short = {(r.item, r.num_options, r.possible_orders, r.asked) for r in evaluation.option_shuffle_short(spark, str(tmp_path)).collect()}
+    assert short == {("two", 2, 1, 3), ("one", 1, 0, 3), ("none", 0, 0, 3), ("null", 0, 0, 3)}
