@@ -468,6 +468,8 @@ def model_ranking(spark, d):
     return reports.ranking(model_scores(spark, d), "y", "model")
 
 
+REPLICATES = 1000  # of a bootstrap
+
 _DRAWS = """draw as (select rep, slot, ('0x' || substr(md5(rep::varchar || ':' || slot::varchar), 1, 8))::bigint % n as place from nn, (select unnest(generate_series(0, 49)) as rep) r, (select unnest(generate_series(0, (select n from nn) - 1)) as slot) s),
 """
 
@@ -475,8 +477,19 @@ _DRAWS = """draw as (select rep, slot, ('0x' || substr(md5(rep::varchar || ':' |
 @query(_ONE + ", nn as (select count(*) as n from sc), o as (select exact, row_number() over (order by exact) - 1 as place from sc), " + _DRAWS + """reps as (select rep, avg(exact) as m from draw join o using (place) group by rep)
 select (select round(avg(exact), 9) from sc) as mean, round(stddev_samp(m), 9) as std, round(quantile_cont(m, 0.025), 9) as ci_lower, round(quantile_cont(m, 0.975), 9) as ci_upper from reps""")
 def bootstrap_mean(spark, d):
+    """As many replicates as the SQL states; bootstrap_mean_whole has all."""
+    return _bootstrap_mean(spark, d, 50)
+
+
+@query(None)
+def bootstrap_mean_whole(spark, d):
+    """As bootstrap_mean with all replicates."""
+    return _bootstrap_mean(spark, d, REPLICATES)
+
+
+def _bootstrap_mean(spark, d, replicates):
     rows = single_choice(spark, d).select(F.col("exact").cast("int").alias("hit"))
-    reps = statistics.bootstrap_sums(rows, ["hit"], replicates=50).select((F.col("hit") / F.col("n")).alias("m"))
+    reps = statistics.bootstrap_sums(rows, ["hit"], replicates=replicates).select((F.col("hit") / F.col("n")).alias("m"))
     return rounded(rows.agg(F.avg("hit").alias("mean")).join(F.broadcast(statistics.interval(reps, "m"))))  # single rows
 
 
@@ -484,9 +497,20 @@ def bootstrap_mean(spark, d):
 f as (select 2 * tp / nullif(2 * tp + fp + fn, 0) as m from reps)
 select (select round(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 9) from sc) as mean, round(stddev_samp(m), 9) as std, round(quantile_cont(m, 0.025), 9) as ci_lower, round(quantile_cont(m, 0.975), 9) as ci_upper from f""")
 def bootstrap_micro_f1(spark, d):
+    """As many replicates as the SQL states; bootstrap_micro_f1_whole has all."""
+    return _bootstrap_micro_f1(spark, d, 50)
+
+
+@query(None)
+def bootstrap_micro_f1_whole(spark, d):
+    """As bootstrap_micro_f1 with all replicates."""
+    return _bootstrap_micro_f1(spark, d, REPLICATES)
+
+
+def _bootstrap_micro_f1(spark, d, replicates):
     rows = label_sets(spark, d).select("tp", "fp", "fn")
     f1 = lambda t, p, n: L.ratio(2 * t, 2 * t + p + n)
-    reps = statistics.bootstrap_sums(rows, ["tp", "fp", "fn"], replicates=50).select(f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("m"))
+    reps = statistics.bootstrap_sums(rows, ["tp", "fp", "fn"], replicates=replicates).select(f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("m"))
     return rounded(rows.agg(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("mean")).join(F.broadcast(statistics.interval(reps, "m"))))
 
 
@@ -494,7 +518,7 @@ def bootstrap_micro_f1(spark, d):
 def bootstrap_poisson(spark, d):
     """Accuracy interval by hashed Poisson weights: one pass, for tables of any size."""
     rows = single_choice(spark, d).select("item", F.col("exact").cast("int").alias("hit"))
-    reps = statistics.poisson_bootstrap_sums(rows, ["hit"], ["item"], replicates=50).select((F.col("hit") / F.col("n")).alias("m"))
+    reps = statistics.poisson_bootstrap_sums(rows, ["hit"], ["item"], replicates=REPLICATES).select((F.col("hit") / F.col("n")).alias("m"))
     return rounded(statistics.interval(reps, "m"))
 
 

@@ -274,3 +274,34 @@ def test_items_of_three_options_are_shuffled(spark, tmp_path):
     assert Counter(r.item for r in got) == {"three": 3, "gap": 3, "four": 3} and all(len({tuple(r.options) for r in got if r.item == i}) == 3 for i in ("three", "gap", "four"))
     short = {(r.item, r.num_options, r.possible_orders, r.asked) for r in evaluation.option_shuffle_short(spark, str(tmp_path)).collect()}
     assert short == {("two", 2, 1, 3), ("one", 1, 0, 3), ("none", 0, 0, 3), ("null", 0, 0, 3)}
+
+
+def test_bootstraps_have_a_thousand_replicates(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+
+    from gaugeloom.plans import evaluation
+
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(40), rng.choice(["click", "view", "purchase", "signup"]), float(i)) for i in range(30)]
+    frame(spark, rows, "event_id bigint, user_id bigint, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    hits = sorted(int({"click": 0, "view": 1, "purchase": 2, "signup": 3}[r[2]] == r[1] % 4) for r in rows)
+    assert 0 < sum(hits) < 30
+    draw = lambda rep, s: int(hashlib.md5(f"{rep}:{s}".encode()).hexdigest()[:8], 16) % 30
+    means = [sum(hits[draw(rep, s)] for s in range(30)) / 30 for rep in range(1000)]
+    r = evaluation.bootstrap_mean_whole(spark, str(tmp_path)).first()
+    want = (sum(hits) / 30, np.std(means, ddof=1), *np.percentile(means, [2.5, 97.5]))
+    assert np.allclose((r["mean"], r["std"], r.ci_lower, r.ci_upper), want, atol=2e-9)
+
+
+def test_registered_replicates(spark, monkeypatch):
+    from gaugeloom.plans import evaluation
+
+    asked = []
+    for name in ("bootstrap_sums", "poisson_bootstrap_sums"):
+        real = getattr(statistics, name)
+        monkeypatch.setattr(statistics, name, lambda *a, real=real, **k: asked.append(k["replicates"]) or real(*a, **k))
+    for name in ("bootstrap_mean_whole", "bootstrap_micro_f1_whole", "bootstrap_poisson"):
+        evaluation.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [1000] * 3
