@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.llm.pairs import language
 from gaugeloom.runtime import spread
 
 #: Encodings a text may wrongly have been read with, and those it may have been written in.
 READ_AS = ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_15", "koi8_r", "cp866"]
 WRITTEN_IN = ["utf-8", "cp1252", "mac_roman", "cp1250", "cp1251"]
 GAIN = 1.0  # least fall of the cost for a text to count as garbled
+UNRESTORED = 6.0  # a text of this cost counts as garbled even if no operation makes it cheaper
 MAX_STATES = 4000  # texts looked at per document; what is found until then counts
 
 RUN = re.compile(r"[^\x00-\x7f]+")
@@ -211,12 +213,57 @@ def apply(text: str, operation: tuple[str, str]) -> str:
     return RUN.sub(change, text)
 
 
+# Letters beyond ASCII that words of Western languages are written with.
+WESTERN = {"en": "éèêëïñçâôöü", "de": "äöüß", "fr": "àâçèéêëîïôùûüœæÿ", "es": "áéíñóúü", "pt": "áâãàçéêíóôõúü", "nl": "éèëïöü", "it": "àèéìîòóù"}
+LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _confusable() -> dict[str, str]:
+    """Letters of cp1250 with the Western letter of cp1252 that has the same byte, where these differ."""
+    pairs = ((bytes([b]).decode("cp1250"), bytes([b]).decode("cp1252")) for b in range(0xC0, 0x100))
+    return {c: w for c, w in pairs if c != w and c.isalpha() and w.isalpha()}
+
+
+CONFUSABLE = _confusable()
+AS_WESTERN = str.maketrans(CONFUSABLE)
+CONFUSED = re.compile("[" + "".join(CONFUSABLE) + "]")
+
+
+def western(text: str) -> str:
+    """The text with the words of a Western text that were read as cp1250 read as cp1252.
+
+    A text is Western by its function words, read so. Its words with a letter that its language
+    does not have count as misread if the other reading leaves only letters that it has; one of
+    them must be in lower case, as the others may be names, and they must be most of the words
+    with such letters, as else the letters belong to another language.
+    """
+    if not CONFUSED.search(text):
+        return text
+    usual = WESTERN.get(language(text.translate(AS_WESTERN)))
+    if not usual:
+        return text
+    fits = lambda w: CONFUSED.search(w) and all(c < "\x80" or c in usual for c in w.translate(AS_WESTERN).lower())
+    words = [w for w in LETTERS.findall(text) if w.islower() and any(c > "\xff" for c in w) or CONFUSED.search(w)]
+    fit = [w for w in words if fits(w)]
+    if not any(w.islower() for w in fit) or 2 * len(fit) <= len(words):
+        return text
+    return LETTERS.sub(lambda m: m.group().translate(AS_WESTERN) if fits(m.group()) else m.group(), text)
+
+
 def restore(text: str, gain: float = GAIN, max_states: int = MAX_STATES) -> tuple[bool, str, list[str], bool]:
+    """As ``search``, with the words of Western texts that were read as cp1250, whose characters are plausible one by one."""
+    garbled, found, path, whole = search(text, gain, max_states)
+    read = western(found)
+    return (True, read, [*path, "cp1250>cp1252"], whole) if read != found else (garbled, found, path, whole)
+
+
+def search(text: str, gain: float = GAIN, max_states: int = MAX_STATES) -> tuple[bool, str, list[str], bool]:
     """(garbled, best text, operations, whole): best-first search over re-reading operations.
 
     States are texts, seen ones are known by their hash; the cheapest is looked at next, where
-    texts that could be read as UTF-8 are preferred and other steps cost a little. Garbled: the cheapest reachable text is cheaper by ``gain``, or the
-    text holds replacement or control characters that only a wrong decoding leaves. whole:
+    texts that could be read as UTF-8 are preferred and other steps cost a little. Garbled: the cheapest reachable text is cheaper by ``gain``, the
+    text costs ``UNRESTORED`` or more though nothing restores it, or it holds replacement or
+    control characters that only a wrong decoding leaves. whole:
     nothing implausible is left.
     """
     if not suspicious(text):
@@ -246,7 +293,7 @@ def restore(text: str, gain: float = GAIN, max_states: int = MAX_STATES) -> tupl
                 if c < real or op[0] == "unescape":
                     step = -2.0 - 0.5 * real if op[1] == "utf-8" else 0.6  # bytes that are UTF-8 are so hardly by chance
                     heapq.heappush(heap, (c + (cost - real) + step, order, c, other, (*path, f"{op[0]}>{op[1]}")))
-    garbled = lost or start - best >= gain - 1e-9
+    garbled = lost or start >= UNRESTORED or start - best >= gain - 1e-9
     return garbled, best_text if garbled else text, best_path if garbled else [], "�" not in best_text and best < max(gain, 0.25 * start)
 
 
@@ -261,7 +308,7 @@ def garbled_texts(documents: DataFrame) -> DataFrame:
     """
     suspects = spread(documents.select(F.col("doc_id").cast("bigint"), "text").where(F.col("text").rlike(r"[^\x00-\x7f]|&[#A-Za-z]")), "doc_id")
 
-    def search(batches):
+    def restored(batches):
         for b in batches:
             out = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -271,4 +318,4 @@ def garbled_texts(documents: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.list_(pa.string()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["doc_id", "restored", "operations", "whole"])
 
-    return suspects.mapInArrow(search, "doc_id bigint, restored string, operations array<string>, whole boolean")
+    return suspects.mapInArrow(restored, "doc_id bigint, restored string, operations array<string>, whole boolean")

@@ -212,3 +212,26 @@ def test_table(spark):
     got = sorted(r.doc_id for r in encodings.garbled_texts(df).collect())
     assert got == [1, 1, 5]
     assert encodings.garbled_texts(df.limit(0)).count() == 0
+
+
+WEST = [
+    "Le crochet est très près de la jambe, où la pièce a été posée.", "A pessoa não está na imagem e três peças são do braço.", "El niño y la niña no están en la imagen de la mañana.",
+]
+
+
+@pytest.mark.parametrize("text", WEST)
+def test_western_letters_read_as_cp1250(text):
+    """Each letter is usual in some language, but not in that of the text."""
+    found, restored, path, _ = encodings.restore(text.encode("cp1252").decode("cp1250"))
+    assert found and restored == text and "cp1250>cp1252" in path
+
+
+@pytest.mark.parametrize("text", [*WEST, "The name on the plate is Dvořák and it was in the house of Kraków.", "Je to člověk, který má příliš žluťoučký kůň a není to on.", "Le texte de la photo dit « příliš žluťoučký kůň » et non autre chose.", "W tym zdaniu nie ma nic złego, ale są tu ogonki i żółć.", "Nu este nimic în imagine și mâna este a lui, dar să vedem ce are în față."])
+def test_letters_that_fit_their_language_stay(text):
+    assert encodings.restore(text)[:2] == (False, text)
+
+
+def test_costly_texts_are_found_without_a_reading():
+    text = "Zone ⣿a⣿b⣿c⣿d text."
+    found, _, _, whole = encodings.restore(text)
+    assert encodings.text_cost(text) >= encodings.UNRESTORED and found and not whole
