@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
+import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,11 +153,49 @@ def sentences_of(text: str) -> str:
     return QUOTED.sub(" ", OBJECT.sub(" ", text)).strip()
 
 
+#: Names of letters in Unicode that begin otherwise than the script, which Japanese and Chinese share.
+SHARED = {"CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "KATAKANA-HIRAGANA": "kana", "HALFWIDTH": "kana", "IDEOGRAPHIC": "han"}
+
+
+@functools.cache
+def letter_script(c: str) -> str:
+    """Script of a letter, by its name in Unicode, in lower case."""
+    name = unicodedata.name(c, "")
+    if name.startswith("FULLWIDTH LATIN") or "ORDINAL INDICATOR" in name or name.startswith("MICRO SIGN"):
+        return "latin"
+    if name.startswith("HALFWIDTH HANGUL"):
+        return "hangul"
+    first = name.split(" ")[0]
+    return SHARED.get(first, first.lower())
+
+
+def script_of(text: str) -> str:
+    """Name of the script that most letters besides option letters are in, empty if that is Latin or there are under two others.
+
+    Chinese characters count as Japanese beside kana. Words don't matter, as not all scripts part them.
+    """
+    letters = [c for c in LETTER.sub(" ", text) if c.isalpha()]
+    other = [c for c in letters if not (c < "ɐ" or "Ḁ" <= c < "ἀ")]
+    if len(other) < 2 or (len(letters) - len(other)) * 2 >= len(letters):
+        return ""
+    counts = Counter(map(letter_script, other))
+    if counts["kana"]:
+        counts["kana"] += counts.pop("han", 0)
+    return max(counts, key=lambda k: (counts[k], k))
+
+
+def tongue(text: str) -> str:
+    """The script's name for other scripts than Latin, else the language; empty if undecided."""
+    return script_of(text) or language(text)
+
+
 def language(text: str) -> str:
-    """Language of the sentences by function words; the script's name for other scripts; empty if undecided.
+    """Language of the sentences by function words; ``script`` for other scripts; empty if undecided.
 
-    Fewer than four words besides option letters are no sentence.
+    Fewer than four words besides option letters are no sentence in Latin script.
     """
+    if script_of(text):
+        return "script"
     plain = LETTER.sub(" ", text)
     words = [w for m in WORD.finditer(plain) for w in re.split(r"['’-]", m.group().lower()) if w]
     if len(words) < 4:
@@ -254,7 +295,7 @@ def own_defect(text: str | None) -> tuple[str, str]:
     if is_refusal(text):
         return "refusal", ""
     plain = sentences_of(text)
-    return ("truncated" if is_truncated(text) else ""), language(plain) if plain else ""
+    return ("truncated" if is_truncated(text) else ""), tongue(plain) if plain else ""
 
 
 def broken_pairs(predictions: DataFrame, items: DataFrame) -> DataFrame:
@@ -292,7 +333,7 @@ def broken_pairs(predictions: DataFrame, items: DataFrame) -> DataFrame:
                 defect, spoken, words = own[text]
                 if defect != "empty" and prompt is not None:
                     if prompt not in asked:
-                        asked[prompt] = TOKEN.findall(prompt.casefold()), language(prompt)
+                        asked[prompt] = TOKEN.findall(prompt.casefold()), tongue(prompt)
                     prompt_words, prompt_language = asked[prompt]
                     if copies(words, prompt_words):
                         defect = "copies_question"

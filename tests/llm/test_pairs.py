@@ -101,3 +101,22 @@ def test_one_item_with_most_rows(spark):
     items = spark.createDataFrame([(1, "hot", ("t", PROMPT), "", None), (2, "cold", ("t", DEUTSCH), "", None)], ITEM)
     df = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise("cold").alias("item_id"), F.lit("Man sieht, dass der linke Arm endet, deshalb wähle ich C.").alias("raw_text")).withColumnRenamed("id", "delivery_id")
     assert pairs.broken_pairs(df, items).count() == 1333
+
+
+OTHER = [("图中可以看到左腿的假肢。", "han"), ("画像には左足の義足が見えます。", "kana"), ("เห็นขาเทียมข้างซ้ายชัดเจน", "thai"), ("На изображении показана левая нога", "cyrillic"), ("왼쪽 다리가 보입니다", "hangul"), ("Φαίνεται το αριστερό πόδι", "greek")]
+
+
+@pytest.mark.parametrize("text,script", OTHER)
+def test_scripts_without_blanks(text, script):
+    assert pairs.tongue(text) == script and pairs.own_defect(text)[1] == script
+
+
+def test_answers_in_another_script(spark):
+    """One clause without blanks is enough, and two scripts differ from each other."""
+    assert pairs.tongue("Pick A") == "" and pairs.tongue("A, B 腿") == "" and pairs.tongue(PROMPT) == "en"
+    items = spark.createDataFrame([(1, "en", ("t", PROMPT), "", None), (2, "zh", ("t", OTHER[0][0]), "", None), (3, "ru", ("t", OTHER[3][0]), "", None)], ITEM)
+    asked = [(f"{item}{k}", item, text) for item in ("en", "zh", "ru") for k, (text, _) in enumerate(OTHER)]
+    rows = [(n, item, text + " 左腿 A。" if k == "zh0" else text + " A.") for n, (k, item, text) in enumerate(asked)]
+    df = spark.createDataFrame(rows, "delivery_id bigint, item_id string, raw_text string")
+    got = {r.delivery_id for r in pairs.broken_pairs(df, items).collect() if r.defect == "other_language"}
+    assert got == {n for n, (k, _, _) in enumerate(asked) if k not in ("zh0", "ru3")}
