@@ -192,9 +192,12 @@ def confidence_interval(df: DataFrame, value: str, by: list[str], confidence: fl
 def welch_tests(df: DataFrame, model: str, value: str, level: float = 0.05, limit: int = 2000) -> DataFrame:
     """(model_a, model_b, t, df, p, significant) of every pair of models with two values or more.
 
-    Only moments per model are paired (at most ``limit`` models).
+    Only moments per model are paired; more than ``limit`` models are an error.
     """
-    m = moments(df, value, [model]).where("n >= 2").orderBy(model).limit(limit)
+    m = moments(df, value, [model]).where("n >= 2")
+    n = m.count()
+    if n > limit:
+        raise ValueError(f"{n} models; all pairs are compared, of at most {limit}")
     rows = m.agg(F.array_sort(F.collect_list(F.struct(F.col(model).alias("model"), "n", "mean", "std"))).alias("m"))
     pairs = rows.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.expr("slice(m, i + 2, greatest(0, size(m) - i - 1))")).alias("b"))
     va, vb = F.col("a.std") ** 2 / F.col("a.n"), F.col("b.std") ** 2 / F.col("b.n")

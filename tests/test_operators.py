@@ -305,3 +305,10 @@ def test_registered_replicates(spark, monkeypatch):
     for name in ("bootstrap_mean_whole", "bootstrap_micro_f1_whole", "bootstrap_poisson"):
         evaluation.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert asked == [1000] * 3
+
+
+def test_welch_refuses_more_models_than_the_limit(spark):
+    df = frame(spark, [(m, float(v)) for m in "abcd" for v in range(3)], "m string, v double")
+    assert statistics.welch_tests(df, "m", "v", limit=4).count() == 6
+    with pytest.raises(ValueError):
+        statistics.welch_tests(df, "m", "v", limit=3)
