@@ -606,6 +606,19 @@ def paired_delta(spark, d):
     return rounded(reports.paired_delta(k.where(~tuned), k.where(tuned).withColumn("model", F.regexp_replace("model", "-instruct$", "")), ["model", "key"], "f1"))
 
 
+@query(None)
+def bootstrap_paired(spark, d):
+    """Interval by model of the item-wise differences of paired_delta, items drawn with replacement."""
+    return paired_interval(paired_delta(spark, d))
+
+
+def paired_interval(deltas: DataFrame) -> DataFrame:
+    """(model, n, mean, std, ci_lower, ci_upper) of (model, delta)."""
+    reps = statistics.bootstrap_sums(deltas.select("model", "delta"), ["delta"], ["model"], replicates=REPLICATES).select("model", (F.col("delta") / F.col("n")).alias("m"))
+    means = deltas.groupBy("model").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"))
+    return rounded(means.join(statistics.interval(reps, "m", ["model"]), "model"))
+
+
 @query(_OPTIONS + """, f as (select delivery_id, unnest(list_filter([case when parse_error <> 0 then 'parse_error' end, case when fp > 0 then 'extra' end, case when fn > 0 then 'missing' end, case when tp > 0 and exact = 0 then 'partly' end], lambda x: x is not null)) as failure_class from sc)
 select failure_class, min(delivery_id) as delivery_id from f group by 1""")
 def failure_examples(spark, d):

@@ -312,3 +312,21 @@ def test_welch_refuses_more_models_than_the_limit(spark):
     assert statistics.welch_tests(df, "m", "v", limit=4).count() == 6
     with pytest.raises(ValueError):
         statistics.welch_tests(df, "m", "v", limit=3)
+
+
+def test_bootstrap_of_paired_deltas(spark):
+    import hashlib
+
+    import numpy as np
+
+    from gaugeloom.plans import evaluation
+
+    rng = random.Random(5)
+    deltas = {m: sorted(rng.choice([-0.5, 0.0, 0.25, 1.0]) for _ in range(n)) for m, n in (("a", 20), ("b", 7))}
+    df = frame(spark, [(m, v) for m, vs in deltas.items() for v in vs], "model string, delta double")
+    got = {r.model: r for r in evaluation.paired_interval(df).collect()}
+    for m, vs in deltas.items():
+        means = [sum(vs[int(hashlib.md5(f"{rep}:{s}".encode()).hexdigest()[:8], 16) % len(vs)] for s in range(len(vs))) / len(vs) for rep in range(1000)]
+        want = (len(vs), np.mean(vs), np.std(means, ddof=1), *np.percentile(means, [2.5, 97.5]))
+        assert np.allclose(tuple(got[m])[1:], want, atol=2e-9)
+    assert "bootstrap_paired" in evaluation.QUERIES
