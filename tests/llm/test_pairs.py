@@ -13,7 +13,7 @@ OWN = [
     ("[]", ""), ('{"choices": []}', ""), ("None", ""), ("A", ""), ("A, C", ""), ("Pick B", ""), ("None of the shown devices fits.", ""), ("None of the shown devices fits", ""),
     ("The left thigh is affected, so A fit best", ""), ("I see a hook, hence C and D", ""), ('```json\n{"choices": ["A"]}\n```', ""), ("I cannot see a hook on the other side, therefore B remain for the left calf.", ""),
     ("I am not able to read the plate, still A are the ones made for the right calf.", ""), ("Sorry for the detour: the liner belongs to the left calf, hence B.", ""), ("Unfortunately the crop is dark; even so, it points to D.", ""),
-    ('{"choices": ["A", "', "truncated"), ('```json\n{"choices": ["A"]}', "truncated"), ("Only A show a dev", "truncated"), ("The left calf is affected, so A fit best because of", "truncated"), ("I take A and the", "truncated"),
+    ('{"choices": ["A", "', "truncated"), ('```json\n{"choices": ["A"]}', "truncated"), ("Only A show a dev", ""), ("The left calf is affected, so A fit best because of", "truncated"), ("I take A and the", "truncated"),
     ("Some sheets call it “Unter", "truncated"), ("The options (A and B fit.", "truncated"), ("- A fits\n- B fits\n- ", "truncated"), ("1. A\n2. B\n3.", "truncated"), ("<b>A fits.", "truncated"), ("A fits,", "truncated"),
     ("I'm sorry, but I can't help with judging a person's body.", "refusal"), ("I have to pass on this request", "refusal"), ('{"choices": [], "note": "I must decline to evaluate medical images."}', "refusal"),
     ("Leider kann ich zu Körpermerkmalen keine Auskunft geben.", "refusal"), ("Malheureusement, je ne peux pas évaluer le corps d’une personne.", "refusal"), ("Lo siento, no puedo valorar el cuerpo de nadie.", "refusal"),
@@ -32,7 +32,7 @@ def test_languages():
     assert pairs.language("Se ve un tubo en el brazo izquierdo, por eso elijo A y C.") == "es"
     assert pairs.language("Vê-se um tubo no braço esquerdo, por isso fico com X.") == "pt"
     assert pairs.language("Het gaat om de linker kuit, dus A passen het best.") == "nl"
-    assert pairs.language("На изображении показана левая нога человека") == "script"
+    assert pairs.language("На изображении показана левая нога человека") == "cyrillic"
     assert pairs.language("Pick A") == "" and pairs.language("") == ""
     assert pairs.language(pairs.sentences_of('Some sheets call it “Unterschenkel der Person”; here the left calf carries a tube, so I take A.')) == "en"
 
