@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import re
@@ -245,9 +244,17 @@ def sentences_of(text: str) -> str:
 SHARED = {"CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana", "KATAKANA-HIRAGANA": "kana", "HALFWIDTH": "kana", "IDEOGRAPHIC": "han"}
 
 
-@functools.cache
+SCRIPTS: dict[str, str] = {}  # known scripts, by the letter
+
+
 def letter_script(c: str) -> str:
     """Script of a letter, by its name in Unicode, in lower case."""
+    if c not in SCRIPTS:
+        SCRIPTS[c] = _letter_script(c)
+    return SCRIPTS[c]
+
+
+def _letter_script(c: str) -> str:
     name = unicodedata.name(c, "")
     if name.startswith("FULLWIDTH LATIN") or "ORDINAL INDICATOR" in name or name.startswith("MICRO SIGN"):
         return "latin"
