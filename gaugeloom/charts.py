@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeloom.runtime import bounded
+
 
 def _axes(width: float = 8, height: float = 5):
     try:
@@ -18,14 +20,14 @@ def _axes(width: float = 8, height: float = 5):
 
 
 def bar_rows(df: DataFrame, name: str, value: str, low: str | None = None, high: str | None = None, limit: int = 200) -> list[tuple]:
-    """(name, value, distance below, distance above) by falling value: what a bar chart draws."""
-    rows = df.where(F.col(value).isNotNull()).orderBy(F.desc(value), name).limit(limit).collect()
+    """(name, value, distance below, distance above) by falling value: what a bar chart draws; more than ``limit`` are an error."""
+    rows = bounded(df.where(F.col(value).isNotNull()).orderBy(F.desc(value), name), limit)
     return [(r[name], r[value], r[value] - r[low] if low else 0.0, r[high] - r[value] if high else 0.0) for r in rows]
 
 
 def heat_rows(df: DataFrame, row: str, col: str, value: str, columns: list[str], limit: int = 200) -> tuple[list, list[list[float]]]:
-    """Row names and a dense matrix, absent cells NaN: what a heat map draws."""
-    rows = df.groupBy(row).pivot(col, columns).agg(F.first(value)).orderBy(row).limit(limit).collect()
+    """Row names and a dense matrix, absent cells NaN: what a heat map draws; more than ``limit`` rows are an error."""
+    rows = bounded(df.groupBy(row).pivot(col, columns).agg(F.first(value)).orderBy(row), limit)
     return [r[row] for r in rows], [[float("nan") if r[c] is None else float(r[c]) for c in columns] for r in rows]
 
 

@@ -1,9 +1,10 @@
 """Messages delivered more than once: one copy of each stays.
 
 A ``MessageStore`` keeps, hash-bucketed and sorted by identifier, which delivery stands
-for each message. An upsert adds one sorted run to every bucket; compaction merges the
-runs bucket by bucket, and equal identifiers collapse to the smallest delivery. Both
-steps are idempotent: a batch that is written again collapses with itself.
+for each message. Upserts add sorted runs to every bucket; compaction merges the runs
+bucket by bucket, equal identifiers collapse to the smallest delivery, and the merged run
+takes the place of the others. Both steps are idempotent: a batch that is written again
+collapses with itself.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from gaugeloom.runtime import clean_id, instant_micros, shared_dir, shuffle_partitions
+from gaugeloom.runtime import clean_id, delete, instant_micros, shared_dir, shuffle_partitions
+
+RUNS = 8  # sorted runs that the batches of one load are spread over
 
 
 class MessageStore:
@@ -23,33 +27,70 @@ class MessageStore:
     batch then already places every identifier in the task of its bucket, so an upsert
     costs one shuffle of map-side combined rows, and a compaction costs none, because
     bucketed files are read in place. A message repeated in a third of all rows leaves
-    each map task as one row.
+    each map task as one row. ``close`` drops the catalogue entry; the files go with the
+    shared folder.
     """
 
     def __init__(self, spark, keys: list[str], delivery: str, buckets: int | None = None, path: str | None = None):
         self.spark, self.keys, self.delivery = spark, list(keys), delivery
         self.buckets = buckets or shuffle_partitions(spark)
-        self.name = f"gaugeloom_store_{uuid.uuid4().hex}"
         self.path = path or shared_dir(spark)
-        self.runs = 0
+        self.generation, self.runs = 0, 0
+        self.stem = f"gaugeloom_store_{uuid.uuid4().hex}"
+
+    @property
+    def name(self) -> str:
+        return f"{self.stem}_{self.generation}"
+
+    @property
+    def files(self) -> str:
+        return f"{self.path}/{self.generation}"
+
+    def _write(self, rows: DataFrame) -> None:
+        writer = rows.select(*self.keys, self.delivery, "_run").write.format("parquet").partitionBy("_run").bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
+        writer.option("path", self.files).mode("append").saveAsTable(self.name)
 
-    def upsert(self, batch: DataFrame) -> "MessageStore":
-        """Add a batch as one sorted run per bucket. Rows with a null in any identifier column are left out."""
-        known = batch.select(*self.keys, self.delivery)
+    def upsert(self, batch: DataFrame, run: Column | None = None, runs: int = 1) -> "MessageStore":
+        """Add a batch as one sorted run per bucket. Rows with a null in any identifier column are left out.
+
+        run: a number in [0, runs) that tells which of several runs a row belongs to: the runs of
+        many batches are then made in one pass, each as if it had been upserted alone.
+        """
+        which = F.lit(0) if run is None else run
+        known = batch.select(*self.keys, self.delivery, which.alias("_run"))
         for k in self.keys:
             known = known.where(F.col(k).isNotNull())
-        run = known.groupBy(*self.keys).agg(F.min(self.delivery).alias(self.delivery))
-        writer = run.write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
-        writer.option("path", self.path).mode("append").saveAsTable(self.name)
-        self.runs += 1
+        # One row per identifier leaves the aggregation, with its smallest delivery in each run; it lies in its bucket's task.
+        firsts = F.array(*[F.struct(F.lit(self.runs + r).alias("_run"), F.min(F.when(F.col("_run") == r, F.col(self.delivery))).alias(self.delivery)) for r in range(runs)])
+        rows = known.groupBy(*self.keys).agg(firsts.alias("_firsts")).select(*self.keys, F.explode(F.filter("_firsts", lambda x: x[self.delivery].isNotNull())).alias("_x"))
+        self._write(rows.select(*self.keys, "_x.*"))
+        self.runs += runs
         return self
 
     def compact(self) -> DataFrame:
-        """One row per message: identifier columns and its smallest delivery."""
-        runs = self.spark.table(self.name)
-        if self.runs == 1:
-            return runs
-        return runs.groupBy(*self.keys).agg(F.min(self.delivery).alias(self.delivery))
+        """One row per message: identifier columns and its smallest delivery.
+
+        The runs of a bucket are merged in identifier order and of equal identifiers the first
+        stays: one pass over each bucket, without a shuffle. The merged run is written as the
+        store's new and only run, and the others are deleted.
+        """
+        if self.runs > 1:
+            runs = self.spark.table(self.name)
+            merged = runs.withColumn("_place", F.row_number().over(Window.partitionBy(*self.keys).orderBy(self.delivery))).where("_place = 1")
+            old_name, old_files = self.name, self.files
+            self.generation += 1
+            self._write(merged.select(*self.keys, self.delivery, F.lit(0).alias("_run")))
+            self.spark.sql(f"drop table {old_name}")
+            delete(self.spark, old_files)
+            self.runs = 1
+        return self.spark.table(self.name).drop("_run")
+
+    def close(self) -> DataFrame:
+        """The compacted rows, read from their files alone; the catalogue forgets the store."""
+        self.compact()
+        schema = self.spark.table(self.name).schema
+        self.spark.sql(f"drop table {self.name}")
+        return self.spark.read.schema(schema).parquet(self.files).drop("_run")
 
 
 def message_identifier(item: Column, model: Column, at: Column) -> list[Column]:
@@ -57,27 +98,46 @@ def message_identifier(item: Column, model: Column, at: Column) -> list[Column]:
     return [clean_id(item).alias("_item"), clean_id(model).alias("_model"), instant_micros(at).alias("_at")]
 
 
+def _named(predictions: DataFrame) -> DataFrame:
+    batch = [F.col("batch_id")] if "batch_id" in predictions.columns else [F.lit("").alias("batch_id")]
+    return predictions.select("delivery_id", *batch, *message_identifier(F.col("item_id"), F.col("model_id"), F.col("timestamp")))
+
+
+COMPARED = "_item is not null and _model is not null and _at is not null"
+
+
+def kept_deliveries(predictions: DataFrame, batches: list[DataFrame] | None = None) -> DataFrame:
+    """(delivery_id) of the delivery that stands for each message, through a store of sorted runs that are merged.
+
+    The batches of predictions (batch_id) are spread over ``RUNS`` runs by a hash; several
+    frames are upserted one after another instead.
+    """
+    store = MessageStore(predictions.sparkSession, ["_item", "_model", "_at"], "delivery_id")
+    for b in batches or [predictions]:
+        store.upsert(_named(b), F.pmod(F.xxhash64("batch_id"), F.lit(RUNS)).cast("int"), RUNS)
+    return store.close().select("delivery_id")
+
+
 def repeated_deliveries(predictions: DataFrame, batches: list[DataFrame] | None = None) -> DataFrame:
     """(delivery_id) of every delivery that repeats a message with a smaller delivery_id.
 
     Nulls: rows with a null item, model or timestamp, or a timestamp that is no instant, are
-    never compared and never reported. Empty texts are identifiers like any other. Ties cannot
-    occur, as delivery_id is unique; fully repeated rows (same delivery_id) are one delivery.
-    An empty table gives an empty result. Further columns are ignored.
-    batches: the deliveries as they arrived, if they come as several frames; one run each.
+    never compared and never reported; a null batch_id is a batch like any other. Empty texts
+    are identifiers like any other. Ties cannot occur, as delivery_id is unique; fully repeated
+    rows (same delivery_id) are one delivery. An empty table gives an empty result. Further
+    columns are ignored.
+    batches: the deliveries as they arrived, if they come as several frames.
     """
-    named = [b.select("delivery_id", *message_identifier(F.col("item_id"), F.col("model_id"), F.col("timestamp"))) for b in batches or [predictions]]
-    store = MessageStore(predictions.sparkSession, ["_item", "_model", "_at"], "delivery_id")
-    for b in named:
-        store.upsert(b)
-    kept = store.compact().select("delivery_id")
-    whole = named[0]
-    for b in named[1:]:
-        whole = whole.unionByName(b)
-    compared = whole.where("_item is not null and _model is not null and _at is not null")
-    return compared.select("delivery_id").join(kept, "delivery_id", "left_anti").distinct()
+    kept = kept_deliveries(predictions, batches)
+    whole = None
+    for b in batches or [predictions]:
+        whole = _named(b) if whole is None else whole.unionByName(_named(b))
+    return whole.where(COMPARED).select("delivery_id").join(kept, "delivery_id", "left_anti").distinct()
 
 
 def first_deliveries(predictions: DataFrame) -> DataFrame:
     """The predictions without repeated deliveries, all columns as delivered. Rows that cannot be compared stay."""
-    return predictions.join(repeated_deliveries(predictions), "delivery_id", "left_anti")
+    kept = kept_deliveries(predictions).withColumn("_kept", F.lit(True))
+    item, model, at = message_identifier(F.col("item_id"), F.col("model_id"), F.col("timestamp"))
+    compared = item.isNotNull() & model.isNotNull() & at.isNotNull()
+    return predictions.join(kept, "delivery_id", "left").where(F.col("_kept") | ~compared).drop("_kept")

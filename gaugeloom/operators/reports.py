@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeloom.functions import labels as L
+from gaugeloom.runtime import bounded
 
 
 def matrix(long: DataFrame, row: str, col: str, value: str, columns: list[str]) -> DataFrame:
@@ -76,9 +77,9 @@ def baselines_first(df: DataFrame, name: str) -> DataFrame:
 
 
 def markdown(df: DataFrame, columns: list[str] | None = None, digits: int = 3, limit: int = 10_000) -> str:
-    """A small result as a Markdown table; nulls are NA."""
+    """A small result as a Markdown table; nulls are NA. More than ``limit`` rows are an error."""
     columns = columns or df.columns
     show = lambda v: "NA" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
     rows = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    rows += ["| " + " | ".join(show(r[c]) for c in columns) + " |" for r in df.select(*columns).limit(limit).collect()]
+    rows += ["| " + " | ".join(show(r[c]) for c in columns) + " |" for r in bounded(df.select(*columns), limit)]
     return "\n".join(rows) + "\n"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,18 +78,18 @@ def one_option_per_part(items: DataFrame, pool: DataFrame, item: str, exclude: s
     return best.select(item, F.col("b.option_id").alias("option_id"), "option_coarse", letter.alias("letter"))
 
 
-POOL_BUCKETS = 64  # pieces of a part's list that are numbered on their own
-
-
 def numbered_pool(pool: DataFrame, source: str) -> DataFrame:
-    """pool with its part as option_coarse and its place (0-based) in the part's list, where the options of a source lie together, in md5 order."""
-    parts = pool.withColumnRenamed("coarse", "option_coarse").withColumn("_bucket", F.pmod(F.xxhash64(source), F.lit(POOL_BUCKETS)).cast("int"))
+    """pool with its part as option_coarse and its place (0-based) in the part's list, where the options of a source lie together, in md5 order.
+
+    The list is numbered in 256 pieces, by the first byte of the md5 of the source.
+    """
+    parts = pool.withColumnRenamed("coarse", "option_coarse").withColumn("_bucket", F.conv(F.substring(F.md5(F.coalesce(F.col(source).cast("string"), F.lit(""))), 1, 2), 16, 10).cast("int"))
     w = Window.partitionBy("option_coarse", "_bucket")
     within = F.row_number().over(w.orderBy(source, hash_order(F.col("option_id").cast("string")), "option_id")) - 1
     sizes = parts.groupBy("option_coarse", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("option_coarse").orderBy("_bucket")) - F.col("_n")
     starts = sizes.select("option_coarse", "_bucket", before.alias("_start"))
-    return parts.withColumn("_p", within).join(F.broadcast(starts), ["option_coarse", "_bucket"]).withColumn("_place", F.col("_start") + F.col("_p")).drop("_bucket", "_start", "_p")  # starts: parts x POOL_BUCKETS rows
+    return parts.withColumn("_p", within).join(F.broadcast(starts), ["option_coarse", "_bucket"]).withColumn("_place", F.col("_start") + F.col("_p")).drop("_bucket", "_start", "_p")  # starts: at most 256 rows a part
 
 
 def distinct_draws(k: Column, n: Column, *seed: Column) -> Column:
@@ -170,25 +168,54 @@ def other_orders(n: Column, limit: int = 8) -> Column:
     return enough.otherwise(factorial)
 
 
+NUMBERED = 18  # up to so many options the orders are numbered: 18! and the draws of 15 hex digits fit a bigint
+
+
+def nth_order(n: Column, number: Column) -> Column:
+    """The order of 0..n-1 with this number (0-based) in alphabetical order of orders; n at most ``NUMBERED``."""
+    factorials = [1]
+    for k in range(1, NUMBERED + 1):
+        factorials.append(factorials[-1] * k)
+    table = F.array(*[F.lit(f).cast("bigint") for f in factorials])
+    start = F.struct(number.cast("bigint").alias("rest"), F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("int")).alias("left"), F.array().cast("array<int>").alias("out"))
+
+    def take(a, _):
+        f = F.get(table, F.size(a["left"]) - 1)
+        d = ((a["rest"] - F.pmod(a["rest"], f)) / f).cast("int")
+        return F.struct(
+            F.pmod(a["rest"], f).alias("rest"),
+            F.concat(F.slice(a["left"], F.lit(1), d), F.slice(a["left"], d + 2, F.size(a["left"]))).alias("left"),
+            F.concat(a["out"], F.array(F.get(a["left"], d))).alias("out"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), start, take, lambda a: a["out"])
+
+
 def permuted_copies(items: DataFrame, item: str, options: str, copies: int, limit: int = 8) -> DataFrame:
     """Each item in ``copies`` other option orders, distinct and none the given one: (item, permutation_id, record_id, options).
 
     The letters stay with their options, so the gold set does not change. Items with too few
-    options for that many orders are an error. Up to five options all orders are ranked by
-    md5; beyond, orders are md5-shuffled under one seed after another until enough differ.
+    options for that many orders are an error. Up to ``NUMBERED`` options the orders are
+    numbered and that many different numbers drawn by md5 of the item, so exactly as many come
+    out, also where nearly all orders are asked for. Beyond, orders are md5-shuffled under one
+    seed after another; should two of so many orders be equal, that is an error.
     """
-    n = F.size(options)
+    n, key = F.size(options), F.col(item).cast("string")
     checked = items.withColumn("_ok", F.assert_true(other_orders(n, limit) >= copies, F.lit("too few options for that many orders")))
-    small = F.lit(None)
-    for k in range(2, 6):
-        orders = F.array(*[F.array(*[F.lit(i) for i in p]) for p in permutations(range(k)) if p != tuple(range(k))])
-        small = F.when(n == k, orders) if k == 2 else small.when(n == k, orders)
-    tries = F.transform(F.sequence(F.lit(0), F.lit(copies * 4 + 8)), lambda s: shuffled(F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("string")), F.col(item).cast("string"), s.cast("string")))
-    drawn = F.transform(F.filter(F.array_distinct(tries), lambda p: p != F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("string"))), lambda p: F.transform(p, lambda i: i.cast("int")))
-    ranked = F.transform(F.array_sort(F.transform(small, lambda p: F.struct(hash_order(F.col(item).cast("string"), F.array_join(F.transform(p, lambda i: i.cast("string")), "")).alias("h"), p.alias("p")))), lambda s: s["p"])
-    chosen = F.slice(F.coalesce(ranked, drawn), 1, copies)
-    out = checked.where("_ok is null").select(item, options, F.posexplode(chosen).alias("permutation_id", "_order"))
-    return out.select(item, "permutation_id", F.concat(F.col(item).cast("string"), F.lit("::shuffle"), F.col("permutation_id").cast("string")).alias("record_id"), F.transform("_order", lambda i: F.get(F.col(options), i)).alias("options"))
+    factorial = F.lit(1).cast("bigint")
+    product = 1
+    for k in range(2, NUMBERED + 1):
+        product *= k
+        factorial = F.when(n == k, F.lit(product).cast("bigint")).otherwise(factorial)
+    numbers = distinct_draws(F.lit(copies), factorial - 1, key, F.lit("shuffle"))
+    places = lambda as_text: F.transform(F.sequence(F.lit(0), n - 1), lambda i: i.cast("string" if as_text else "int"))
+    shuffles = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(copies)), lambda s: F.transform(shuffled(places(True), key, s.cast("string")), lambda i: i.cast("int"))))
+    many = F.slice(F.filter(shuffles, lambda p: p != places(False)), 1, copies)
+    chosen = F.when(n <= NUMBERED, F.transform(numbers, lambda r: nth_order(F.least(n, F.lit(NUMBERED)), r + 1))).otherwise(many)
+    out = checked.where("_ok is null").withColumn("_chosen", chosen)
+    out = out.withColumn("_all", F.assert_true(F.size("_chosen") == copies, F.lit("two drawn orders are equal"))).where("_all is null")
+    out = out.select(item, options, F.posexplode("_chosen").alias("permutation_id", "_order"))
+    return out.select(item, "permutation_id", F.concat(key, F.lit("::shuffle"), F.col("permutation_id").cast("string")).alias("record_id"), F.transform("_order", lambda i: F.get(F.col(options), i)).alias("options"))
 
 
 def shuffle_sensitivity(df: DataFrame, model: str, base: str, selected: str) -> DataFrame:
@@ -220,9 +247,20 @@ def label_frequency(df: DataFrame, labels: str) -> DataFrame:
     return df.select(F.explode(labels).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def ranked_labels(df: DataFrame, labels: str, limit: int = 1000) -> list[str]:
-    """Labels by falling frequency, then alphabetically; at most ``limit`` come to the driver."""
-    return [r["label"] for r in label_frequency(df, labels).orderBy(F.desc("n"), "label").limit(limit).collect()]
+MAX_LABELS = 10_000  # labels of a vocabulary that is ranked whole
+
+
+def top_labels(df: DataFrame, labels: str, k: int) -> list[str]:
+    """The k most frequent labels, ties alphabetically."""
+    return [r["label"] for r in label_frequency(df, labels).orderBy(F.desc("n"), "label").limit(k).collect()]
+
+
+def ranked_labels(df: DataFrame, labels: str, limit: int = MAX_LABELS) -> list[str]:
+    """All labels by falling frequency, then alphabetically; a vocabulary of more than ``limit`` is an error."""
+    ranked = top_labels(df, labels, limit + 1)
+    if len(ranked) > limit:
+        raise ValueError(f"more than {limit} labels")
+    return ranked
 
 
 def modal_size(df: DataFrame, labels: str) -> int:
@@ -252,7 +290,7 @@ def baseline_predictions(items: DataFrame, item: str, gold: str, space: str, bas
     elif baseline == "always_none":
         pred = L.empty()
     elif baseline == "top_k_frequent":
-        pred = L.as_set(F.array(*[F.lit(x) for x in ranked_labels(items, gold)[:k]]).cast("array<string>"))
+        pred = L.as_set(F.array(*[F.lit(x) for x in top_labels(items, gold, k)]).cast("array<string>"))
     else:
         raise ValueError(f"unknown baseline: {baseline}")
     return items.withColumn("pred", pred)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gaugeloom.functions import labels as L
+from gaugeloom.runtime import salted_lookup
 
 METRICS = ["exact", "partial", "precision", "recall", "f1", "iou"]
 
@@ -51,11 +52,11 @@ def scored(matched: DataFrame, empty_is_perfect: bool = True, failed: Column | N
 def with_group(df: DataFrame, group: list[str], gate: bool = True, signature: str = "signature") -> DataFrame:
     """Adds group_any_correct, group_all_correct, group_consistency and counted (the gate).
 
-    Groups come from one shuffled aggregation that is joined back, so that a group with a
-    third of all rows is combined map-side and its rows stay spread.
+    Groups are aggregated, combined map-side, and joined back with heavy groups salted, so that
+    the rows of a group with a third of all rows stay spread. Null group parts are equal.
     """
     summary = group_summary(df, group, gate, signature).select(*group, "group_any_correct", "group_all_correct", "group_consistency", "counted")
-    return match_gold(df, summary, group)
+    return salted_lookup(df, summary, group, "inner", nulls_match=True)
 
 
 def group_summary(df: DataFrame, group: list[str], gate: bool = True, signature: str = "signature") -> DataFrame:

@@ -3,25 +3,61 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gaugeloom.functions import labels as L
 from gaugeloom.runtime import shuffle_partitions
 
 BROADCAST_ROWS = 300_000  # rows of a few numbers each that may be broadcast
+RANGES = 256  # ranges of values that prefix sums and pair counts are split into
+
+
+def value_ranges(df: DataFrame, value: str, ranges: int = RANGES) -> DataFrame:
+    """One row with the bounds of ranges of about as many rows each (approximate quantiles)."""
+    return df.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 10_000).alias("_bounds"))
+
+
+def range_of(value: Column, bounds: Column) -> Column:
+    """Number of a value's range. A value that is a bound has a range of its own, so that one shared by many rows lies alone."""
+    return 2 * F.size(F.filter(bounds, lambda b: b < value)) + F.exists(bounds, lambda b: b == value).cast("int")
+
+
+def sums_below(df: DataFrame, value: str, n: str, by: list[str] = (), name: str = "_below") -> DataFrame:
+    """Adds the sum of n over the smaller values (per ``by``); values are distinct there.
+
+    Values are cut into ranges; sums of whole ranges come from one row per range, and only
+    rows of a range are sorted together. So no task sorts all values. Nulls come first.
+    """
+    bounds = value_ranges(df, value)
+    placed = df.join(F.broadcast(bounds)).withColumn("_range", F.coalesce(range_of(F.col(value), F.col("_bounds")), F.lit(-1))).drop("_bounds")  # one row of bounds
+    totals = placed.groupBy(*by, "_range").agg(F.sum(n).alias("_t"))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    before = totals.withColumn("_before", F.sum("_t").over(w.orderBy("_range")) - F.col("_t")).drop("_t")  # a row per range
+    inside = F.coalesce(F.sum(n).over(Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    located = placed.withColumn("_inside", inside)
+    on = F.col("l._range") == F.col("r._range")
+    for c in by:
+        on = on & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return located.alias("l").join(before.alias("r"), on).select(*[F.col(f"l.{c}") for c in df.columns], (F.col("r._before") + F.col("l._inside")).alias(name))
 
 
 def average_rank(df: DataFrame, value: str, by: list[str] = (), name: str = "rank") -> DataFrame:
-    """Rank with ties shared. Distinct values are ranked, not rows: equal values are counted map-side first."""
+    """Rank with ties shared, of numbers or instants. Equal values are counted map-side first, and ranked range by range."""
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    below = F.coalesce(F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.select(*by, value, (below + (F.col("_n") + 1) / 2.0).alias(name))
-    return df.join(ranks, [*by, value])
+    ranks = sums_below(counts, value, "_n", by).select(*by, value, (F.col("_below") + (F.col("_n") + 1) / 2.0).alias(name))
+    right = ranks.select(*[F.col(c).alias(f"_k_{c}") for c in (*by, value)], name)
+    on = None
+    for c in (*by, value):
+        same = df[c].eqNullSafe(right[f"_k_{c}"])
+        on = same if on is None else on & same
+    return df.join(right, on).select(*df.columns, name)
 
 
 def pearson(x: Column, y: Column) -> Column:
@@ -35,21 +71,61 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(pearson(F.col("_rx"), F.col("_ry")).alias("spearman"))
 
 
-def kendall_tau_b(df: DataFrame, x: str, y: str, limit: int = 20_000) -> DataFrame:
-    """(kendall_tau_b) with tie correction, 0 if undefined. Meant for models, not items: every pair is compared, so at most ``limit`` rows are taken, else it is an error."""
-    n = df.count()
-    if n > limit:
-        raise ValueError(f"{n} rows; tau compares all pairs and takes at most {limit}")
-    a = df.select(F.col(x).alias("x1"), F.col(y).alias("y1"), F.monotonically_increasing_id().alias("i"))
-    rows = a.agg(F.array_sort(F.collect_list(F.struct("x1", "y1"))).alias("r"))
-    pairs = rows.select(F.posexplode("r").alias("i", "a"), "r").select("a", F.explode(F.expr("slice(r, i + 2, greatest(0, size(r) - i - 1))")).alias("b"))
-    sign = F.signum(F.col("a.x1") - F.col("b.x1")) * F.signum(F.col("a.y1") - F.col("b.y1"))
-    s = pairs.agg(
-        F.coalesce(F.sum(sign), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("n0"),
-        F.count_if(F.col("a.x1") == F.col("b.x1")).alias("n1"), F.count_if(F.col("a.y1") == F.col("b.y1")).alias("n2"),
-    )
-    root = F.sqrt((F.col("n0") - F.col("n1")).cast("double") * (F.col("n0") - F.col("n2")))
-    return s.select(L.ratio(F.col("s"), root).alias("kendall_tau_b"))
+def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w_i w_j sign(x_i - x_j) sign(y_i - y_j) over pairs of distinct (x, y), by merging: n log n steps in numpy."""
+    order = np.lexsort((y, x))
+    x, w = x[order], w[order].astype(np.float64)
+    y = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
+    n, width = len(x), int(y.max()) + 2 if len(x) else 1
+    total, half, at = 0.0, 1, np.arange(n)
+    while half < n:
+        block, right = at // (2 * half), (at // half) % 2 == 1
+        key = block * width + y
+        left = np.flatnonzero(~right)
+        left = left[np.argsort(key[left], kind="stable")]
+        keys, sums = key[left], np.concatenate(([0.0], np.cumsum(w[left])))
+        k, b = key[right], block[right]
+        less = sums[np.searchsorted(keys, k, "left")] - sums[np.searchsorted(keys, b * width, "left")]
+        more = sums[np.searchsorted(keys, (b + 1) * width, "left")] - sums[np.searchsorted(keys, k, "right")]
+        total += float(np.sum(w[right] * (less - more)))
+        half *= 2
+    # Pairs of equal x stand in order of y and were counted as rising.
+    starts = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if n else np.array([], int)
+    if n:
+        whole, squares = np.add.reduceat(w, starts), np.add.reduceat(w * w, starts)
+        total -= float(np.sum(whole * whole - squares) / 2)
+    return total
+
+
+def kendall_tau_b(df: DataFrame, x: str, y: str, ranges: int = RANGES) -> DataFrame:
+    """(kendall_tau_b) with tie correction, 0 if undefined, over any number of rows; rows with a null are left out.
+
+    Equal pairs are counted first. x and y are cut into ranges: pairs of rows in different
+    ranges of both are told by the counts of the range grid, pairs in one range of x are
+    counted there, and pairs in one range of y but not of x there. A value shared by many rows
+    has a range of its own, within which all pairs are tied, so it is not gathered.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    bounds = value_ranges(rows, "x", ranges).select(F.col("_bounds").alias("_bx")).join(F.broadcast(value_ranges(rows, "y", ranges).select(F.col("_bounds").alias("_by"))))
+    placed = rows.join(F.broadcast(bounds)).select("x", "y", "w", range_of(F.col("x"), F.col("_bx")).alias("a"), range_of(F.col("y"), F.col("_by")).alias("b"))  # one row of bounds
+    schema = "s double"
+
+    def within(one: str, other: str):
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"s": [concordance(pdf[one].to_numpy(), pdf[other].to_numpy(), pdf["w"].to_numpy())]})
+
+        return count
+
+    of_x = placed.where("a % 2 = 0").groupBy("a").applyInPandas(within("x", "y"), schema)
+    cells = placed.where("b % 2 = 0").groupBy("b", "a", "y").agg(F.sum("w").alias("w"))
+    of_y = cells.groupBy("b").applyInPandas(within("a", "y"), schema)
+    grid = placed.groupBy("a", "b").agg(F.sum("w").alias("w")).withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(within("a", "b"), schema)  # at most (2 ranges)^2 rows
+    s = of_x.unionByName(of_y).unionByName(grid).agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    pairs = lambda c: F.coalesce(F.sum(F.col(c) * (F.col(c) - 1) / 2), F.lit(0.0))
+    tied = lambda k, name: rows.groupBy(k).agg(F.sum("w").alias("w")).agg(pairs("w").alias(name))
+    n0 = rows.agg(F.sum("w").alias("w")).agg(pairs("w").alias("n0"))
+    both = s.join(F.broadcast(n0)).join(F.broadcast(tied("x", "n1"))).join(F.broadcast(tied("y", "n2")))  # single rows
+    return both.select(L.ratio(F.col("s"), F.sqrt((F.col("n0") - F.col("n1")) * (F.col("n0") - F.col("n2")))).alias("kendall_tau_b"))
 
 
 def two_by_two(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -94,41 +170,103 @@ def hash_order(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *parts))
 
 
-def bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicates: int = 200) -> DataFrame:
-    """(by, rep, n, sums...): sums of columns over resampled rows, one row per replicate.
+def md5_part(k: Column, *parts: Column) -> Column:
+    """A whole number in [0, 2^32): the k-th of the four that an md5 of the parts holds."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), k * 8 + 1, F.lit(8)), 16, 10).cast("long")
+
+
+def _replicates(rows: DataFrame, key: Column, replicates: int, name: str) -> DataFrame:
+    """Each row with each replicate rep and a whole number in [0, 2^32) as ``name``; four replicates share the md5 of (rep / 4, key)."""
+    seeded = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))).alias("_q")).withColumn("_h", F.md5(F.concat_ws(":", F.col("_q").cast("string"), key.cast("string"))))
+    number = lambda k: F.conv(F.substring("_h", 8 * k + 1, 8), 16, 10).cast("long")
+    four = F.array(*[F.struct((F.col("_q") * 4 + k).alias("rep"), number(k).alias(name)) for k in range(4)])
+    return seeded.select(*rows.columns, F.inline(four)).where(F.col("rep") < replicates)
+
+
+def bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicates: int = 1000) -> DataFrame:
+    """(by, rep, n, sums...): sums of columns over resampled rows, one row per replicate, drawn row by row.
 
     Equal rows are counted first and then take a range of places each; every place is also a
-    slot that draws, per replicate, a place by md5 of (replicate, slot), so draws can be
-    repeated anywhere. Costs replicates x rows; for tables beyond some millions of rows use
-    ``poisson_bootstrap_sums``.
+    slot that draws, per replicate, a place by md5 of (replicate, slot), so that other engines
+    draw the same. Costs replicates x rows: ``multinomial_bootstrap_sums`` draws from the same
+    distribution at replicates x distinct rows.
     """
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     values = df.groupBy(*by, *sums).agg(F.count(F.lit(1)).alias("_n"))
     upto = F.sum("_n").over(w.orderBy(*sums))  # over distinct values, not rows
     ranges = values.select(*by, *sums, (upto - F.col("_n")).alias("_from"), upto.alias("_to"), F.sum("_n").over(w).alias("_all"))
     placed = ranges.withColumn("_slot", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1))).drop("_from", "_to")
-    spread = placed.select(*by, "_all", "_slot").repartition(shuffle_partitions(df.sparkSession), *by, "_slot")
-    drawn = spread.select(*by, "_all", "_slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    place = hash_draw([F.col("rep").cast("string"), F.col("_slot").cast("string")], F.col("_all"))
+    slots = placed.select(*by, "_all", "_slot").repartition(shuffle_partitions(df.sparkSession), *by, "_slot")
+    drawn = _replicates(slots, F.col("_slot"), replicates, "_r").select(*by, "rep", F.pmod("_r", "_all").alias("_slot"))
     targets = placed.drop("_all")
     if df.count() <= BROADCAST_ROWS:
         targets = F.broadcast(targets)
-    hit = drawn.select(*by, "rep", place.alias("_slot")).join(targets, [*by, "_slot"])
+    hit = drawn.join(targets, [*by, "_slot"])
     return hit.groupBy(*by, "rep").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums])
 
 
-def poisson_bootstrap_sums(df: DataFrame, sums: list[str], id_columns: list[str], by: list[str] = (), replicates: int = 200, seed: int = 42) -> DataFrame:
-    """As ``bootstrap_sums`` with a Poisson(1) weight per row and replicate, hashed from the row's id: one pass, map-side sums, any size."""
-    h = F.pmod(F.xxhash64(*id_columns, F.col("rep"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+CELLS = 1024  # cells that distinct rows are hashed into, each drawn from on its own
+
+
+def multinomial_bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicates: int = 1000, seed: int = 42, cells: int = CELLS) -> DataFrame:
+    """As ``bootstrap_sums`` from the same distribution, at any size: costs replicates x distinct rows.
+
+    How often each distinct row is drawn is multinomial, drawn by halving: how many of the draws
+    fall to the first half of the cells of distinct rows, and so on down to the cell, each half
+    by a binomial number whose seed is the place in the tree, so that all tasks draw the same;
+    then row by row within the cell. Only sums per replicate and cell leave a task. Nulls count as 0.
+    """
+    values = df.select(*by, *[F.coalesce(F.col(s), F.lit(0)).cast("double").alias(s) for s in sums]).groupBy(*by, *sums).agg(F.count(F.lit(1)).alias("_n"))
+    values = values.withColumn("_cell", F.pmod(F.xxhash64(*sums), F.lit(cells)).cast("int"))
+    group = F.xxhash64(*by, F.lit(seed)) if by else F.lit(seed).cast("bigint")
+    per_cell = values.groupBy(*by, "_cell").agg(F.sum("_n").alias("_c"))
+    sizes = per_cell.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_cell", "_c"))).alias("_sizes")).withColumn("_seed", group)  # at most ``cells`` entries
+    if by:
+        joined = values.join(sizes.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_sizes", "_seed"), reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by])).drop(*[f"_g_{c}" for c in by])
+    else:
+        joined = values.join(F.broadcast(sizes))  # one row
+    fields = [df.select(*by).schema[c] for c in by] + [T.StructField("rep", T.IntegerType()), T.StructField("_k", T.LongType())] + [T.StructField(f"_s_{s}", T.DoubleType()) for s in sums]
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        names = [int(x["_cell"]) for x in first["_sizes"]]
+        size = np.array([int(x["_c"]) for x in first["_sizes"]], dtype=np.float64)
+        mine, low, high = names.index(int(first["_cell"])), 0, len(names)
+        counts, table = pdf["_n"].to_numpy(np.float64), pdf[list(sums)].to_numpy(np.float64)
+        source = lambda place: np.random.Generator(np.random.Philox(key=[int(first["_seed"]) & ((1 << 64) - 1), place]))
+        k = np.full(replicates, int(size.sum()), dtype=np.int64)
+        while high - low > 1:
+            middle = (low + high) // 2
+            lower = source(low << 32 | high).binomial(k, size[low:middle].sum() / size[low:high].sum())
+            k, low, high = (lower, low, middle) if mine < middle else (k - lower, middle, high)
+        own = source(1 << 63 | mine)
+        order = np.lexsort(table.T[::-1]) if len(sums) else np.arange(len(pdf))
+        counts, table = counts[order], table[order]
+        left, rest, out = k.astype(np.int64), counts.sum(), np.zeros((replicates, len(sums)))
+        for i in range(len(counts)):
+            taken = left if i == len(counts) - 1 else own.binomial(left, min(1.0, counts[i] / rest))
+            out += taken[:, None] * table[i]
+            left, rest = left - taken, rest - counts[i]
+        part = {c: [first[c]] * replicates for c in by}
+        part.update({"rep": np.arange(replicates, dtype=np.int32), "_k": k.astype(np.int64)})
+        part.update({f"_s_{s}": out[:, j] for j, s in enumerate(sums)})
+        return pd.DataFrame(part)
+
+    drawn = joined.groupBy(*by, "_cell").applyInPandas(draw, T.StructType(fields))
+    return drawn.groupBy(*by, "rep").agg(F.sum("_k").alias("n"), *[F.sum(f"_s_{s}").alias(s) for s in sums])
+
+
+def poisson_bootstrap_sums(df: DataFrame, sums: list[str], id_column: str, by: list[str] = (), replicates: int = 1000) -> DataFrame:
+    """As ``bootstrap_sums`` with a Poisson(1) weight per row and replicate, by md5 of (replicate, id): one pass, map-side sums, rows stay where they are."""
     p, total, weight = math.exp(-1), 0.0, F.lit(12)
     steps = []
     for k in range(12):
         total += p
-        steps.append((k, total))
+        steps.append((k, math.floor(total * (1 << 32))))
         p /= k + 1
     for k, t in reversed(steps):
-        weight = F.when(h < t, k).otherwise(weight)
-    rows = df.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", weight)
+        weight = F.when(F.col("_r") < t, k).otherwise(weight)
+    rows = _replicates(df.select(*by, id_column, *sums), F.col(id_column), replicates, "_r").withColumn("_w", weight)
     return rows.groupBy(*by, "rep").agg(F.sum("_w").alias("n"), *[F.sum(F.col(s) * F.col("_w")).alias(s) for s in sums])
 
 

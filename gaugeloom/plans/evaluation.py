@@ -7,6 +7,9 @@ Averages of fractions are rounded to nine digits, as sums of doubles depend on t
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +19,7 @@ from gaugeloom.functions import keys as K
 from gaugeloom.functions import labels as L
 from gaugeloom.functions import text as X
 from gaugeloom.operators import construction, reports, sampling, scoring, statistics
-from gaugeloom.runtime import WHITESPACE, clean_id, table
+from gaugeloom.runtime import WHITESPACE, clean_id, salted_join, salted_lookup, table
 from gaugeloom.streaming import incremental
 
 QUERIES: dict = {}
@@ -248,7 +251,7 @@ def option_sets(spark: SparkSession, d: str) -> DataFrame:
     )
     p = table(spark, d, "predictions").where("item_id is not null")
     p = p.select("delivery_id", clean_id(F.col("item_id")).alias("key"), clean_id(F.col("model_id")).alias("model"), L.clean_choices(F.col("choices")).alias("pred"), F.coalesce("parse_error", F.lit(0)).alias("parse_error"))
-    rows = p.join(items, "key").withColumn("variant", F.when(F.col("key").startswith("compatibility_category"), "compatibility_category").otherwise("compatibility_diversity"))
+    rows = salted_join(p, items, "key", ["delivery_id"]).withColumn("variant", F.when(F.col("key").startswith("compatibility_category"), "compatibility_category").otherwise("compatibility_diversity"))
     rows = rows.withColumn("signature", F.to_json("pred"))
     return scoring.scored(rows)
 
@@ -352,8 +355,8 @@ def free_text(spark: SparkSession, d: str) -> DataFrame:
     aliases = X.AliasTable.from_frame(table(spark, d, "alias_entries"))
     f = table(spark, d, "freeform_outputs").select("output_id", "record_id", "image_id", "model_name", "raw_text", "predicted_labels")
     parsed = aliases.parse(F.col("raw_text"))
-    gold = f.groupBy("image_id").agg(F.min_by("predicted_labels", "output_id").alias("_g")).select(F.col("image_id").alias("_i"), L.as_set(F.col("_g")).alias("gold"))
-    rows = f.drop("predicted_labels").withColumns(parsed).join(gold, F.col("image_id").eqNullSafe(F.col("_i")))
+    gold = f.groupBy("image_id").agg(F.min_by("predicted_labels", "output_id").alias("_g")).select("image_id", L.as_set(F.col("_g")).alias("gold"))
+    rows = salted_lookup(f.drop("predicted_labels"), gold, ["image_id"], "inner", nulls_match=True).withColumns(parsed)
     return rows.withColumn("pred", L.as_set(F.col("predicted_labels")))
 
 
@@ -470,26 +473,16 @@ def model_ranking(spark, d):
 
 REPLICATES = 1000  # of a bootstrap
 
-_DRAWS = """draw as (select rep, slot, ('0x' || substr(md5(rep::varchar || ':' || slot::varchar), 1, 8))::bigint % n as place from nn, (select unnest(generate_series(0, 49)) as rep) r, (select unnest(generate_series(0, (select n from nn) - 1)) as slot) s),
+_DRAWS = """draw as (select rep, slot, ('0x' || substr(md5((rep // 4)::varchar || ':' || slot::varchar), (8 * (rep % 4) + 1)::int, 8))::bigint % n as place from nn, (select unnest(generate_series(0, 999)) as rep) r, (select unnest(generate_series(0, (select n from nn) - 1)) as slot) s),
 """
 
 
 @query(_ONE + ", nn as (select count(*) as n from sc), o as (select exact, row_number() over (order by exact) - 1 as place from sc), " + _DRAWS + """reps as (select rep, avg(exact) as m from draw join o using (place) group by rep)
 select (select round(avg(exact), 9) from sc) as mean, round(stddev_samp(m), 9) as std, round(quantile_cont(m, 0.025), 9) as ci_lower, round(quantile_cont(m, 0.975), 9) as ci_upper from reps""")
 def bootstrap_mean(spark, d):
-    """As many replicates as the SQL states; bootstrap_mean_whole has all."""
-    return _bootstrap_mean(spark, d, 50)
-
-
-@query(None)
-def bootstrap_mean_whole(spark, d):
-    """As bootstrap_mean with all replicates."""
-    return _bootstrap_mean(spark, d, REPLICATES)
-
-
-def _bootstrap_mean(spark, d, replicates):
+    """Interval of the accuracy, rows drawn one by one."""
     rows = single_choice(spark, d).select(F.col("exact").cast("int").alias("hit"))
-    reps = statistics.bootstrap_sums(rows, ["hit"], replicates=replicates).select((F.col("hit") / F.col("n")).alias("m"))
+    reps = statistics.bootstrap_sums(rows, ["hit"], replicates=REPLICATES).select((F.col("hit") / F.col("n")).alias("m"))
     return rounded(rows.agg(F.avg("hit").alias("mean")).join(F.broadcast(statistics.interval(reps, "m"))))  # single rows
 
 
@@ -497,28 +490,34 @@ def _bootstrap_mean(spark, d, replicates):
 f as (select 2 * tp / nullif(2 * tp + fp + fn, 0) as m from reps)
 select (select round(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 9) from sc) as mean, round(stddev_samp(m), 9) as std, round(quantile_cont(m, 0.025), 9) as ci_lower, round(quantile_cont(m, 0.975), 9) as ci_upper from f""")
 def bootstrap_micro_f1(spark, d):
-    """As many replicates as the SQL states; bootstrap_micro_f1_whole has all."""
-    return _bootstrap_micro_f1(spark, d, 50)
+    """Interval of the pooled F1, rows drawn one by one."""
+    rows = label_sets(spark, d).select("tp", "fp", "fn")
+    return _f1_interval(rows, statistics.bootstrap_sums(rows, ["tp", "fp", "fn"], replicates=REPLICATES))
 
 
 @query(None)
-def bootstrap_micro_f1_whole(spark, d):
-    """As bootstrap_micro_f1 with all replicates."""
-    return _bootstrap_micro_f1(spark, d, REPLICATES)
+def bootstrap_micro_f1_multinomial(spark, d):
+    """As bootstrap_micro_f1, drawing how often each distinct row comes: any size."""
+    rows = label_sets(spark, d).select("tp", "fp", "fn")
+    return _f1_interval(rows, statistics.multinomial_bootstrap_sums(rows, ["tp", "fp", "fn"], replicates=REPLICATES))
 
 
-def _bootstrap_micro_f1(spark, d, replicates):
-    rows = label_sets(spark, d).select("tp", "fp", "fn")
+def _f1_interval(rows, replicates):
     f1 = lambda t, p, n: L.ratio(2 * t, 2 * t + p + n)
-    reps = statistics.bootstrap_sums(rows, ["tp", "fp", "fn"], replicates=replicates).select(f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("m"))
+    reps = replicates.select(f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("m"))
     return rounded(rows.agg(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("mean")).join(F.broadcast(statistics.interval(reps, "m"))))
 
 
-@query(None)
+_POISSON = "case " + " ".join(f"when r < {math.floor(t * (1 << 32))} then {k}" for k, t in enumerate(itertools.accumulate(math.exp(-1) / math.factorial(k) for k in range(12)))) + " else 12 end"
+
+
+@query(_ONE + f""", w as (select exact, {_POISSON} as w, rep from (select exact, rep, ('0x' || substr(md5((rep // 4)::varchar || ':' || item::varchar), (8 * (rep % 4) + 1)::int, 8))::bigint as r
+  from sc, (select unnest(generate_series(0, 999)) as rep))), reps as (select rep, sum(exact * w) / sum(w) as m from w group by rep)
+select round(stddev_samp(m), 9) as std, round(quantile_cont(m, 0.025), 9) as ci_lower, round(quantile_cont(m, 0.975), 9) as ci_upper from reps""")
 def bootstrap_poisson(spark, d):
     """Accuracy interval by hashed Poisson weights: one pass, for tables of any size."""
     rows = single_choice(spark, d).select("item", F.col("exact").cast("int").alias("hit"))
-    reps = statistics.poisson_bootstrap_sums(rows, ["hit"], ["item"], replicates=REPLICATES).select((F.col("hit") / F.col("n")).alias("m"))
+    reps = statistics.poisson_bootstrap_sums(rows, ["hit"], "item", replicates=REPLICATES).select((F.col("hit") / F.col("n")).alias("m"))
     return rounded(statistics.interval(reps, "m"))
 
 
@@ -614,7 +613,7 @@ def bootstrap_paired(spark, d):
 
 def paired_interval(deltas: DataFrame) -> DataFrame:
     """(model, n, mean, std, ci_lower, ci_upper) of (model, delta)."""
-    reps = statistics.bootstrap_sums(deltas.select("model", "delta"), ["delta"], ["model"], replicates=REPLICATES).select("model", (F.col("delta") / F.col("n")).alias("m"))
+    reps = statistics.multinomial_bootstrap_sums(deltas.select("model", "delta"), ["delta"], ["model"], replicates=REPLICATES).select("model", (F.col("delta") / F.col("n")).alias("m"))
     means = deltas.groupBy("model").agg(F.count("delta").alias("n"), F.avg("delta").alias("mean"))
     return rounded(means.join(statistics.interval(reps, "m", ["model"]), "model"))
 
@@ -682,50 +681,51 @@ def baseline_random(spark, d):
     return _baseline(spark, d, "random")
 
 
-def _whole_pool(spark, d):
+def _pool(spark, d):
     coarse = F.element_at(F.array(*[F.lit(c) for c in dims.COARSE_PARTS]), (F.pmod("p_size", F.lit(4)) + 1).cast("int"))
     return table(spark, d, "part").select(F.col("p_partkey").alias("option_id"), coarse.alias("coarse"), F.pmod("p_partkey", F.lit(100)).alias("option_source"))
 
 
-def _pool(spark, d):
-    """The parts that the SQL names, which meets every item with each of them."""
-    return _whole_pool(spark, d).where("option_id < 200")
-
-
 def _targets(spark, d):
     coarse = F.element_at(F.array(*[F.lit(c) for c in dims.COARSE_PARTS]), (F.pmod("c_custkey", F.lit(4)) + 1).cast("int"))
     return table(spark, d, "customer").select(F.col("c_custkey").alias("item"), coarse.alias("coarse"), F.pmod("c_custkey", F.lit(100)).alias("source"))
 
 
-_POOL = f"""with pool as (select p_partkey as option_id, {dims.COARSE_PARTS}[p_size % 4 + 1] as option_coarse, p_partkey % 100 as option_source from part where p_partkey < 200),
+def _drawn_sql(kinds: list[tuple[str, str, str, int, int]]) -> str:
+    """Options drawn by the rules of ``sampling.draw_options``, every item beside the whole pool.
+
+    kinds: (coarse part of the item, kind, part of the option, its place among the kind's parts, number drawn).
+    """
+    draw = lambda j: f"('0x' || substr(md5(item::varchar || ':' || kind || ':' || ({j})::varchar), 1, 15))::bigint % ({j} + 1)"
+    return f"""with pool as (select p_partkey as option_id, {dims.COARSE_PARTS}[p_size % 4 + 1] as option_coarse, p_partkey % 100 as option_source from part),
 tg as (select c_custkey as item, {dims.COARSE_PARTS}[c_custkey % 4 + 1] as coarse, c_custkey % 100 as source from customer),
+kinds(coarse, kind, option_coarse, part_no, k) as (values {', '.join(map(str, kinds))}),
+listed as (select *, row_number() over (partition by option_coarse order by substr(md5(option_source::varchar), 1, 2), option_source, md5(option_id::varchar), option_id) as place from pool),
+met as (select item, kind, k, option_id, option_coarse, tg.coarse, row_number() over (partition by item, kind order by part_no, place) - 1 as number, count(*) over (partition by item, kind) as n
+  from tg join kinds using (coarse) join listed using (option_coarse) where option_source <> source),
+asked as (select item, kind, min(n) as n, min(least(k, n)) as m from met group by 1, 2),
+d1 as (select *, case when m >= 1 then {draw('n - m')} end as a from asked),
+d2 as (select *, case when m >= 2 then case when {draw('n - m + 1')} = a then n - m + 1 else {draw('n - m + 1')} end end as b from d1),
+d3 as (select *, case when m >= 3 then case when {draw('n - m + 2')} in (a, b) then n - m + 2 else {draw('n - m + 2')} end end as c from d2),
+q as (select met.* from met join d3 using (item, kind) where number = a or number = b or number = c),
+l as (select item, option_id, option_coarse, coarse, kind, chr((row_number() over (partition by item order by md5(item::varchar || ':' || option_id::varchar), option_id) + 64)::int) as letter from q)
 """
 
 
-@query(_POOL + """j as (select item, option_id, option_coarse, md5(item::varchar || ':' || option_id::varchar) as h, case when option_coarse = coarse then 'positive' when split_part(option_coarse, '_', 1) = split_part(coarse, '_', 1) then 'hard' else 'cross' end as kind
-  from tg join pool on option_source <> source), r as (select *, row_number() over (partition by item, kind order by h, option_id) as rn from j),
-q as (select * from r where rn <= case kind when 'positive' then 2 when 'hard' then 3 else 3 end)
-select item, option_id, option_coarse, kind, chr((row_number() over (partition by item order by h, option_id) + 64)::int) as letter from q""")
-def option_sampling(spark, d):
-    return sampling.sample_options(_targets(spark, d), _pool(spark, d), [("positive", "same", F.lit(2)), ("hard", "hard", F.lit(3)), ("cross", "cross", F.lit(3))], "item", "source")
+_QUOTAS = [("positive", "same", 2), ("hard", "hard", 3), ("cross", "cross", 3)]
+_RELATED = {"same": lambda c: [c], "hard": dims.hard_negatives, "cross": dims.cross_limb}
+_OPTION_DRAWS = _drawn_sql([(c, kind, p, i, k) for c in dims.COARSE_PARTS for kind, relation, k in _QUOTAS for i, p in enumerate(_RELATED[relation](c))])
+_PART_DRAWS = _drawn_sql([(c, p, p, 0, 1) for c in dims.COARSE_PARTS for p in dims.COARSE_PARTS])
 
 
-@query(_POOL + """j as (select item, option_id, option_coarse, md5(item::varchar || ':' || option_id::varchar) as h from tg join pool on option_source <> source), r as (select *, row_number() over (partition by item, option_coarse order by h, option_id) as rn from j)
-select item, option_id, option_coarse, chr((row_number() over (partition by item order by h, option_id) + 64)::int) as letter from r where rn = 1""")
-def category_items(spark, d):
-    return sampling.one_option_per_part(_targets(spark, d), _pool(spark, d), "item", "source")
-
-
-@query(None)
-def option_sampling_whole(spark, d):
-    """As option_sampling, drawn from all parts."""
-    return sampling.draw_options(_targets(spark, d), _whole_pool(spark, d), [("positive", "same", 2), ("hard", "hard", 3), ("cross", "cross", 3)], "item", "source")
+@query(_OPTION_DRAWS + "select item, option_id, option_coarse, kind, letter from l")
+def option_sampling(spark, d):
+    return sampling.draw_options(_targets(spark, d), _pool(spark, d), _QUOTAS, "item", "source")
 
 
-@query(None)
-def category_items_whole(spark, d):
-    """As category_items, drawn from all parts."""
-    return sampling.draw_one_per_part(_targets(spark, d), _whole_pool(spark, d), "item", "source")
+@query(_PART_DRAWS + "select item, option_id, option_coarse, letter from l")
+def category_items(spark, d):
+    return sampling.draw_one_per_part(_targets(spark, d), _pool(spark, d), "item", "source")
 
 
 SHUFFLES = 3  # other orders asked of each item
@@ -737,13 +737,26 @@ def _shuffle_items(spark, d):
     return items.withColumn("possible", sampling.other_orders(F.size("opts")))
 
 
-@query(None)
+_SHUFFLED = f"""with recursive ranked as (select {_id('item_id')} as key, *, row_number() over (partition by {_id('item_id')} order by loaded_at desc nulls last, item_row desc) as rn from benchmark_items where item_id is not null),
+io as (select key as item, list_transform(list_filter(coalesce(options, []), lambda o: o is not null), lambda o: o.option_id) as opts from ranked where rn = 1),
+possible as (select item, opts, len(opts) as n, case when len(opts) <= 1 then 0 else least(factorial(least(len(opts), 8)::int), factorial(8))::bigint - 1 + case when len(opts) >= 8 then 1 else 0 end end as possible from io),
+"""
+_NUMBER = "('0x' || substr(md5(item || ':shuffle:' || ({j})::varchar), 1, 15))::bigint % ({j} + 1)"
+
+
+@query(_SHUFFLED + f"""asked as (select *, factorial(n::int)::bigint - 1 as big from possible where possible >= 3),
+d1 as (select *, {_NUMBER.format(j='big - 3')} as a from asked), d2 as (select *, case when {_NUMBER.format(j='big - 2')} = a then big - 2 else {_NUMBER.format(j='big - 2')} end as b from d1),
+d3 as (select *, case when {_NUMBER.format(j='big - 1')} in (a, b) then big - 1 else {_NUMBER.format(j='big - 1')} end as c from d2),
+r as (select item, permutation_id, [a, b, c][permutation_id + 1] + 1 as rest, opts as remaining, []::varchar[] as options from d3, (select unnest([0, 1, 2]) as permutation_id)
+  union all select item, permutation_id, rest % factorial((len(remaining) - 1)::int)::bigint, list_concat(remaining[1:rest // factorial((len(remaining) - 1)::int)::bigint], remaining[rest // factorial((len(remaining) - 1)::int)::bigint + 2:]),
+  list_append(options, remaining[rest // factorial((len(remaining) - 1)::int)::bigint + 1]) from r where len(remaining) > 0)
+select item, permutation_id::int as permutation_id, item || '::shuffle' || permutation_id as record_id, options from r where len(remaining) = 0""")
 def option_shuffle(spark, d):
     """Three other orders of the options of every current item that has as many; option_shuffle_short names the others."""
     return sampling.permuted_copies(_shuffle_items(spark, d).where(F.col("possible") >= SHUFFLES), "item", "opts", SHUFFLES)
 
 
-@query(None)
+@query(_SHUFFLED + """z as (select 1) select item, len(opts)::int as num_options, possible::int as possible_orders, 3 as asked from possible where possible < 3""")
 def option_shuffle_short(spark, d):
     """Current items whose options have fewer other orders than option_shuffle asks for."""
     short = _shuffle_items(spark, d).where(F.col("possible") < SHUFFLES)
@@ -830,22 +843,11 @@ def dataset_statistics(spark, d):
     return construction.dataset_statistics(table(spark, d, "images"), table(spark, d, "annotations"), table(spark, d, "prosthesis_instances"))
 
 
-@query(_POOL + """j as (select item, option_id, option_coarse, coarse, md5(item::varchar || ':' || option_id::varchar) as h from tg join pool on option_source <> source), r as (select *, row_number() over (partition by item, option_coarse order by h, option_id) as rn from j),
-l as (select *, chr((row_number() over (partition by item order by h, option_id) + 64)::int) as letter from r where rn = 1)
-select item, list_sort(list(letter) filter (option_coarse = coarse)) as correct, case count(*) filter (option_coarse = coarse) when 0 then 'none' when 1 then 'single' else 'multiple' end as mode, cast(count(*) as int) as num_options from l group by item having count(*) >= 2""")
+@query(_PART_DRAWS + """select item, list_sort(list(letter) filter (option_coarse = coarse)) as correct, case count(*) filter (option_coarse = coarse) when 0 then 'none' when 1 then 'single' else 'multiple' end as mode, cast(count(*) as int) as num_options
+  from l group by item having count(*) >= 2""")
 def built_items(spark, d):
     """Items with one option per part, and their answers."""
-    return _built(spark, d, sampling.one_option_per_part(_targets(spark, d), _pool(spark, d), "item", "source"))
-
-
-@query(None)
-def built_items_whole(spark, d):
-    """As built_items, from the options of category_items_whole."""
-    return _built(spark, d, category_items_whole(spark, d))
-
-
-def _built(spark, d, options):
-    items = construction.items_from_options(options, _targets(spark, d).select("item", "coarse"), "item")
+    items = construction.items_from_options(category_items(spark, d), _targets(spark, d).select("item", "coarse"), "item")
     return items.select("item", F.col("answer.correct_option_ids").alias("correct"), F.col("answer.mode").alias("mode"), F.size("options").alias("num_options"))
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that count as white space around identifiers (Unicode White_Space).
 WHITESPACE = "".join(
@@ -20,17 +25,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder all executors share.
+    """A new folder name below the folder all executors share; it goes when the driver's JVM ends.
 
-    The place comes from ``spark.checkpoint.dir``; only where that is unset (tests,
-    local runs) a temporary folder takes its place.
+    The place is ``spark.checkpoint.dir``. Only a local session may leave that unset, as in
+    tests: its one machine's temporary folder takes the place then. Settings are only read.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="gaugeloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/gaugeloom-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = Path(tempfile.gettempdir()).as_uri()
+    at = f"{root.rstrip('/')}/gaugeloom-{uuid.uuid4().hex}"
+    fs, path = _file_system(spark, at)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{at}/data"
+
+
+def _file_system(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Removes a folder of intermediate data."""
+    fs, path = _file_system(spark, at)
+    fs.delete(path, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read from there: cuts its lineage, and later steps read instead of computing again."""
+    at = shared_dir(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def bounded(df: DataFrame, limit: int) -> list:
+    """All rows, on the driver; more than ``limit`` are an error, none is left out."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows")
+    return rows
+
+
+def per_worker(key, make):
+    """make(), once per Python worker and key; a worker runs many tasks, while what travels with a function lives for one."""
+    held = sys.modules.setdefault("_gaugeloom_held", types.ModuleType("_gaugeloom_held")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -70,15 +113,18 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(2 * cores, *keys)
 
 
+TRACKED = 10_000  # values a sketch of frequent ones holds
+
+
 def heavy_keys(df: DataFrame, key: str, parts: int) -> list:
-    """Values of key that hold more than one part in ``parts`` of the rows; never more than ``parts`` values.
+    """Values of key that may hold more than one part in ``parts`` of the rows; never more than ``parts`` values.
 
-    The count is combined before its shuffle; only those few values reach the driver.
+    One pass with a sketch of frequent values, combined map-side; none that holds such a share
+    is missed as long as parts is under ``TRACKED``, and one named too many does no harm.
     """
-    counts = df.groupBy(key).count().where(F.col(key).isNotNull())
-    top = counts.orderBy(F.col("count").desc(), F.col(key)).limit(parts).collect()
-    total = df.count() if top else 0
-    return [r[key] for r in top if r["count"] * parts > total]
+    k = min(parts, TRACKED)
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(`{key}`, {k}, {TRACKED})").alias("top")).first()
+    return [x["item"] for x in r["top"] or [] if x["item"] is not None and x["count"] * parts > r["n"]]
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str], how: str = "inner", salts: int = 0, partitions: int | None = None) -> DataFrame:
@@ -103,3 +149,16 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str],
         salted = salted.repartition(partitions, key, "_salt")
     repeated = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", nulls_match: bool = False) -> DataFrame:
+    """left with the columns of right of the same keys; right is unique per key. Heavy keys of left stay spread.
+
+    nulls_match: null key parts are equal to each other, else they match nothing.
+    """
+    text = lambda: F.to_json(F.struct(*[F.col(k) for k in keys]))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    key = text() if nulls_match else F.when(whole, text())
+    salt_by = [f.name for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+    joined = salted_join(left.withColumn("_match", key), right.withColumn("_match", key).drop(*keys), "_match", salt_by, how)
+    return joined.drop("_match")

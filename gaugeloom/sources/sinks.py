@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from gaugeloom.runtime import bounded
+
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
@@ -27,10 +29,10 @@ def document(payload: dict | list, path: str) -> None:
 
 
 def metrics_bundle(path: str, summary: DataFrame, items: DataFrame, groups: DataFrame, limit: int = 10_000) -> None:
-    """summary as a JSON document naming two sidecars: items without counts, and groups, as JSON lines."""
+    """summary (at most ``limit`` rows, else an error) as a JSON document naming two sidecars: items without counts, and groups, as JSON lines."""
     json_lines(items.drop("tp", "fp", "fn"), f"{path}.items")
     json_lines(groups, f"{path}.groups")
-    rows = [r.asDict(recursive=True) for r in summary.limit(limit).collect()]
+    rows = [r.asDict(recursive=True) for r in bounded(summary, limit)]
     document({"metrics": rows, "artifacts": {"per_item_jsonl": f"{Path(path).name}.items", "per_group_json": f"{Path(path).name}.groups"}}, f"{path}.metrics.json")
 
 

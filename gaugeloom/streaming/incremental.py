@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gaugeloom.runtime import shared_dir
+from gaugeloom.runtime import salted_lookup, shared_dir
 
 
 def stream_records(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int = 16) -> DataFrame:
@@ -41,10 +41,10 @@ def resume(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 def cached_or_open(queries: DataFrame, results: DataFrame, keys: list[str], only_success: bool = True) -> DataFrame:
-    """queries with status cached or open, by whether a result (a successful one) exists."""
+    """queries with status cached or open, by whether a result (a successful one) exists. Null keys have none; heavy keys are salted."""
     usable = results.where("success") if only_success else results
     known = usable.select(*keys).distinct().withColumn("_hit", F.lit(True))
-    return queries.join(known, keys, "left").withColumn("status", F.when(F.col("_hit"), "cached").otherwise("open")).drop("_hit")
+    return salted_lookup(queries, known, keys).withColumn("status", F.when(F.col("_hit"), "cached").otherwise("open")).drop("_hit")
 
 
 def smoothed_rate(df: DataFrame, by: str, time: str, order: str, alpha: float = 0.3) -> DataFrame:

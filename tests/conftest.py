@@ -1,4 +1,5 @@
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -16,6 +17,7 @@ def make_session():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", Path(tempfile.gettempdir(), "gaugeloom-tests").as_uri())
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

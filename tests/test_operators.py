@@ -104,8 +104,27 @@ def test_correlations_against_brute_force(spark):
         ties = lambda v: sum(c * (c - 1) // 2 for c in Counter(v).values())
         den = math.sqrt((n * (n - 1) // 2 - ties(x)) * (n * (n - 1) // 2 - ties(y)))
         assert abs(statistics.kendall_tau_b(df, "x", "y").first()[0] - (s / den if den else 0.0)) < 1e-9
-    with pytest.raises(ValueError):
-        statistics.kendall_tau_b(spark.range(10).selectExpr("id x", "id y"), "x", "y", limit=5)
+
+
+def test_tau_and_ranks_over_many_ranges(spark):
+    """Ties, a value held by a third of the rows, and many distinct values: as by looking at every pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    for n, kind in ((400, "distinct"), (900, "ties"), (600, "hot"), (5, "same")):
+        x = {"distinct": rng.permutation(n), "ties": rng.integers(0, 40, n), "hot": np.where(np.arange(n) % 3 == 0, 7, rng.integers(0, 500, n)), "same": np.zeros(n)}[kind].astype(float)
+        y = np.round(x * 0.5 + rng.normal(0, n / 4, n)) if kind != "same" else np.arange(n).astype(float)
+        df = frame(spark, [(int(i), float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "i int, x double, y double")
+        i, j = np.triu_indices(n, 1)
+        sx, sy = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+        den = math.sqrt((sx != 0).sum() * (sy != 0).sum())
+        want = (sx * sy).sum() / den if den else 0.0
+        for ranges in (4, 64):
+            assert abs(statistics.kendall_tau_b(df, "x", "y", ranges).first()[0] - want) < 1e-9, (kind, ranges)
+        got = {r.i: r["rank"] for r in statistics.average_rank(df, "x").collect()}
+        assert [got[k] for k in range(n)] == rank(list(x))
+    nulls = frame(spark, [(1, None), (2, 5.0), (3, None), (4, 1.0)], "i int, x double")
+    assert {r.i: r["rank"] for r in statistics.average_rank(nulls, "x").collect()} == {1: 1.5, 3: 1.5, 4: 3.0, 2: 4.0}
 
 
 def test_coupling(spark):
@@ -120,18 +139,24 @@ def test_coupling(spark):
     assert pairs == {("t1", "t2"): (2, 1), ("t1", "t3"): (1, 0), ("t2", "t3"): (1, 0)}
 
 
+def drawn(rep, slot, n):
+    """The place that a slot draws in a replicate."""
+    import hashlib
+
+    return int(hashlib.md5(f"{rep // 4}:{slot}".encode()).hexdigest()[8 * (rep % 4) :][:8], 16) % n
+
+
 def test_bootstrap(spark):
     rng = random.Random(2)
     values = [rng.randrange(3) for _ in range(200)]
     df = frame(spark, [(i, v) for i, v in enumerate(values)], "i int, v int")
     reps = statistics.bootstrap_sums(df.select("v"), ["v"], replicates=40).collect()
-    import hashlib
-
+    assert len(reps) == 40
     ordered = sorted(values)
     for r in reps:
-        draw = [ordered[int(hashlib.md5(f"{r.rep}:{s}".encode()).hexdigest()[:8], 16) % 200] for s in range(200)]
+        draw = [ordered[drawn(r.rep, s, 200)] for s in range(200)]
         assert (r.n, r.v) == (200, sum(draw))
-    weights = statistics.poisson_bootstrap_sums(df, ["v"], ["i"], replicates=200).agg(F.avg("n").alias("n"), F.avg(F.col("v") / F.col("n")).alias("m"), F.stddev("n").alias("s")).first()
+    weights = statistics.poisson_bootstrap_sums(df, ["v"], "i", replicates=200).agg(F.avg("n").alias("n"), F.avg(F.col("v") / F.col("n")).alias("m"), F.stddev("n").alias("s")).first()
     assert abs(weights.n - 200) < 5 and abs(weights.m - sum(values) / 200) < 0.02 and 11 < weights.s < 18
     ci = statistics.interval(frame(spark, [(float(i),) for i in range(101)], "m double"), "m").first()
     assert abs(ci.ci_lower - 2.5) < 1e-9 and abs(ci.ci_upper - 97.5) < 1e-9
@@ -253,8 +278,8 @@ def test_whole_pool_is_drawn_from(spark):
     from gaugeloom.plans import evaluation
 
     d = "/root/testdata/sf0.01"
-    drawn = {r.option_id for r in evaluation.option_sampling_whole(spark, d).select("option_id").distinct().collect()}
-    assert max(drawn) >= 200 and len(drawn) > 1500 and {r.option_id for r in evaluation.category_items_whole(spark, d).collect()} - set(range(200))
+    drawn = {r.option_id for r in evaluation.option_sampling(spark, d).select("option_id").distinct().collect()}
+    assert max(drawn) >= 200 and len(drawn) > 1500 and {r.option_id for r in evaluation.category_items(spark, d).collect()} - set(range(200))
 
 
 def test_no_limit_of_the_pool(spark):
@@ -277,8 +302,6 @@ def test_items_of_three_options_are_shuffled(spark, tmp_path):
 
 
 def test_bootstraps_have_a_thousand_replicates(spark, tmp_path):
-    import hashlib
-
     import numpy as np
 
     from gaugeloom.plans import evaluation
@@ -288,9 +311,8 @@ def test_bootstraps_have_a_thousand_replicates(spark, tmp_path):
     frame(spark, rows, "event_id bigint, user_id bigint, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id")).write.parquet(f"{tmp_path}/events.parquet")
     hits = sorted(int({"click": 0, "view": 1, "purchase": 2, "signup": 3}[r[2]] == r[1] % 4) for r in rows)
     assert 0 < sum(hits) < 30
-    draw = lambda rep, s: int(hashlib.md5(f"{rep}:{s}".encode()).hexdigest()[:8], 16) % 30
-    means = [sum(hits[draw(rep, s)] for s in range(30)) / 30 for rep in range(1000)]
-    r = evaluation.bootstrap_mean_whole(spark, str(tmp_path)).first()
+    means = [sum(hits[drawn(rep, s, 30)] for s in range(30)) / 30 for rep in range(1000)]
+    r = evaluation.bootstrap_mean(spark, str(tmp_path)).first()
     want = (sum(hits) / 30, np.std(means, ddof=1), *np.percentile(means, [2.5, 97.5]))
     assert np.allclose((r["mean"], r["std"], r.ci_lower, r.ci_upper), want, atol=2e-9)
 
@@ -299,12 +321,12 @@ def test_registered_replicates(spark, monkeypatch):
     from gaugeloom.plans import evaluation
 
     asked = []
-    for name in ("bootstrap_sums", "poisson_bootstrap_sums"):
+    for name in ("bootstrap_sums", "poisson_bootstrap_sums", "multinomial_bootstrap_sums"):
         real = getattr(statistics, name)
         monkeypatch.setattr(statistics, name, lambda *a, real=real, **k: asked.append(k["replicates"]) or real(*a, **k))
-    for name in ("bootstrap_mean_whole", "bootstrap_micro_f1_whole", "bootstrap_poisson"):
+    for name in ("bootstrap_mean", "bootstrap_micro_f1", "bootstrap_poisson", "bootstrap_micro_f1_multinomial"):
         evaluation.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert asked == [1000] * 3
+    assert asked == [1000] * 4
 
 
 def test_welch_refuses_more_models_than_the_limit(spark):
@@ -314,19 +336,91 @@ def test_welch_refuses_more_models_than_the_limit(spark):
         statistics.welch_tests(df, "m", "v", limit=3)
 
 
-def test_bootstrap_of_paired_deltas(spark):
-    import hashlib
+def test_multinomial_bootstrap(spark):
+    """Every replicate draws as many rows as there are; means, deviations and covariances are those of resampling; the same in any partitioning."""
+    import numpy as np
 
+    rng = random.Random(5)
+    rows = [("a", rng.choice([-0.5, 0.0, 0.25, 1.0]), i % 3) for i in range(300)] + [("b", rng.gauss(0, 1), 1) for _ in range(70)] + [(None, None, 2)]
+    df = frame(spark, rows, "g string, v double, k int")
+    got = statistics.multinomial_bootstrap_sums(df, ["v", "k"], ["g"], replicates=2000).collect()
+    assert len(got) == 6000 and len({(r.g, r.rep) for r in got}) == 6000
+    for g, n in (("a", 300), ("b", 70), (None, 1)):
+        mine = [r for r in got if r.g == g]
+        assert all(r.n == n for r in mine)
+        x = np.array([[v or 0.0, k] for h, v, k in rows if h == g])
+        sums = np.array([[r.v, r.k] for r in mine])
+        assert np.allclose(sums.mean(0), x.sum(0), atol=4 * np.sqrt(n * x.var(0).max() / 2000) + 1e-9)
+        assert np.allclose(np.cov(sums.T, bias=True), n * np.cov(x.T, bias=True), atol=0.15 * n * max(x.var(0).max(), 1e-12))
+    again = statistics.multinomial_bootstrap_sums(df.repartition(5), ["v", "k"], ["g"], replicates=2000).collect()
+    key = lambda r: (str(r.g), r.rep)
+    assert all(abs(a.v - b.v) < 1e-9 and a.n == b.n for a, b in zip(sorted(got, key=key), sorted(again, key=key)))
+    assert statistics.multinomial_bootstrap_sums(df.limit(0), ["v"], replicates=3).count() == 0
+
+
+def test_bootstrap_of_paired_deltas(spark):
     import numpy as np
 
     from gaugeloom.plans import evaluation
 
     rng = random.Random(5)
-    deltas = {m: sorted(rng.choice([-0.5, 0.0, 0.25, 1.0]) for _ in range(n)) for m, n in (("a", 20), ("b", 7))}
+    deltas = {m: [rng.choice([-0.5, 0.0, 0.25, 1.0]) for _ in range(n)] for m, n in (("a", 200), ("b", 70))}
     df = frame(spark, [(m, v) for m, vs in deltas.items() for v in vs], "model string, delta double")
     got = {r.model: r for r in evaluation.paired_interval(df).collect()}
     for m, vs in deltas.items():
-        means = [sum(vs[int(hashlib.md5(f"{rep}:{s}".encode()).hexdigest()[:8], 16) % len(vs)] for s in range(len(vs))) / len(vs) for rep in range(1000)]
-        want = (len(vs), np.mean(vs), np.std(means, ddof=1), *np.percentile(means, [2.5, 97.5]))
-        assert np.allclose(tuple(got[m])[1:], want, atol=2e-9)
+        means = np.random.default_rng(1).choice(vs, (4000, len(vs))).mean(1)
+        assert got[m].n == len(vs) and abs(got[m]["mean"] - np.mean(vs)) < 1e-8
+        assert np.allclose((got[m]["std"], got[m].ci_lower, got[m].ci_upper), (means.std(ddof=1), *np.percentile(means, [2.5, 97.5])), atol=0.25 * means.std())
     assert "bootstrap_paired" in evaluation.QUERIES
+
+
+def test_as_many_orders_as_asked_for(spark):
+    """All 23 other orders of four options, 100 of six, and some of 18 and 25: distinct, none the given one."""
+    for n, copies in ((4, 23), (6, 100), (18, 5), (25, 5)):
+        df = frame(spark, [(f"i{k}", [f"o{j}" for j in range(n)]) for k in range(5)], "item string, opts array<string>")
+        rows = sampling.permuted_copies(df, "item", "opts", copies, limit=8).collect()
+        assert len(rows) == 5 * copies and len({(r.item, tuple(r.options)) for r in rows}) == 5 * copies
+        given = [f"o{j}" for j in range(n)]
+        assert all(sorted(r.options) == sorted(given) and r.options != given for r in rows)
+    with pytest.raises(Exception, match="too few options"):
+        sampling.permuted_copies(frame(spark, [("i", ["a", "b"])], "item string, opts array<string>"), "item", "opts", 2).collect()
+
+
+def test_nothing_is_cut_from_reports_and_vocabularies(spark, tmp_path):
+    from gaugeloom import charts
+    from gaugeloom.sources import sinks
+
+    df = spark.range(12).selectExpr("cast(id as string) as name", "cast(id as double) as v", "array(cast(id as string)) as labels")
+    assert len(sampling.ranked_labels(df, "labels", limit=12)) == 12 and sampling.top_labels(df, "labels", 2) == ["0", "1"]
+    assert reports.markdown(df.select("name", "v"), limit=12).count("\n") == 14 and len(charts.bar_rows(df, "name", "v", limit=12)) == 12
+    for call in (
+        lambda: sampling.ranked_labels(df, "labels", limit=11), lambda: reports.markdown(df.select("name"), limit=11), lambda: charts.bar_rows(df, "name", "v", limit=11),
+        lambda: charts.heat_rows(df, "name", "name", "v", ["1"], limit=11), lambda: sinks.metrics_bundle(str(tmp_path / "m"), df, df, df, limit=11),
+    ):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_a_hot_key_is_spread(spark):
+    """A third of the rows under one key: the joined rows lie in many partitions, and the results are those of a plain join."""
+    from gaugeloom.runtime import heavy_keys, salted_lookup
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = spark.range(30_000).selectExpr("id", "case when id % 3 = 0 then 'hot' when id % 1000 = 1 then null else concat('k', id % 5000) end as key", "id % 7 as exact")
+        right = left.select("key").distinct().withColumn("v", F.length("key"))
+        assert heavy_keys(left, "key", 8) == ["hot"]
+        for nulls in (False, True):
+            joined = salted_lookup(left, right, ["key"], "left", nulls_match=nulls)
+            plain = left.join(right.withColumnRenamed("key", "k"), F.col("key").eqNullSafe(F.col("k")) if nulls else F.col("key") == F.col("k"), "left").drop("k")
+            assert sorted(map(str, joined.select("id", "key", "v").collect())) == sorted(map(str, plain.select("id", "key", "v").collect()))
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+        scored = left.selectExpr("id", "key as grp", "cast(exact = 0 as double) as exact", "0.0 as iou", "0.0 as partial", "cast(exact as string) as signature")
+        rows = scoring.with_group(scored, ["grp"])
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert rows.count() == 30_000 and max(sizes) < 3 * sorted(sizes)[len(sizes) // 2]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
