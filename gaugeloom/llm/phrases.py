@@ -116,14 +116,14 @@ def likeness(typed: str, meant: str, least: float = TOKEN_SIM, bags: tuple | Non
     if typed == meant:
         return 1.0
     size = max(len(typed), len(meant))
-    most = (1 - least) * size
+    most = (1 - least) * size + 1e-9
     if bags and least_cost(*bags) - 0.3 > most + 1e-9:
         return 0.0
     cost = edit_cost(typed, meant, most)
     if len(typed) > 3 and typed[-1] == "s" and meant[-1:] != "s":
         cost = min(cost, 0.2 + edit_cost(typed[:-1], meant, most))
     s = 1 - cost / size
-    return s if s >= least else 0.0
+    return s if s >= least - 1e-9 else 0.0
 
 
 LETTERS = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -213,7 +213,7 @@ class Lexicon:
         out = []
         for k in near.tolist():
             s = likeness(typed, self.words[k], self.least)
-            if s >= self.least and s > better - 1e-9:
+            if s >= self.least - 1e-9 and s > better - 1e-9:
                 out.append((k, s))
         return out
 
