@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeloom.functions.treedit import edit_script
-from gaugeloom.runtime import shared_dir, shuffle_partitions, spread
+from gaugeloom.runtime import shuffle_partitions, spread, written
 
 #: Fields that name a record: of items, and of predictions.
 RECORD_KEYS = {"items": ["item_id"], "predictions": ["item_id", "model_id", "timestamp"]}
 
-LEAF_ARROW = pa.struct([("path", pa.string()), ("type", pa.string()), ("p", pa.int64()), ("v", pa.int64())])
-LEAF = "struct<path:string,type:string,p:bigint,v:bigint>"
+LEAF_ARROW = [("path", pa.string()), ("type", pa.string()), ("p", pa.int64()), ("v", pa.int64())]
+LEAF = "path:string,type:string,p:bigint,v:bigint"
 
 
 def value_type(v) -> str | None:
@@ -75,27 +75,43 @@ def _canon(v) -> str:
     return json.dumps(v, sort_keys=True, ensure_ascii=True)
 
 
-def records_with_leaves(raw: DataFrame) -> DataFrame:
-    """(stream_id, file_id, file_no, rec, leaves) of each line; rec is null for lines that cannot be read."""
-    schema = f"stream_id bigint, file_id bigint, file_no int, rec string, leaves array<{LEAF}>"
-    names = ["stream_id", "file_id", "file_no"]
+LINE = ["stream_id", "file_id", "file_no", "line_no", "received_at"]
+
+
+def records_with_leaves(raw: DataFrame, with_values: bool = False) -> DataFrame:
+    """(stream_id, file_id, file_no, rec, readable, leaves) of each line, with line_no and received_at where values are asked for.
+
+    rec names the record; it is null for lines that cannot be read and records without their key
+    fields. leaves have hashes of path and value; with_values, the value's JSON text as well.
+    """
+    columns = LINE if with_values else LINE[:3]
+    schema = f"stream_id bigint, file_id bigint, file_no int, {'line_no bigint, received_at timestamp, ' if with_values else ''}rec string, readable boolean, leaves array<struct<{LEAF}{',json:string' if with_values else ''}>>"
+    leaf = pa.list_(pa.struct([*LEAF_ARROW, *([("json", pa.string())] if with_values else [])]))
 
     def emit(batches):
         for b in batches:
-            recs, all_leaves = [], []
+            recs, readable, all_leaves = [], [], []
             for payload, kind in zip(b.column("payload").to_pylist(), b.column("record_kind").to_pylist()):
                 record = read_record(payload)
+                readable.append(record is not None)
                 if record is None:
                     recs.append(None)
                     all_leaves.append([])
                     continue
                 key = [record.get(k) for k in RECORD_KEYS.get(kind, ["item_id"])]
                 recs.append(None if any(k is None for k in key) else _canon(key))
-                all_leaves.append([{"path": p, "type": t, "p": _hash(p), "v": _hash(f"{t}:{_canon(v)}")} for p, (t, v) in record_leaves(record).items()])
-            cols = [b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(recs, pa.string()), pa.array(all_leaves, pa.list_(LEAF_ARROW))], names=[*names, "rec", "leaves"])
-
-    source = raw.select(F.col("stream_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("file_no").cast("int"), "record_kind", "payload")
+                rows = []
+                for p, (t, v) in record_leaves(record).items():
+                    text = _canon(v)
+                    row = {"path": p, "type": t, "p": _hash(p), "v": _hash(f"{t}:{text}")}
+                    if with_values:
+                        row["json"] = text
+                    rows.append(row)
+                all_leaves.append(rows)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in columns), pa.array(recs, pa.string()), pa.array(readable, pa.bool_()), pa.array(all_leaves, leaf)], names=[*columns, "rec", "readable", "leaves"])
+
+    kinds = dict(zip(LINE, ("bigint", "bigint", "int", "bigint", "timestamp")))
+    source = raw.select(*[F.col(c).cast(kinds[c]) for c in columns], "record_kind", "payload")
     return spread(source, "file_id", "payload").mapInArrow(emit, schema)
 
 
@@ -121,9 +137,11 @@ def file_changes(raw: DataFrame) -> DataFrame:
     are read whole. Columns besides the named ones are ignored.
     """
     # Lines are parsed once, into the shared folder, and read for fields and for evidence.
-    at = shared_dir(raw.sparkSession)
-    records_with_leaves(raw).write.parquet(at)
-    lines = raw.sparkSession.read.parquet(at)
+    return _changes(written(records_with_leaves(raw)))
+
+
+def _changes(lines: DataFrame) -> DataFrame:
+    spark = lines.sparkSession
     files = lines.groupBy("stream_id", "file_no", "file_id").agg(F.count(F.lit(1)).alias("n")).drop("n")
     fields = (
         lines.select("stream_id", "file_no", "file_id", F.explode("leaves").alias("x"))
@@ -174,19 +192,19 @@ def file_changes(raw: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_id", "change", "old_field", "new_field"])
 
     ready = pairs.join(evidence, ["stream_id", "file_no"], "left").select("file_id", "old", "new", "evidence")
-    return ready.repartition(shuffle_partitions(raw.sparkSession), "file_id").mapInPandas(
+    return ready.repartition(shuffle_partitions(spark), "file_id").mapInPandas(
         scripts, "file_id bigint, change string, old_field string, new_field string"
     )
 
 
-def canonical_names(raw: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+def canonical_names(files: DataFrame, changes: DataFrame) -> DataFrame:
     """(stream_id, file_no, names): map from each renamed field's name in that file to its first name in the stream.
 
-    The scripts of a stream are composed in file order; a stream's scripts are metadata (a few
-    rows per file, none of the records).
+    files: (stream_id, file_id, file_no), in any number of rows. The scripts of a stream are
+    composed in file order; a stream's scripts are metadata (a few rows per file, none of the
+    records).
     """
-    changes = file_changes(raw) if changes is None else changes
-    files = raw.select(F.col("stream_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("file_no").cast("int")).distinct()
+    files = files.select("stream_id", "file_id", "file_no").distinct()
     steps = files.join(changes.where("change in ('renamed', 'removed')"), "file_id", "left")
 
     def compose(pdf):
@@ -218,7 +236,7 @@ def _column_type(kinds: set[str]) -> str:
 def consistent_table(raw: DataFrame, kind: str, max_columns: int = 500) -> DataFrame:
     """All records of one kind as one table: a column per field, under its first name in its stream.
 
-    The edit scripts, composed per stream, become a projection per file: each leaf is put under
+    Lines are parsed once, for the changes and for the values. The edit scripts, composed per stream, become a projection per file: each leaf is put under
     its canonical name, and each column gets the narrowest type that holds all its values
     (whole numbers and decimals: double; otherwise differing types: the JSON text). Fields
     beyond max_columns (most frequent first) stay, as JSON text, in the map column ``extra``.
@@ -226,28 +244,13 @@ def consistent_table(raw: DataFrame, kind: str, max_columns: int = 500) -> DataF
     become underscores), extra. Leaves of arrays of objects are arrays, in order of the objects.
     Lines exported or delivered again stay separate rows. Unreadable lines are left out.
     """
-    raw = raw.where(F.col("record_kind") == kind)
-    names = canonical_names(raw)
-    schema = "stream_id bigint, file_id bigint, file_no int, line_no int, received_at timestamp, leaves map<string,struct<type:string,json:string>>"
-    keep = ["stream_id", "file_id", "file_no", "line_no", "received_at"]
-
-    def emit(frames):
-        for pdf in frames:
-            got = [read_record(p) for p in pdf.payload]
-            pdf = pdf.assign(leaves=[r and {p: {"type": t, "json": _canon(v)} for p, (t, v) in record_leaves(r).items()} for r in got])
-            yield pdf.loc[[r is not None for r in got], [*keep, "leaves"]]
-
-    lines = raw.select(F.col("stream_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("file_no").cast("int"), "line_no", "received_at", "payload")
-    parsed = spread(lines, "file_id", "line_no").mapInPandas(emit, schema)
-    named = parsed.join(names, ["stream_id", "file_no"], "left").select(
-        *keep,
-        F.map_from_entries(
-            F.array_distinct(F.transform(F.map_entries("leaves"), lambda e: F.struct(F.coalesce(F.try_element_at("names", e["key"]), e["key"]).alias("key"), e["value"].alias("value"))))
-        ).alias("leaves"),
-    )
-    at = shared_dir(raw.sparkSession)
-    named.write.parquet(at)
-    named = raw.sparkSession.read.parquet(at)
+    lines = written(records_with_leaves(raw.where(F.col("record_kind") == kind), with_values=True))
+    names = canonical_names(lines, _changes(lines))
+    keep = LINE
+    entries = F.transform("leaves", lambda x: F.struct(F.coalesce(F.try_element_at("names", x["path"]), x["path"]).alias("key"), F.struct(x["type"].alias("type"), x["json"].alias("json")).alias("value")))
+    # Should two fields of a record come under one name, the first stays.
+    first = F.aggregate(entries, F.array().cast("array<struct<key:string,value:struct<type:string,json:string>>>"), lambda out, e: F.when(F.exists(out, lambda o: o["key"] == e["key"]), out).otherwise(F.concat(out, F.array(e))))
+    named = written(lines.where("readable").join(names, ["stream_id", "file_no"], "left").select(*keep, F.map_from_entries(first).alias("leaves")))
     stats = named.select(F.explode("leaves")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.collect_set("value.type").alias("types")).orderBy(F.desc("n"), "key").limit(max_columns).collect()
     taken, cols = set(k.lower() for k in keep) | {"extra"}, []
     for r in sorted(stats, key=lambda r: r["key"]):

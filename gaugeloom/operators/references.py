@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.runtime import clean_id, salted_join
+from gaugeloom.runtime import clean_id, heavy_keys, salted_join, shuffle_partitions
 
 WORDS = 512  # words of 64 bits in a block: 4 KB
 BITS_PER_KEY = 12
@@ -75,7 +75,9 @@ def orphan_references(references: DataFrame, items: DataFrame) -> DataFrame:
     tested = with_bloom_hit(refs, "_key", bloom_filter(parents.select("_key"), "_key"))
     sure = tested.where(~F.col("_hit")).select("delivery_id", "delivered_at")
     maybe = tested.where("_hit").drop("_hit")
-    checked = salted_join(maybe, parents.withColumn("_there", F.lit(True)), "_key", ["delivery_id"], "left")
+    spark = references.sparkSession
+    heavy = heavy_keys(refs.select("_key"), "_key", max(8, shuffle_partitions(spark)))  # of all references: one column, without the probe
+    checked = salted_join(maybe, parents.withColumn("_there", F.lit(True)), "_key", ["delivery_id"], "left", heavy=heavy)
     present = (
         F.col("_there").isNotNull()
         & (F.col("loaded_at").isNull() | (F.col("delivered_at") >= F.col("loaded_at")))

@@ -45,6 +45,21 @@ def p5_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.child_table(table(spark, sf_dir, "benchmark_items"), "item_row", "meta.target_instances")
 
 
+def p5_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the answer's lists, with their values."""
+    return flatten.answer_values(table(spark, sf_dir, "benchmark_items"))
+
+
+def p5_target_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the boxes of an item's targets: a list within a list; target_instances_pos is pos of p5_targets."""
+    return flatten.child_table(table(spark, sf_dir, "benchmark_items"), "item_row", "meta.target_instances.bbox_xyxy")
+
+
+def p5_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the box that an item's person image is focused on."""
+    return flatten.child_table(table(spark, sf_dir, "benchmark_items"), "item_row", "person_image.focus.bbox_xyxy")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_references(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "benchmark_items"))
 
@@ -53,7 +68,7 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "benchmark_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_first, p2_found, p2_items, p2_predictions, p5_found, p5_items, p5_options, p5_targets, p7_found, p7_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_first, p2_found, p2_items, p2_predictions, p5_found, p5_items, p5_options, p5_targets, p5_answers, p5_target_boxes, p5_focus, p7_found, p7_report)}
 
 
 def _id(c: str) -> str:
@@ -94,6 +109,16 @@ ORACLE = {
     "p5_targets": """select item_row, cast(i - 1 as integer) as pos, a[i].instance_id as instance_id, a[i].annotation_id as annotation_id,
       a[i].coarse_part as coarse_part, a[i].part8 as part8, a[i].source_type as source_type
       from (select item_row, meta.target_instances as a, unnest(generate_series(1, len(meta.target_instances))) as i from benchmark_items) where a[i] is not null""",
+    "p5_answers": " union all ".join(
+        f"""select item_row, '{path}' as child, cast(i - 1 as integer) as pos, a[i] as value
+        from (select item_row, {path} as a, unnest(generate_series(1, len({path}))) as i from benchmark_items) where a[i] is not null"""
+        for path in flatten.ANSWER_LISTS
+    ),
+    "p5_target_boxes": """with t as (select item_row, cast(i - 1 as integer) as target_instances_pos, a[i].bbox_xyxy as box
+      from (select item_row, meta.target_instances as a, unnest(generate_series(1, len(meta.target_instances))) as i from benchmark_items) where a[i] is not null)
+      select item_row, target_instances_pos, cast(j - 1 as integer) as pos, box[j] as value from (select *, unnest(generate_series(1, len(box))) as j from t) where box[j] is not null""",
+    "p5_focus": """select item_row, cast(i - 1 as integer) as pos, a[i] as value
+      from (select item_row, person_image.focus.bbox_xyxy as a, unnest(generate_series(1, len(person_image.focus.bbox_xyxy))) as i from benchmark_items) where a[i] is not null""",
     "p7_found": _ORPHANS,
     "p7_report": f"select 'predictions' as table_name, period, count(*) as n_orphans from ({_ORPHANS}) group by period",
 }

@@ -127,7 +127,7 @@ def heavy_keys(df: DataFrame, key: str, parts: int) -> list:
     return [x["item"] for x in r["top"] or [] if x["item"] is not None and x["count"] * parts > r["n"]]
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str], how: str = "inner", salts: int = 0, partitions: int | None = None) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str], how: str = "inner", salts: int = 0, partitions: int | None = None, heavy: list | None = None) -> DataFrame:
     """Equi-join on ``key`` whose heavy keys are split over several tasks.
 
     left: the side that may hold a third of its rows under one key. Rows of a heavy key
@@ -136,10 +136,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, salt_by: list[str],
     how: inner, left, left_semi or left_anti. The key column comes out once, from the left.
     partitions: keep so many tasks after the join, where what follows is costly per row; else
     small partitions are coalesced.
+    heavy: the heavy keys, where they are known; else they are looked for in left.
     """
     spark = left.sparkSession
     parts = max(8, shuffle_partitions(spark))
-    heavy = heavy_keys(left.select(key), key, parts)
+    heavy = heavy_keys(left.select(key), key, parts) if heavy is None else heavy
     if not heavy:
         return (left.repartition(partitions, key) if partitions else left).join(right, key, how)
     n = salts or min(64, parts)

@@ -99,3 +99,24 @@ def test_skewed_references_agree_with_brute_force(spark):
     want = sorted(i for i, k, t, _, _ in pred if k not in span or t < span[k][0] or (span[k][1] and t >= span[k][1]))
     got = references.orphan_references(spark.createDataFrame(pred, PRED), spark.createDataFrame(bench, BENCH))
     assert sorted(r.delivery_id for r in got.collect()) == want
+
+
+def test_lists_within_lists_keep_their_links(spark):
+    """Every list at any depth is a table; its outer places are the key and place of its parent row."""
+    schema = "k int, a struct<rows:array<struct<n:string,pos:int,cells:array<array<int>>,tags:array<string>>>>, plain string"
+    data = [
+        (1, ([("x", 7, [[1, 2], None, [], [3, None]], ["t", None]), None, ("y", None, None, [])],), "p"), (2, (None,), "q"), (3, None, None), (4, ([],), ""), (1, ([("x", 7, [[1, 2]], ["t"])],), "again"),
+    ]
+    df = spark.createDataFrame(data, schema)
+    tables = flatten.related_tables(df, "k")
+    assert list(tables) == ["", "a.rows", "a.rows.cells", "a.rows.tags"]
+    got = lambda p: sorted(map(tuple, tables[p].collect()), key=str)
+    rows = [(k, i, r[0], r[1]) for k, a, _ in data if a and a[0] for i, r in enumerate(a[0]) if r]
+    assert got("a.rows") == sorted(rows, key=str) and tables["a.rows"].columns == ["k", "pos", "n", "pos_"]
+    cells = [(k, i, j, m, v) for k, a, _ in data if a and a[0] for i, r in enumerate(a[0]) if r and r[2] for j, c in enumerate(r[2]) if c for m, v in enumerate(c) if v is not None]
+    assert got("a.rows.cells") == sorted(cells, key=str) and tables["a.rows.cells"].columns == ["k", "rows_pos", "cells_pos", "pos", "value"]
+    tags = [(k, i, j, v) for k, a, _ in data if a and a[0] for i, r in enumerate(a[0]) if r and r[3] for j, v in enumerate(r[3]) if v is not None]
+    assert got("a.rows.tags") == sorted(tags, key=str)
+    parents = {(r.k, r.pos) for r in tables["a.rows"].collect()}
+    assert {(r.k, r.rows_pos) for r in tables["a.rows.tags"].collect()} <= parents
+    assert tables[""].count() == 5 and flatten.child_table(df.limit(0), "k", "a.rows.cells").count() == 0
