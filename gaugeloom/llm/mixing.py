@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gaugeloom.runtime import shared_dir, spread
+from gaugeloom.runtime import bounded, per_worker, spread, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of the byte-level tokenizer.
@@ -21,8 +22,11 @@ MAX_SOURCES = 10_000
 
 
 def load_tokenizer(path: str):
+    """The byte-level tokenizer of a vocabulary file, which every executor must have at this path."""
     import tiktoken
 
+    if not os.path.exists(path):
+        raise FileNotFoundError(f"no tokenizer vocabulary at {path}: give its path, the same on all executors")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -33,7 +37,7 @@ def with_tokens(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
     schema = "doc_id bigint, source string, digest binary, n_tokens bigint"
 
     def count(batches):
-        tokenizer = load_tokenizer(path)
+        tokenizer = per_worker(("tokenizer", path), lambda: load_tokenizer(path))
         for b in batches:
             n = [len(tokenizer.encode_ordinary(t.encode("utf-8", "replace").decode())) for t in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n, pa.int64())], names=["doc_id", "source", "digest", "n_tokens"])
@@ -92,6 +96,41 @@ def solve_weights(tokens: list[int], target: list[float], limits: list[int], tot
     return tempered(natural, target, low), total, low
 
 
+def temper(tokens: list[int], limits: list[int], total: float, wanted_entropy: float) -> tuple[list[float], float, float]:
+    """(shares, total size, exponent) by temperature alone: each share is a power of the source's natural share.
+
+    The exponent is bisected until the shares have the wanted entropy (it falls as the exponent
+    rises from 0, equal shares, over 1, natural shares). Where that would repeat a source beyond
+    its limit, it is bisected on towards 1, to the exponent nearest the first that keeps all
+    limits; if none does, the total falls to what the limits allow.
+    """
+    size = sum(tokens)
+    if not size:
+        return [0.0] * len(tokens), 0.0, 1.0
+    logs = [math.log(n / size) if n else None for n in tokens]
+
+    def shares(a):
+        top = max(a * x for x in logs if x is not None)
+        w = [math.exp(a * x - top) if x is not None else 0.0 for x in logs]
+        return [x / sum(w) for x in w]
+
+    def bisect(low, high, keeps_low):
+        for _ in range(80):
+            middle = (low + high) / 2
+            low, high = (middle, high) if keeps_low(shares(middle)) else (low, middle)
+        return low, high
+
+    def most(s):
+        return min((limit * n / x for n, x, limit in zip(tokens, s, limits) if x > 0), default=0.0)
+
+    a = bisect(0.0, 64.0, lambda s: entropy(s) >= wanted_entropy)[0]
+    fits = lambda s: most(s) >= total * (1 - 1e-12)
+    if not fits(shares(a)) and fits(shares(1.0)):
+        a = bisect(a, 1.0, lambda s: not fits(s))[1]
+    found = shares(a)
+    return found, min(total, most(found)), a
+
+
 class Mixture:
     """A mixture of documents' sources: its plan per source, and the texts chosen.
 
@@ -103,29 +142,36 @@ class Mixture:
     first by (share, limit) counts. Null shares or limits count as 0 and 1. Empty tables give
     an empty result. Texts of zero tokens are part of whole passes only.
 
+    by_temperature: shares are powers of the natural shares alone, with the entropy of the target
+    shares (or least_entropy), see ``temper``; the total is then as much as there is, if not given.
+
     Token counts are written once to the shared folder and read three times. Only a few
     numbers per source come to the driver. The cut of the last pass is found in sums over
-    hash buckets; only the one bucket of each source that is cut is sorted.
+    hash buckets, and within the bucket that is cut again, so that of a source only one in
+    buckets^2 parts is sorted.
     """
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, total: float | None = None, least_entropy: float | None = None, seed: int = 42, buckets: int = BUCKETS):
+    def __init__(self, documents: DataFrame, targets: DataFrame, path: str = TOKENIZER, total: float | None = None, least_entropy: float | None = None, seed: int = 42, buckets: int = BUCKETS, by_temperature: bool = False):
         spark = documents.sparkSession
         wanted = targets.where("source is not null").groupBy("source").agg(F.min(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("s"), F.coalesce("max_repeats", F.lit(1)).alias("r"))).alias("x"))
-        listed = wanted.select("source", "x.s", "x.r").orderBy("source").limit(MAX_SOURCES + 1).collect()
-        if len(listed) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources have a target")
+        listed = bounded(wanted.select("source", "x.s", "x.r").orderBy("source"), MAX_SOURCES)
         named = spark.createDataFrame([(r["source"],) for r in listed], "source string")
         known = spread(documents.select("doc_id", "source", "text").where("text is not null and source is not null"), "doc_id")
         chosen = known.join(F.broadcast(named), "source", "left_semi")  # at most MAX_SOURCES names
-        at = shared_dir(spark)
         texts = with_tokens(chosen, path).groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id"), F.min("n_tokens").alias("n_tokens"))
         place = F.xxhash64("digest", F.lit(seed))
-        texts.select("source", "doc_id", "n_tokens", place.alias("place"), F.pmod(place, F.lit(buckets)).cast("int").alias("bucket")).write.parquet(at)
-        self.texts = spark.read.parquet(at)
+        again = F.pmod(F.xxhash64("digest", F.lit(seed), F.lit(2)), F.lit(buckets)).cast("int")
+        self.texts = written(texts.select("source", "doc_id", "n_tokens", place.alias("place"), F.pmod(place, F.lit(buckets)).cast("int").alias("bucket"), again.alias("inner")))
 
         sizes = {r["source"]: r["n"] for r in self.texts.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
         tokens = [sizes.get(r["source"], 0) for r in listed]
-        shares, self.total, self.exponent = solve_weights(tokens, [r["s"] for r in listed], [r["r"] for r in listed], total, least_entropy)
+        targets_of, limits = [r["s"] for r in listed], [r["r"] for r in listed]
+        if by_temperature:
+            whole = sum(t for t, n in zip(targets_of, tokens) if n) or 1.0
+            wanted_entropy = entropy([t / whole for t, n in zip(targets_of, tokens) if n]) if least_entropy is None else least_entropy
+            shares, self.total, self.exponent = temper(tokens, limits, float(sum(tokens)) if total is None else total, wanted_entropy)
+        else:
+            shares, self.total, self.exponent = solve_weights(tokens, targets_of, limits, total, least_entropy)
         plan = []
         for r, n, share in zip(listed, tokens, shares):
             budget = share * self.total
@@ -139,17 +185,29 @@ class Mixture:
     def chosen(self) -> DataFrame:
         """(doc_id, source, n_tokens, copies) of every text that is used."""
         spark = self.texts.sparkSession
-        sums = self.texts.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("source").orderBy("bucket"))  # one row per bucket
-        cuts = sums.select("source", "bucket", "n", upto.alias("upto")).join(F.broadcast(self.plan), "source").where("upto > rest and upto - n <= rest")
-        rows = cuts.groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("c")).select("source", "c.bucket", "c.before").collect()
-        known = {r["source"]: (r["bucket"], r["before"]) for r in rows}
-        cut = spark.createDataFrame([(s, *known.get(s, (1 << 30, 0))) for s in self.rests] or [], "source string, cut int, before bigint")
-        steps = F.broadcast(self.plan.join(cut, "source").select("source", "passes", "rest", "cut", "before"))  # one row per source
+        rests = spark.createDataFrame([(s, float(r)) for s, r in self.rests.items()] or [], "source string, rest double")
+
+        def cut_of(rows: DataFrame, level: str, rests: DataFrame) -> dict:
+            """source -> (bucket in which the rest ends, tokens before it), of buckets of this level."""
+            sums = rows.groupBy("source", level).agg(F.sum("n_tokens").alias("n"))
+            upto = F.sum("n").over(Window.partitionBy("source").orderBy(level))  # one row per bucket
+            cuts = sums.select("source", level, "n", upto.alias("upto")).join(F.broadcast(rests), "source").where("upto > rest and upto - n <= rest")  # one row per source
+            found = cuts.groupBy("source").agg(F.min(F.struct(F.col(level).alias("b"), (F.col("upto") - F.col("n")).alias("before"))).alias("c")).select("source", "c.b", "c.before").collect()
+            return {r["source"]: (r["b"], r["before"]) for r in found}
+
+        outer = cut_of(self.texts, "bucket", rests)
+        left = spark.createDataFrame([(s, outer[s][0], float(self.rests[s] - outer[s][1])) for s in outer] or [], "source string, cut int, rest double")
+        inner = cut_of(self.texts.join(F.broadcast(left.select("source", "cut")), "source").where("bucket = cut"), "inner", left.select("source", "rest"))
+        far = 1 << 30
+        rows = [(s, outer.get(s, (far, 0))[0], inner.get(s, (far, 0))[0], outer.get(s, (0, 0))[1] + inner.get(s, (0, 0))[1]) for s in self.rests]
+        cut = spark.createDataFrame(rows or [], "source string, cut int, cut_inner int, before bigint")
+        steps = F.broadcast(self.plan.join(cut, "source").select("source", "passes", "rest", "cut", "cut_inner", "before"))  # one row per source
         placed = self.texts.join(steps, "source")
         inside = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
-        edge = placed.where("bucket = cut").withColumn("upto", F.col("before") + F.coalesce(inside, F.lit(0)) + F.col("n_tokens") / 2).withColumn("more", ((F.col("upto") <= F.col("rest")) & (F.col("n_tokens") > 0)).cast("int"))
-        plain = placed.where("bucket <> cut").withColumn("more", ((F.col("bucket") < F.col("cut")) & (F.col("rest") > 0) & (F.col("n_tokens") > 0)).cast("int"))
+        is_cut = (F.col("bucket") == F.col("cut")) & (F.col("inner") == F.col("cut_inner"))
+        edge = placed.where(is_cut).withColumn("upto", F.col("before") + F.coalesce(inside, F.lit(0)) + F.col("n_tokens") / 2).withColumn("more", ((F.col("upto") <= F.col("rest")) & (F.col("n_tokens") > 0)).cast("int"))
+        earlier = (F.col("bucket") < F.col("cut")) | ((F.col("bucket") == F.col("cut")) & (F.col("inner") < F.col("cut_inner")))
+        plain = placed.where(~is_cut).withColumn("more", (earlier & (F.col("rest") > 0) & (F.col("n_tokens") > 0)).cast("int"))
         both = plain.unionByName(edge.drop("upto"))
         return both.select("doc_id", "source", "n_tokens", (F.col("passes") + F.col("more")).cast("int").alias("copies")).where("copies > 0")
 

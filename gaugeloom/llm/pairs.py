@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.runtime import clean_id, salted_join, shared_dir, shuffle_partitions
+from gaugeloom.runtime import clean_id, salted_join, shuffle_partitions, written
 
 # Closed word classes by language, in lower case. ``link`` words bind to what follows (articles,
 # determiners, prepositions, conjunctions, relative pronouns), so no sentence ends with them; ``be`` are copulas and
@@ -598,9 +598,7 @@ def broken_pairs(predictions: DataFrame, items: DataFrame) -> DataFrame:
             yield batch(out)
         yield from pass_on(True)
 
-    at = shared_dir(spark)
-    joined.mapInArrow(judge, "delivery_id bigint, defect string, spoken string, before string, word string, inside bigint, closing bigint").write.parquet(at)
-    judged = spark.read.parquet(at)
+    judged = written(joined.mapInArrow(judge, "delivery_id bigint, defect string, spoken string, before string, word string, inside bigint, closing bigint"))
     sure = judged.where("delivery_id is not null and word is null").select("delivery_id", "defect")
     still = judged.where("delivery_id is not null and word is not null").select("delivery_id", "defect", "spoken", "before", "word")
     cut = cut_tails(still.select("spoken", "before", "word", F.lit(1).alias("n")), judged.where("delivery_id is null").select("spoken", "before", "word", "inside", "closing"))

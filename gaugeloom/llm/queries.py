@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugeloom.llm import encodings, leaks, mixing, pairs, phrases, terms
 from gaugeloom.runtime import table
@@ -56,6 +57,17 @@ def p9_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).blocks()
 
 
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares by temperature alone: natural shares raised to the exponent that gives them the targets' entropy within the repeat limits."""
+    mix = mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), by_temperature=True)
+    return mix.shares().withColumn("exponent", F.round(F.lit(mix.exponent), 9))
+
+
+def p9_tempered_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of p9_tempered: every copy with its block and place."""
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), by_temperature=True).blocks()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.garbled_texts(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -64,7 +76,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encodings.garbled_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_counts, p6_found, p6_report, p8_found, p8_report, p9_mix, p9_shares, p9_blocks, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_report, p4_found, p4_counts, p6_found, p6_report, p8_found, p8_report, p9_mix, p9_shares, p9_blocks, p9_tempered, p9_tempered_blocks, p10_found, p10_restored)}
 
 _TERMS = """with long as (
   select 'category_name' as field_name, lower(trim(category_name)) as term, cast(image_id as varchar) as record from annotations where category_name is not null

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeloom.runtime import shared_dir, shuffle_partitions
+from gaugeloom.runtime import shuffle_partitions, written
 
 BURST = 256  # suffixes a container holds before it becomes a node
 MAX_ROUTES = 4096  # prefixes the driver hands out for routing; terms beyond are routed by hash
+HELD = 1_000_000  # rows a task counts before its subtrees are passed on
 RARE_BELOW = 3
 COMMON_ABOVE = 0.3
 
@@ -75,9 +78,17 @@ def _trie_counts(terms: DataFrame, burst: int, max_routes: int) -> DataFrame:
 
     def build(batches):
         tries: dict[str, BurstTrie] = {}
+        held = 0
         for b in batches:
             for f, t, o, r in zip(*(b.column(i).to_pylist() for i in range(4))):
                 tries.setdefault(f, BurstTrie(burst)).add(t, o, r)
+            held += b.num_rows
+            if held > HELD:  # what was counted so far is passed on; the counters of equal terms meet in the merge
+                yield from pass_on(tries)
+                tries, held = {}, 0
+        yield from pass_on(tries)
+
+    def pass_on(tries):
         for f, trie in tries.items():
             rows = []
             for prefix, suffixes in trie.subtrees():
@@ -92,9 +103,7 @@ def _trie_counts(terms: DataFrame, burst: int, max_routes: int) -> DataFrame:
         kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["field_name", "prefix", "suffixes", "occurrences", "records"])
 
-    at = shared_dir(spark)
-    terms.mapInArrow(build, "field_name string, prefix string, suffixes array<string>, occurrences array<bigint>, records array<bigint>").write.parquet(at)
-    local = spark.read.parquet(at)
+    local = written(terms.mapInArrow(build, "field_name string, prefix string, suffixes array<string>, occurrences array<bigint>, records array<bigint>"))
 
     # Adaptive prefixes: those under which most terms lie, with as many cells each as their size asks for.
     sizes = local.groupBy("field_name", "prefix").agg(F.sum(F.size("suffixes")).alias("n")).orderBy(F.desc("n"), "field_name", "prefix").limit(max_routes).collect()
@@ -113,7 +122,7 @@ def _trie_counts(terms: DataFrame, burst: int, max_routes: int) -> DataFrame:
                             place = term[:k]
                             break
                     cells = routes.get((f, place), parts)
-                    rows.append((f, place, sum(term.encode("utf-8", "surrogatepass")) % cells if cells > 1 else 0, term, o, r))
+                    rows.append((f, place, zlib.crc32(term.encode("utf-8", "surrogatepass")) % cells if cells > 1 else 0, term, o, r))
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64())
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["field_name", "route", "cell", "term", "occurrences", "records"])

@@ -162,6 +162,44 @@ def test_mixture_edges(spark):
     assert {r.doc_id for r in mixing.Mixture(long, targets(spark, [("big", 1.0, 1)])).chosen().collect()} == {1, 2}
 
 
+def test_temperature_meets_the_entropy_or_the_repeat_limit():
+    tokens, loose = [1000, 300, 50, 0], [100] * 4
+    for wanted in (0.3, 0.7, 1.0, 1.09):
+        shares, total, a = mixing.temper(tokens, loose, 1350.0, wanted)
+        assert abs(mixing.entropy(shares) - wanted) < 1e-9 and total == 1350.0 and abs(sum(shares) - 1) < 1e-12 and shares[3] == 0.0
+        assert all(abs(s / shares[0] - (n / 1000) ** a) < 1e-9 for s, n in zip(shares[:3], tokens))
+    shares, total, a = mixing.temper(tokens, [2] * 4, 1350.0, 1.0)  # the smallest source may come twice at most
+    assert total == 1350.0 and abs(shares[2] * total - 2 * 50) < 1e-6 and mixing.entropy(shares) < 1.0 and 0 < a < 1
+    shares, total, a = mixing.temper(tokens, [1] * 4, 5000.0, 1.0)  # more than there is
+    assert total <= 1350.0 * (1 + 1e-12) and all(s * total <= n * (1 + 1e-9) for s, n in zip(shares, tokens))
+    assert mixing.temper([0, 0], [1, 1], 10.0, 0.5) == ([0.0, 0.0], 0.0, 1.0)
+
+
+@pytest.mark.skipif(not __import__("pathlib").Path("/root/testdata/sf0.01").exists(), reason="no test tables")
+def test_reached_shares_of_the_tables(spark):
+    """Each source's share is its target's but for a text, within the repeat limit; blocks hold the chosen copies, each once."""
+    from gaugeloom.llm import queries
+
+    d = "/root/testdata/sf0.01"
+    rows = queries.p9_shares(spark, d).collect()
+    assert len(rows) == 10 and abs(sum(r.target_share for r in rows) - 1) < 1e-9
+    assert all(abs(r.share - r.target_share) < 0.01 and r.most_copies <= r.max_repeats for r in rows)
+    mix = {(r.doc_id, k) for r in queries.p9_mix(spark, d).collect() for k in range(r.copies)}
+    blocks = queries.p9_blocks(spark, d).collect()
+    assert {(r.doc_id, r.block) for r in blocks} == mix and len(blocks) == len(mix)
+    tempered = queries.p9_tempered(spark, d).collect()
+    assert all(r.most_copies <= r.max_repeats and abs(r.share - r.weight) < 0.01 for r in tempered) and 0 < tempered[0].exponent != 1.0
+
+
+def test_cut_is_the_same_for_any_number_of_buckets(spark):
+    """Whatever the buckets, as many tokens as the budget asks for are used, to the nearest text."""
+    docs = spark.createDataFrame([(i, "s" if i % 3 else "t", f"word{i} " * (i % 9 + 1)) for i in range(600)], "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("s", 0.5, 3), ("t", 0.5, 2)], "source string, target_share double, max_repeats int")
+    for buckets in (1, 2, 64):
+        rows = {r.source: r for r in mixing.Mixture(docs, targets, buckets=buckets).shares().collect()}
+        assert all(abs(r.tokens - r.budget) <= 40 and r.most_copies <= r.max_repeats for r in rows.values())
+
+
 def test_bisection():
     shares, total, a = mixing.solve_weights([100, 10], [0.5, 0.5], [1, 2])
     assert (shares, total, a) == ([0.5, 0.5], 40.0, 1.0)
