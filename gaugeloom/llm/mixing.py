@@ -96,13 +96,14 @@ def solve_weights(tokens: list[int], target: list[float], limits: list[int], tot
     return tempered(natural, target, low), total, low
 
 
-def temper(tokens: list[int], limits: list[int], total: float, wanted_entropy: float) -> tuple[list[float], float, float]:
+def temper(tokens: list[int], limits: list[int], total: float | None, wanted_entropy: float) -> tuple[list[float], float, float]:
     """(shares, total size, exponent) by temperature alone: each share is a power of the source's natural share.
 
     The exponent is bisected until the shares have the wanted entropy (it falls as the exponent
-    rises from 0, equal shares, over 1, natural shares). Where that would repeat a source beyond
-    its limit, it is bisected on towards 1, to the exponent nearest the first that keeps all
-    limits; if none does, the total falls to what the limits allow.
+    rises from 0, equal shares, over 1, natural shares). Without a total, it is what the limits
+    allow at these shares. Where a given total would repeat a source beyond its limit, the
+    exponent is bisected on towards 1, to the one nearest the first that keeps all limits; if
+    none does, the total falls to what the limits allow.
     """
     size = sum(tokens)
     if not size:
@@ -124,6 +125,8 @@ def temper(tokens: list[int], limits: list[int], total: float, wanted_entropy: f
         return min((limit * n / x for n, x, limit in zip(tokens, s, limits) if x > 0), default=0.0)
 
     a = bisect(0.0, 64.0, lambda s: entropy(s) >= wanted_entropy)[0]
+    if total is None:
+        return shares(a), most(shares(a)), a
     fits = lambda s: most(s) >= total * (1 - 1e-12)
     if not fits(shares(a)) and fits(shares(1.0)):
         a = bisect(a, 1.0, lambda s: not fits(s))[1]
@@ -143,7 +146,7 @@ class Mixture:
     an empty result. Texts of zero tokens are part of whole passes only.
 
     by_temperature: shares are powers of the natural shares alone, with the entropy of the target
-    shares (or least_entropy), see ``temper``; the total is then as much as there is, if not given.
+    shares (or least_entropy), see ``temper``; the total is what the repeat limits allow, if not given.
 
     Token counts are written once to the shared folder and read three times. Only a few
     numbers per source come to the driver. The cut of the last pass is found in sums over
@@ -169,7 +172,7 @@ class Mixture:
         if by_temperature:
             whole = sum(t for t, n in zip(targets_of, tokens) if n) or 1.0
             wanted_entropy = entropy([t / whole for t, n in zip(targets_of, tokens) if n]) if least_entropy is None else least_entropy
-            shares, self.total, self.exponent = temper(tokens, limits, float(sum(tokens)) if total is None else total, wanted_entropy)
+            shares, self.total, self.exponent = temper(tokens, limits, total, wanted_entropy)
         else:
             shares, self.total, self.exponent = solve_weights(tokens, targets_of, limits, total, least_entropy)
         plan = []
