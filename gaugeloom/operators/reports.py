@@ -83,3 +83,34 @@ def markdown(df: DataFrame, columns: list[str] | None = None, digits: int = 3, l
     rows = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     rows += ["| " + " | ".join(show(r[c]) for c in columns) + " |" for r in bounded(df.select(*columns), limit)]
     return "\n".join(rows) + "\n"
+
+
+def per_model(documents: DataFrame, reports: str = "per_model", fields: list[str] = (), inner: str | None = None) -> DataFrame:
+    """(variant, model, fields...) from report documents with a map from model to its metrics; ``inner`` names a struct of the metrics to take them from."""
+    rows = documents.select("variant", F.explode(reports).alias("model", "_m"))
+    at = F.col(f"_m.{inner}") if inner else F.col("_m")
+    return rows.select(F.coalesce("variant", F.lit("unknown_variant")).alias("variant"), "model", *[at[f].alias(f) for f in fields])
+
+
+def overall(documents: DataFrame, fields: list[str]) -> DataFrame:
+    """(variant, model, fields...) of metric documents with an ``overall`` struct; documents without one are left out. Fields that a document lacks are null."""
+    inside = documents.schema["overall"].dataType.fieldNames()
+    pick = [F.col(f"overall.{f}").alias(f) if f in inside else F.lit(None).cast("double").alias(f) for f in fields]
+    return documents.where("overall is not null").select("variant", F.col("model_name").alias("model"), *pick)
+
+
+def histograms(df: DataFrame, **keys: Column) -> DataFrame:
+    """(statistic, key, n): counts of rows by each of several keys, in one pass with grouping sets; null keys are ``unknown``."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(name).alias("statistic"), F.coalesce(c.cast("string"), F.lit("unknown")).alias("key")) for name, c in keys.items()])).alias("x"))
+    return rows.select("x.*").groupBy("statistic", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, in_a, in_b) of every key of two sets; null keys are equal to each other."""
+    both = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return both.groupBy(key).agg((F.max("a") == 1).alias("in_a"), (F.max("b") == 1).alias("in_b"))
+
+
+def full_report(title: str, **sections: DataFrame) -> str:
+    """A whole report in Markdown: a heading and a table per section; sections of more rows than a table takes are an error."""
+    return f"# {title}\n\n" + "\n".join(f"## {name.replace('_', ' ')}\n\n{markdown(df)}" for name, df in sections.items())

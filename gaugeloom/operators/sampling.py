@@ -105,20 +105,24 @@ def distinct_draws(k: Column, n: Column, *seed: Column) -> Column:
     return F.aggregate(steps, F.array().cast("array<bigint>"), step)
 
 
-def _drawn(targets: DataFrame, pool: DataFrame, wanted: Column, item: str, source: str) -> DataFrame:
-    """(item, option_id, option_coarse, kind, letter) for wanted: array of (kind, k, parts) per target row."""
+def _drawn(targets: DataFrame, pool: DataFrame, wanted, item: str, source: str) -> DataFrame:
+    """(item, option_id, option_coarse, kind, letter) for wanted: array of (kind, k, parts) per target row.
+
+    wanted: the array, from a function that gives the number of options an item may draw from of some parts.
+    """
     numbered = numbered_pool(pool, source)
     sizes = numbered.groupBy("option_coarse").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("option_coarse", "n"))).alias("_sizes"))
     own = numbered.groupBy(F.col(source).alias("_source"), "option_coarse").agg(F.min("_place").alias("start"), F.count(F.lit(1)).alias("len"))
     own = own.groupBy("_source").agg(F.map_from_entries(F.collect_list(F.struct("option_coarse", F.struct("start", "len")))).alias("_own"))
     own_of = source.removeprefix("option_")
-    asked = targets.select(F.col(item), F.col(own_of).alias("_s"), F.explode(wanted).alias("_w"))
-    asked = asked.join(own, F.col("_s").eqNullSafe(F.col("_source")), "left").join(F.broadcast(sizes))  # sizes: one row, an entry per part
+    placed = targets.join(own, F.col(own_of).eqNullSafe(F.col("_source")), "left").join(F.broadcast(sizes))  # sizes: one row, an entry per part
     # What an item may draw from: the lists of its parts one after another, without the stretch of its own source.
-    spans = F.transform(
-        "_w.parts",
-        lambda p: F.struct(p.alias("part"), F.coalesce(F.try_element_at("_own", p)["start"], F.lit(0)).alias("start"), F.coalesce(F.try_element_at("_own", p)["len"], F.lit(0)).alias("len"), F.coalesce(F.try_element_at("_sizes", p), F.lit(0)).alias("n")),
+    span = lambda p: F.struct(
+        p.alias("part"), F.coalesce(F.try_element_at("_own", p)["start"], F.lit(0)).alias("start"), F.coalesce(F.try_element_at("_own", p)["len"], F.lit(0)).alias("len"), F.coalesce(F.try_element_at("_sizes", p), F.lit(0)).alias("n")
     )
+    available = lambda parts: F.aggregate(F.transform(parts, span), F.lit(0).cast("bigint"), lambda a, s: a + s["n"] - s["len"])
+    asked = placed.select(F.col(item), "_own", "_sizes", F.explode(wanted(available)).alias("_w"))
+    spans = F.transform("_w.parts", span)
     asked = asked.select(item, F.col("_w.kind").alias("kind"), F.col("_w.k").alias("_k"), spans.alias("_spans"))
     allowed = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + s["n"] - s["len"])
     drawn = asked.select(item, "kind", "_spans", F.explode(distinct_draws(F.col("_k"), allowed, F.col(item).cast("string"), F.col("kind"))).alias("_d"))
@@ -149,13 +153,38 @@ def draw_options(targets: DataFrame, pool: DataFrame, quotas: list[tuple[str, st
     related = {"same": lambda c: [c], "hard": dims.hard_negatives, "cross": dims.cross_limb}
     each = lambda c: F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"), F.array(*[F.lit(x) for x in related[rel](c)]).alias("parts")) for kind, rel, k in quotas])
     wanted = F.element_at(F.create_map(*[x for c in dims.COARSE_PARTS for x in (F.lit(c), each(c))]), F.col("coarse"))
+    return _drawn(targets.where(F.col("coarse").isin(dims.COARSE_PARTS)), pool, lambda _: wanted, item, f"option_{exclude}")
+
+
+def draw_variable(targets: DataFrame, pool: DataFrame, k: int, num_correct: str, hard_share: float, item: str, exclude: str) -> DataFrame:
+    """As ``draw_options`` with a number of right options per target row, and k options in all.
+
+    A share of the others (rounded down) are hard, the rest cross. What the pool lacks of one
+    kind is made up by the next; only cross options can run short.
+    """
+    related = {"positive": lambda c: [c], "hard": dims.hard_negatives, "cross": dims.cross_limb}
+    parts = {kind: F.element_at(F.create_map(*[x for c in dims.COARSE_PARTS for x in (F.lit(c), F.array(*[F.lit(p) for p in of(c)]))]), F.col("coarse")) for kind, of in related.items()}
+
+    def wanted(available):
+        right = F.least(F.col(num_correct).cast("bigint"), available(parts["positive"]))
+        hard = F.least(F.floor((k - right) * F.lit(hard_share)), available(parts["hard"]))
+        sizes = {"positive": right, "hard": hard, "cross": k - right - hard}
+        return F.array(*[F.struct(F.lit(kind).alias("kind"), sizes[kind].alias("k"), parts[kind].alias("parts")) for kind in related])
+
     return _drawn(targets.where(F.col("coarse").isin(dims.COARSE_PARTS)), pool, wanted, item, f"option_{exclude}")
 
 
+def drawn_num_correct(item: Column, zero_share: float, least: int, most: int) -> Column:
+    """How many right options an item is to have: none for a share of the items, else a number in [max(1, least), most]."""
+    low = max(1, least)
+    none = hash_draw([item, F.lit("none")], F.lit(1_000_000)) < int(zero_share * 1_000_000)
+    return F.when(none, 0).otherwise(low + hash_draw([item, F.lit("correct")], F.lit(most - low + 1))).cast("int")
+
+
 def draw_one_per_part(items: DataFrame, pool: DataFrame, item: str, exclude: str) -> DataFrame:
     """As ``one_option_per_part`` from a pool of any size: one option of every part, drawn as in ``draw_options``."""
     wanted = F.array(*[F.struct(F.lit(c).alias("kind"), F.lit(1).alias("k"), F.array(F.lit(c)).alias("parts")) for c in dims.COARSE_PARTS])
-    return _drawn(items, pool, wanted, item, f"option_{exclude}").drop("kind")
+    return _drawn(items, pool, lambda _: wanted, item, f"option_{exclude}").drop("kind")
 
 
 def other_orders(n: Column, limit: int = 8) -> Column:

@@ -160,6 +160,35 @@ def task_pairs(long: DataFrame, key: str) -> DataFrame:
     )
 
 
+def task_matrix(long: DataFrame, key: str) -> DataFrame:
+    """(task_a, task_b, n, both_wrong, p_b_wrong_given_a_wrong) of every ordered pair of tasks in (task, key, correct), with the diagonal.
+
+    The diagonal is 1 where a task has keys. Tasks of a key are gathered (a few per key).
+    """
+    per_key = long.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("task", "correct"))).alias("t"))
+    pairs = per_key.select("t", F.explode("t").alias("a")).select("a", F.explode("t").alias("b"))
+    x, y = F.col("a.correct"), F.col("b.correct")
+    counts = pairs.groupBy(F.col("a.task").alias("task_a"), F.col("b.task").alias("task_b")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~x & ~y).alias("both_wrong"), F.count_if(~x).alias("_wrong"))
+    share = F.when(F.col("task_a") == F.col("task_b"), 1.0).otherwise(F.try_divide("both_wrong", "_wrong"))
+    return counts.withColumn("p_b_wrong_given_a_wrong", share).drop("_wrong")
+
+
+def coupling_report(long: DataFrame, key: str) -> DataFrame:
+    """task_matrix with phi and mutual information of the pairs (null on the diagonal): the report on two, three or more tasks."""
+    measures = coupling(task_pairs(long, key)).select("task_a", "task_b", "phi", "mutual_info_bits")
+    both = measures.unionByName(measures.select(F.col("task_b").alias("task_a"), F.col("task_a").alias("task_b"), "phi", "mutual_info_bits"))
+    return task_matrix(long, key).join(F.broadcast(both), ["task_a", "task_b"], "left")  # a row per pair of tasks
+
+
+def ranking_agreement(scores: DataFrame, x: str, y: str) -> DataFrame:
+    """(n_models, spearman, kendall_tau_b) of two scores per model; null correlations under three models."""
+    both = scores.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    n = both.agg(F.count(F.lit(1)).alias("n_models"))
+    told = n.join(F.broadcast(spearman(both, x, y))).join(F.broadcast(kendall_tau_b(both, x, y)))  # single rows
+    enough = F.col("n_models") >= 3
+    return told.select("n_models", F.when(enough, F.col("spearman")).alias("spearman"), F.when(enough, F.col("kendall_tau_b")).alias("kendall_tau_b"))
+
+
 def hash_draw(parts: list[Column], n: Column) -> Column:
     """A whole number in [0, n) that depends on the parts alone: md5, so other engines draw the same."""
     h = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
@@ -327,6 +356,17 @@ def confidence_interval(df: DataFrame, value: str, by: list[str], confidence: fl
     return moments(df, value, by).withColumns({"ci_lower": F.col("mean") - half, "ci_upper": F.col("mean") + half})
 
 
+def metrics_by_run(runs: DataFrame, by: list[str] = (), metrics: list[str] | None = None) -> DataFrame:
+    """(by, metric, n, mean, std, ci_lower, ci_upper) of every metric column over its runs, nulls left out.
+
+    metrics: by default all number columns that are not in by and do not begin with ``_``.
+    """
+    numbers = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+    names = metrics or [f.name for f in runs.schema.fields if isinstance(f.dataType, numbers) and f.name not in by and not f.name.startswith("_")]
+    long = runs.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in names])).alias("x")).select(*by, "x.metric", "x.v").where("v is not null")
+    return confidence_interval(long, "v", [*by, "metric"])
+
+
 def welch_tests(df: DataFrame, model: str, value: str, level: float = 0.05, limit: int = 2000) -> DataFrame:
     """(model_a, model_b, t, df, p, significant) of every pair of models with two values or more.
 

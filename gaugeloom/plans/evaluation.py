@@ -531,16 +531,6 @@ def _runs(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("model"), F.to_date("ts").alias("run")).agg(F.avg("value").alias("v"))
 
 
-@query(None)
-def runs_ci(spark, d):
-    return rounded(statistics.confidence_interval(_runs(spark, d), "v", ["model"]))
-
-
-@query(None)
-def welch_t(spark, d):
-    return rounded(statistics.welch_tests(_runs(spark, d), "model", "v"))
-
-
 # ---- findings and reports --------------------------------------------------------------------
 
 @query(_OPTIONS + """select model, round(avg(f1) filter (variant = 'compatibility_diversity'), 9) as compatibility_diversity, round(avg(case when len(pred) = 1 and list_has_any(gold, pred) then 1 else 0 end) filter (variant = 'compatibility_category'), 9) as compatibility_category

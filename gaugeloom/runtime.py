@@ -53,6 +53,62 @@ def delete(spark: SparkSession, at: str) -> None:
     fs.delete(path, True)
 
 
+def exists(path: str) -> bool:
+    """Whether a file or folder is there, on any file system the session knows."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return Path(path).exists()
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def read_text(path: str) -> str:
+    """A small text file whole, on any file system the session knows."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        return Path(path).read_text()
+    fs, at = _file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(path: str, content: str) -> None:
+    """A small text file, written beside its place and then moved there; its folders are made. A failed write leaves the old file."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        p = Path(path)
+        p.parent.mkdir(parents=True, exist_ok=True)
+        beside = p.with_suffix(p.suffix + ".tmp")
+        beside.write_text(content)
+        beside.replace(p)
+        return
+    fs, at = _file_system(spark, path)
+    _, beside = _file_system(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    try:
+        stream = fs.create(beside, True)
+        try:
+            stream.write(bytearray(content.encode("utf-8")))
+        finally:
+            stream.close()
+        fs.delete(at, False)
+        if not fs.rename(beside, at):
+            raise OSError(f"could not move {beside} to {path}")
+    finally:
+        fs.delete(beside, False)
+
+
+def copy(source: str, target: str) -> None:
+    """A file or folder copied to another place, replacing what is there."""
+    spark = SparkSession.getActiveSession()
+    (fs, a), (other, b) = _file_system(spark, source), _file_system(spark, target)
+    other.delete(b, True)
+    if not spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, other, b, False, spark._jsc.hadoopConfiguration()):
+        raise OSError(f"could not copy {source} to {target}")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read from there: cuts its lineage, and later steps read instead of computing again."""
     at = shared_dir(df.sparkSession)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugeloom import schemas
+from gaugeloom.runtime import exists, read_text
 
 
 def json_lines(spark: SparkSession, path: str | list[str], schema: str, strict: bool = True, pattern: str | None = None) -> DataFrame:
@@ -30,7 +31,7 @@ def coco(spark: SparkSession, path: str) -> DataFrame:
 
 def count_lines(spark: SparkSession, path: str) -> int:
     """Lines that are not blank; 0 if there is no such file."""
-    if not Path(path).exists():
+    if not exists(path):
         return 0
     return spark.read.text(path).where(F.trim("value") != "").count()
 
@@ -78,9 +79,29 @@ def metric_files(spark: SparkSession, root: str, pattern: str = "*.metrics.json"
     return last_per_key(df.withColumn("_path", F.col("_metadata.file_path")), ["variant", "model_name"], ["_path"])
 
 
+def unreadable_files(spark: SparkSession, root: str, pattern: str = "*.metrics.json") -> DataFrame:
+    """(path) of JSON documents below a folder that cannot be read; the readers of reports leave them out."""
+    texts = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    return texts.where(F.get_json_object("value", "$").isNull()).select(F.col("_metadata.file_path").alias("path"))
+
+
+def from_template(template: str, **values: str) -> str:
+    """A path with its ``{model}`` and other places filled; a place without a value is an error."""
+    return template.format(**values)
+
+
+def cached(df: DataFrame) -> DataFrame:
+    """df kept in memory and on disk once computed, for several uses; lost parts are computed again."""
+    return df.persist()
+
+
+def drop_caches(spark: SparkSession) -> None:
+    spark.catalog.clearCache()
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a file, none if it does not exist."""
-    return json_lines(spark, path, schema) if Path(path).exists() else spark.createDataFrame([], schema)
+    return json_lines(spark, path, schema) if exists(path) else spark.createDataFrame([], schema)
 
 
 def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
@@ -88,11 +109,16 @@ def images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", "content", "length")
 
 
-def alias_table(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
-    """(canonical, alias, policy_version) of a YAML alias file; another version than asked for is an error."""
+def yaml_config(path: str) -> dict:
+    """A YAML file, where PyYAML is installed; an empty file gives an empty dict."""
     import yaml
 
-    doc = yaml.safe_load(Path(path).read_text()) or {}
+    return yaml.safe_load(read_text(path)) or {}
+
+
+def alias_table(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """(canonical, alias, policy_version) of a YAML alias file; another version than asked for is an error."""
+    doc = yaml_config(path)
     found = str(doc.get("policy_version", ""))
     if version is not None and found != version:
         raise ValueError(f"alias file has version {found}, not {version}")
@@ -102,7 +128,7 @@ def alias_table(spark: SparkSession, path: str, version: str | None = None) -> D
 
 def policy_version(path: str) -> str:
     """First policy_version line of a text file."""
-    for line in Path(path).read_text().splitlines():
+    for line in read_text(path).splitlines():
         m = re.match(r"\W*policy_version\W*:\W*([\w.]+)", line, re.IGNORECASE)
         if m:
             return m.group(1)
@@ -117,7 +143,7 @@ def prompts(path: str, key: str) -> list[str]:
     """The list of prompts under a key of a JSON file; anything else there, or none, is an error."""
     import json
 
-    found = json.loads(Path(path).read_text()).get(key)
+    found = json.loads(read_text(path)).get(key)
     if not isinstance(found, list) or not found:
         raise ValueError(f"no prompts under {key} in {path}")
     return [str(p) for p in found]

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame
 
-from gaugeloom.runtime import bounded
+from gaugeloom.runtime import bounded, copy, write_text
 
 
 def json_lines(df: DataFrame, path: str, append: bool = False) -> None:
@@ -21,11 +21,19 @@ def csv(df: DataFrame, path: str, columns: list[str]) -> None:
 
 def document(payload: dict | list, path: str) -> None:
     """A small JSON document, written beside its place and then moved there."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    beside = p.with_suffix(p.suffix + ".tmp")
-    beside.write_text(json.dumps(payload, indent=2, ensure_ascii=False, default=str))
-    beside.replace(p)
+    write_text(path, json.dumps(payload, indent=2, ensure_ascii=False, default=str))
+
+
+def yaml_document(payload: dict | list, path: str) -> None:
+    """A small YAML document, where PyYAML is installed."""
+    import yaml
+
+    write_text(path, yaml.safe_dump(payload, allow_unicode=True, sort_keys=False))
+
+
+def mirror(source: str, target: str) -> None:
+    """A result copied to a second place."""
+    copy(source, target)
 
 
 def metrics_bundle(path: str, summary: DataFrame, items: DataFrame, groups: DataFrame, limit: int = 10_000) -> None:
@@ -41,6 +49,4 @@ def manifest(path: str, benchmark: str, model: str, config: dict, stats: dict, f
 
 
 def text(path: str, content: str) -> None:
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(content)
+    write_text(path, content)

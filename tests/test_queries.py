@@ -5,10 +5,10 @@ from pathlib import Path
 import pytest
 from oracle import compare, connect
 
-from gaugeloom.plans import evaluation, records
+from gaugeloom.plans import controls, evaluation, records
 
 DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = {**records.QUERIES, **evaluation.QUERIES}, {**records.ORACLE, **evaluation.ORACLE}
+QUERIES, SQL = {**records.QUERIES, **evaluation.QUERIES, **controls.QUERIES}, {**records.ORACLE, **evaluation.ORACLE, **controls.ORACLE}
 
 pytestmark = pytest.mark.skipif(not Path(DIR).exists(), reason="no test tables")
 

@@ -154,3 +154,29 @@ def test_display_and_small_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.prompts(str(tmp_path / "x.json"), "q")
     assert readers.confusion_cells(spark, str(tmp_path / "x.json"), ["d"]).count() == 2
+
+
+def test_small_files_on_any_file_system(spark, tmp_path):
+    """Texts go through the session's file systems, so a scheme is no obstacle; writing again replaces, mirrors copy."""
+    from gaugeloom.runtime import exists, read_text
+    from gaugeloom.sources import readers, sinks
+
+    at = (tmp_path / "deep" / "doc.json").as_uri()
+    assert not exists(at)
+    for payload in ({"a": "é 日本"}, {"a": [1, None]}):
+        sinks.document(payload, at)
+        assert json.loads(read_text(at)) == payload
+    assert [p.name for p in (tmp_path / "deep").iterdir() if not p.name.endswith(".crc")] == ["doc.json"]
+    sinks.mirror(at, (tmp_path / "copy.json").as_uri())
+    assert json.loads((tmp_path / "copy.json").read_text()) == {"a": [1, None]}
+    sinks.text(str(tmp_path / "t.md"), "# x")
+    assert read_text(str(tmp_path / "t.md")) == "# x"
+    (tmp_path / "good.metrics.json").write_text('{"overall": {"a": 1}}')
+    (tmp_path / "bad.metrics.json").write_text('{"overall": ')
+    assert [r.path.rsplit("/", 1)[1] for r in readers.unreadable_files(spark, str(tmp_path)).collect()] == ["bad.metrics.json"]
+    assert readers.from_template("runs/{model}/predictions.jsonl", model="m") == "runs/m/predictions.jsonl"
+    with pytest.raises(KeyError):
+        readers.from_template("{model}")
+    df = readers.cached(spark.range(3))
+    assert df.count() == 3 and df.storageLevel.useMemory
+    readers.drop_caches(spark)
