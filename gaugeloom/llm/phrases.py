@@ -21,11 +21,11 @@ TOKEN_SIM = 0.55  # least likeness of a repaired token
 GLUED_SIM = 0.7  # least likeness of words run together
 MAX_ENTRIES = 50_000  # entries of the reference list per block
 MAX_WORDS = 1_000_000  # distinct words of the reference list: they are sent to every worker
-STOP_SHARE, STOP_LEAST = 0.01, 20  # a word outside the list in so many of the phrases, and at least so many, may say nothing
-SLOTS, STOP_SLOTS = 64, 16  # slots that words of the list are hashed into, and how many of them must be met beside a word that says nothing
+STOP_SHARE, STOP_LEAST = 0.01, 10  # a word outside the list in so many of the phrases, and at least so many, may say nothing
+SLOTS, STOP_SLOTS = 64, 8  # slots that words of the list are hashed into, and how many of them must be met beside a word that says nothing
 
-# Closed-class English words, which say nothing beside a name.
-CLOSED = frozenset("a an the one some any this that or and so here there about like very my its".split())
+# Closed-class English words and adverbs of doubt, which say nothing beside a name.
+CLOSED = frozenset("a an the one some any this that or and so here there about like very my its maybe perhaps probably possibly".split())
 # Characters taken for one another in typing and scanning.
 LOOKALIKE = frozenset(p for a, b in ("1l", "1i", "0o", "3e", "5s", "6b", "4a", "7t", "8b", "9g", "2z", "li") for p in ((a, b), (b, a)))
 AMBIGUOUS = frozenset(a for a, _ in LOOKALIKE)
