@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gaugeloom import dims
+
+
 def empty() -> Column:
     return F.array().cast("array<string>")
 
@@ -127,7 +130,7 @@ def option_letters(n: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.char(i + 65))).otherwise(empty())
 
 
-def none_option(options: Column, fields: list[str], aliases: list[str]) -> Column:
+def none_option(options: Column, fields: list[str], aliases: list[str] = dims.NONE_ALIASES) -> Column:
     """option_id of the first option of which a text field is a none alias."""
     clean = lambda x: F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "-", "_"), r"\s+", " ")
     hit = F.filter(options, lambda o: F.exists(F.array(*[F.coalesce(clean(o[f]).isin(aliases), F.lit(False)) for f in fields]), lambda x: x))

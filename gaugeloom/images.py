@@ -121,3 +121,17 @@ def map_images(df: DataFrame, step: Callable[[np.ndarray], np.ndarray | None], r
             yield pd.DataFrame(kept, columns=["path", "height", "width", "pixels"])
 
     return df.select("path", "content").mapInPandas(run, "path string, height int, width int, pixels binary")
+
+
+def grid_manifest(items: DataFrame, item: str, options: str, root: str) -> DataFrame:
+    """(item, path, labels, option_paths): where the grid of each item's options lies, and what it shows in reading order."""
+    listed = F.filter(F.array_compact(options), lambda o: o["path"].isNotNull())
+    name = F.regexp_replace(F.col(item), r"[^A-Za-z0-9._-]", "_")
+    return items.select(item, F.concat(F.lit(root.rstrip("/") + "/"), name, F.lit(".png")).alias("path"), F.transform(listed, lambda o: o["option_id"]).alias("labels"), F.transform(listed, lambda o: o["path"]).alias("option_paths"))
+
+
+def with_grids(items: DataFrame, manifest: DataFrame, item: str, own: Column | None = None) -> DataFrame:
+    """items with grid_path: their own path, else the manifest's of the same item, else null."""
+    paths = manifest.groupBy(item).agg(F.min("path").alias("_path"))
+    joined = items.join(paths, item, "left")
+    return joined.withColumn("grid_path", F.coalesce(own, F.col("_path")) if own is not None else F.col("_path")).drop("_path")

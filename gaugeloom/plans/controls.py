@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugeloom import dims
+from gaugeloom import dims, images
 from gaugeloom.functions import labels as L
 from gaugeloom.functions import text as X
 from gaugeloom.operators import construction, controls, reports, sampling, scoring, statistics
@@ -283,3 +283,13 @@ def wrong_rows(spark, d):
     rows = E.option_sets(spark, d).where("exact = 0 and model is not null").select("model", "delivery_id")
     place = F.row_number().over(Window.partitionBy("model").orderBy("delivery_id"))
     return rows.withColumn("place", place).where("place <= 3").select("model", "place", "delivery_id")
+
+
+@query(f"""with ranked as (select {E._id('item_id')} as key, *, row_number() over (partition by {E._id('item_id')} order by loaded_at desc nulls last, item_row desc) as rn from benchmark_items where item_id is not null)
+select key, coalesce(case when options_grid.enabled then options_grid.path end, 'grids/' || regexp_replace(key, '[^A-Za-z0-9._-]', '_', 'g') || '.png') as grid_path from ranked where rn = 1""")
+def grid_paths(spark, d):
+    """Where the option grid of every current item lies: its own path if it has one, else that of the manifest."""
+    b = table(spark, d, "benchmark_items").where("item_id is not null").select(clean_id(F.col("item_id")).alias("key"), "options", "options_grid", "loaded_at", "item_row")
+    items = scoring.last_per_key(b, ["key"], ["loaded_at", "item_row"])
+    own = F.when(F.col("options_grid.enabled"), F.col("options_grid.path"))
+    return images.with_grids(items, images.grid_manifest(items, "key", "options", "grids"), "key", own).select("key", "grid_path")

@@ -64,8 +64,12 @@ def smoothed_rate(df: DataFrame, by: str, time: str, order: str, alpha: float =
     return steps.select(by, fold["r"].alias("rate"))
 
 
-def scored_by_stream(spark: SparkSession, path: str, schema, keys: list[str], metrics) -> DataFrame:
-    """Runs a stream over what is there, each key once, into the shared folder, and gives metrics(rows)."""
+def scored_by_stream(spark: SparkSession, path: str, schema, keys: list[str], metrics, event_time: str | None = None, delay: str | None = None) -> DataFrame:
+    """Runs a stream over what is there, each key once, into the shared folder, and gives metrics(rows).
+
+    Without event_time and delay the state holds every key, as repeats may come at any time; with
+    them it forgets keys older than the delay (see ``once``).
+    """
     at = shared_dir(spark)
-    append_to(once(stream_records(spark, path, schema), keys), f"{at}/rows", f"{at}/checkpoint").awaitTermination()
+    append_to(once(stream_records(spark, path, schema), keys, event_time, delay), f"{at}/rows", f"{at}/checkpoint").awaitTermination()
     return metrics(spark.read.schema(schema).parquet(f"{at}/rows"))

@@ -111,3 +111,33 @@ def test_reports_are_taken_apart_and_put_together(spark, tmp_path):
     assert counts == {("x", "a"): 2, ("x", "b"): 1, ("y", "1"): 2, ("y", "unknown"): 1}
     both = {r.k: (r.in_a, r.in_b) for r in reports.overlap(frame(spark, [("p",), (None,), ("p",)], "k string"), frame(spark, [("q",), (None,)], "k string"), "k").collect()}
     assert both == {"p": (True, False), "q": (False, True), None: (True, True)}
+
+
+def test_what_charts_draw_and_errors_tell(spark):
+    from gaugeloom import charts, errors
+
+    df = frame(spark, [("m", 10, 0.5), ("m", 2, 0.25), ("n", 2, None)], "model string, k int, v double")
+    groups, series = charts.grouped_rows(df, "k", "model", "v")
+    assert groups == [2, 10] and series["m"] == [0.25, 0.5] and all(x != x for x in series["n"])
+    angles, outlines = charts.radar_rows(frame(spark, [("m", 1.0, None, 0.5)], "model string, a double, b double, c double"), "model", ["a", "b", "c"])
+    assert len(angles) == 4 and angles[0] == angles[-1] == 0 and outlines == {"m": [1.0, 0.0, 0.5, 1.0]}
+    with pytest.raises(ValueError):
+        charts.radar_rows(df, "model", ["k", "v"])
+    with pytest.raises(errors.DataError, match="reading failed.*path='p'") as e:
+        with errors.error_context(errors.DataError, "reading failed", path="p"):
+            raise KeyError("x")
+    assert e.value.details == {"path": "p"} and isinstance(e.value.__cause__, KeyError)
+    with pytest.raises(errors.ModelError) as e:
+        with errors.error_context(errors.DataError, "outer", item=1):
+            raise errors.ModelError("no answer", model="m")
+    assert e.value.details == {"item": 1, "model": "m"}
+
+
+def test_grids_are_joined_to_their_items(spark):
+    from gaugeloom import images
+
+    items = frame(spark, [("a:1", [("A", "x.png"), None, ("B", None)], "own.png"), ("b", None, None)], "item string, options array<struct<option_id:string,path:string>>, own string")
+    manifest = images.grid_manifest(items, "item", "options", "grids/")
+    assert [tuple(r) for r in manifest.orderBy("item").collect()] == [("a:1", "grids/a_1.png", ["A"], ["x.png"]), ("b", "grids/b.png", None, None)]
+    got = {r.item: r.grid_path for r in images.with_grids(items, manifest.where("item = 'b'"), "item", F.col("own")).collect()}
+    assert got == {"a:1": "own.png", "b": "grids/b.png"} and images.with_grids(items, manifest.limit(0), "item").where("grid_path is null").count() == 2
