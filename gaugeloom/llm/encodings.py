@@ -378,7 +378,7 @@ class Confusion:
     def __init__(self, read: str, written: str, languages: tuple[str, ...]):
         self.name, self.languages = f"{read}>{written}", languages
         pairs = _confusable(read, written)
-        self.meant, self.seen = str.maketrans(pairs), re.compile("[" + "".join(pairs) + "]")
+        self.meant, self.seen, self.misread = str.maketrans(pairs), re.compile("[" + "".join(pairs) + "]"), frozenset(pairs)
 
     def restored(self, text: str) -> str:
         """The text with its misread words as they were written.
@@ -408,8 +408,17 @@ CONFUSIONS = [Confusion("cp1250", "cp1252", WEST), Confusion("cp1252", "cp1254",
 
 
 def restore(text: str, gain: float = GAIN, max_states: int = MAX_STATES) -> tuple[bool, str, list[str], bool]:
-    """As ``search``, with the words whose misread characters are plausible one by one (``Confusion``)."""
+    """As ``search``, with the words whose misread characters are plausible one by one (``Confusion``).
+
+    A text all of whose letters are of its own language is not misread.
+    """
     garbled, found, path, whole = search(text, gain, max_states)
+    letters = {c for c in set(found) if c > "\x7f" and c.isalpha()}
+    if not any(letters & c.misread for c in CONFUSIONS):
+        return garbled, found, path, whole
+    own = LETTERS_OF.get(language(found), "")
+    if all(c.lower() in own for c in letters):
+        return garbled, found, path, whole
     for confusion in CONFUSIONS:
         read = confusion.restored(found)
         if read != found:
