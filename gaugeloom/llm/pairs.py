@@ -159,7 +159,7 @@ CLOSERS = {"}", "]", ")", "”", "»"}
 PIECE = re.compile(r'```|\\.|(?<=\d)"(?!\w)|[:;=]-?[()]|["{}\[\]()“”«»„]|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>|\n')
 BLANK = re.compile(r"[\s​-‏⁠﻿­]+")
 FENCED = re.compile(r"```[a-zA-Z]*")
-LETTER = re.compile(r"(?<![\w'’-])[A-H](?![\w'’-])")
+LETTER = re.compile(r"[A-H](?<![\w'’-].)(?![\w'’-])")  # the letter first: it is rare, so most places are passed over at once
 QUOTED = re.compile(r"“[^”]*”|«[^»]*»|\"[^\"]*\"")
 OBJECT = re.compile(r"```[\s\S]*?(?:```|$)|\{[^{}]*\}?")
 SENTENCE_END = ".!?…。！？"
@@ -269,7 +269,7 @@ def script_of(text: str) -> str:
 
     Chinese characters count as Japanese beside kana. Words don't matter, as not all scripts part them.
     """
-    if text.isascii():
+    if text.isascii() or max(text) < "ɐ":
         return ""
     letters = [c for c in LETTER.sub(" ", text) if c.isalpha()]
     other = [c for c in letters if not (c < "ɐ" or "Ḁ" <= c < "ἀ")]
@@ -305,8 +305,9 @@ def language(text: str) -> str:
     if not score:
         return ""
     if not text.isascii():
+        written_with = set(text.lower())
         for k, letters in TELLING.items():
-            if k in score and any(c in letters for c in text.lower()):
+            if k in score and not written_with.isdisjoint(letters):
                 score[k] += 0.5
     best, *others = sorted(score, key=lambda k: (-score[k], k))
     return best if score[best] >= 2 and (not others or score[best] > score[others[0]]) and score[best] >= 0.2 * len(words) else ""
