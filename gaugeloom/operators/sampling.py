@@ -174,6 +174,28 @@ def draw_variable(targets: DataFrame, pool: DataFrame, k: int, num_correct: str,
     return _drawn(targets.where(F.col("coarse").isin(dims.COARSE_PARTS)), pool, wanted, item, f"option_{exclude}")
 
 
+def draw_multi(targets: DataFrame, pool: DataFrame, k: int, parts: str, hard_share: float, item: str, exclude: str) -> DataFrame:
+    """As ``draw_variable`` for items with several target parts (array column): one option of every target part, kind ``positive:<part>``.
+
+    Hard options are of other segments of a target's limb, cross ones of the other limb; none of
+    them is of a target part.
+    """
+    every = F.array(*[F.lit(c) for c in dims.COARSE_PARTS])
+    limb = lambda p: F.split_part(p, F.lit("_"), F.lit(1))
+    near = lambda p: F.exists(parts, lambda t: limb(t) == limb(p))
+    hard = F.filter(every, lambda p: ~F.array_contains(parts, p) & near(p))
+    cross = F.filter(every, lambda p: ~F.array_contains(parts, p) & ~near(p))
+
+    def wanted(available):
+        right = F.transform(parts, lambda p: F.struct(F.concat(F.lit("positive:"), p).alias("kind"), F.least(F.lit(1).cast("bigint"), available(F.array(p))).alias("k"), F.array(p).alias("parts")))
+        found = F.aggregate(right, F.lit(0).cast("bigint"), lambda a, x: a + x["k"])
+        n_hard = F.least(F.floor((k - found) * F.lit(hard_share)), available(hard))
+        others = F.array(F.struct(F.lit("hard").alias("kind"), n_hard.alias("k"), hard.alias("parts")), F.struct(F.lit("cross").alias("kind"), (k - found - n_hard).alias("k"), cross.alias("parts")))
+        return F.concat(right, others)
+
+    return _drawn(targets, pool, wanted, item, f"option_{exclude}")
+
+
 def drawn_num_correct(item: Column, zero_share: float, least: int, most: int) -> Column:
     """How many right options an item is to have: none for a share of the items, else a number in [max(1, least), most]."""
     low = max(1, least)

@@ -212,6 +212,9 @@ def _replicates(rows: DataFrame, key: Column, replicates: int, name: str) -> Dat
     return seeded.select(*rows.columns, F.inline(four)).where(F.col("rep") < replicates)
 
 
+PIECE = 65_536  # rows of equal value that are listed in one place
+
+
 def bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicates: int = 1000) -> DataFrame:
     """(by, rep, n, sums...): sums of columns over resampled rows, one row per replicate, drawn row by row.
 
@@ -220,11 +223,24 @@ def bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicate
     draw the same. Costs replicates x rows: ``multinomial_bootstrap_sums`` draws from the same
     distribution at replicates x distinct rows.
     """
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
     values = df.groupBy(*by, *sums).agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(w.orderBy(*sums))  # over distinct values, not rows
-    ranges = values.select(*by, *sums, (upto - F.col("_n")).alias("_from"), upto.alias("_to"), F.sum("_n").over(w).alias("_all"))
-    placed = ranges.withColumn("_slot", F.explode(F.sequence(F.col("_from"), F.col("_to") - 1))).drop("_from", "_to")
+    # Places in order of the sums: those of smaller first sums by ranges, those of equal first sums within them.
+    first, rest = sums[0], [F.col(c) for c in sums[1:]]
+    below = sums_below(values.groupBy(*by, first).agg(F.sum("_n").alias("_t")), first, "_t", by)
+    keys = [*by, first]
+    right = below.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_below")
+    inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*(rest or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    located = values.withColumn("_in", inside).join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])).withColumn("_from", F.col("_below") + F.col("_in"))
+    totals = values.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    if by:
+        totals = totals.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_all")
+        located = located.join(totals, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]))
+    else:
+        located = located.join(F.broadcast(totals))  # one row
+    # A value of many rows is cut into pieces, which are spread, before its places are listed.
+    pieces = located.select(*by, *sums, "_all", (F.col("_from") + F.col("_n")).alias("_to"), F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1, F.lit(PIECE).cast("bigint"))).alias("_start"))
+    pieces = pieces.repartition(shuffle_partitions(df.sparkSession), *by, "_start")
+    placed = pieces.select(*by, *sums, "_all", F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + PIECE, F.col("_to")) - 1)).alias("_slot"))
     slots = placed.select(*by, "_all", "_slot").repartition(shuffle_partitions(df.sparkSession), *by, "_slot")
     drawn = _replicates(slots, F.col("_slot"), replicates, "_r").select(*by, "rep", F.pmod("_r", "_all").alias("_slot"))
     targets = placed.drop("_all")

@@ -109,27 +109,53 @@ _OPTIONS, _HARD, _ZERO, _LEAST, _MOST = 8, 0.5, 0.2, 1, 4
 _VARIABLE_KINDS = [(c, kind, p, i) for c in dims.COARSE_PARTS for kind, parts in (("positive", [c]), ("hard", dims.hard_negatives(c)), ("cross", dims.cross_limb(c))) for i, p in enumerate(parts)]
 
 
-def _variable_sql() -> str:
-    hexes = lambda text, n: f"('0x' || substr(md5({text}), 1, {n}))::bigint"
+def _hex(text: str, n: int) -> str:
+    return f"('0x' || substr(md5({text}), 1, {n}))::bigint"
+
+
+def _draw_sql() -> str:
+    """From asked (item, kind, n, m): m different numbers of n for each item and kind as list f, the options they stand for, and their letters."""
     chain = "d0 as (select *, []::bigint[] as f from asked)"
     for i in range(1, _OPTIONS + 1):
         j = f"(n - m + {i - 1})"
-        t = f"({hexes(f'''item::varchar || ':' || kind || ':' || {j}::varchar''', 15)} % ({j} + 1))"
+        t = f"({_hex(f"item::varchar || ':' || kind || ':' || {j}::varchar", 15)} % ({j} + 1))"
         chain += f",\nd{i} as (select * exclude (f), case when m >= {i} then list_append(f, case when list_contains(f, {t}) then {j} else {t} end) else f end as f from d{i - 1})"
-    return f"""with pool as (select p_partkey as option_id, {dims.COARSE_PARTS}[p_size % 4 + 1] as option_coarse, p_partkey % 100 as option_source from part),
-tg as (select c_custkey as item, {dims.COARSE_PARTS}[c_custkey % 4 + 1] as coarse, c_custkey % 100 as source,
-  case when {hexes("c_custkey::varchar || ':none'", 8)} % 1000000 < {int(_ZERO * 1_000_000)} then 0 else {_LEAST} + {hexes("c_custkey::varchar || ':correct'", 8)} % {_MOST - _LEAST + 1} end as num_correct from customer),
-kinds(coarse, kind, option_coarse, part_no) as (values {', '.join(map(str, _VARIABLE_KINDS))}),
+    return chain + f""",
+q as (select met.* from met join d{_OPTIONS} using (item, kind) where list_contains(f, number)),
+l as (select *, chr((row_number() over (partition by item order by md5(item::varchar || ':' || option_id::varchar), option_id) + 64)::int) as letter from q)
+"""
+
+
+_LISTED = f"""with pool as (select p_partkey as option_id, {dims.COARSE_PARTS}[p_size % 4 + 1] as option_coarse, p_partkey % 100 as option_source from part),
 listed as (select *, row_number() over (partition by option_coarse order by substr(md5(option_source::varchar), 1, 2), option_source, md5(option_id::varchar), option_id) as place from pool),
+"""
+
+
+def _variable_sql() -> str:
+    return _LISTED + f"""tg as (select c_custkey as item, {dims.COARSE_PARTS}[c_custkey % 4 + 1] as coarse, c_custkey % 100 as source,
+  case when {_hex("c_custkey::varchar || ':none'", 8)} % 1000000 < {int(_ZERO * 1_000_000)} then 0 else {_LEAST} + {_hex("c_custkey::varchar || ':correct'", 8)} % {_MOST - _LEAST + 1} end as num_correct from customer),
+kinds(coarse, kind, option_coarse, part_no) as (values {', '.join(map(str, _VARIABLE_KINDS))}),
 met as (select item, kind, num_correct, option_id, option_coarse, tg.coarse, row_number() over (partition by item, kind order by part_no, place) - 1 as number, count(*) over (partition by item, kind) as n
   from tg join kinds using (coarse) join listed using (option_coarse) where option_source <> source),
 has as (select item, min(num_correct) as nc, coalesce(max(n) filter (kind = 'positive'), 0) as np, coalesce(max(n) filter (kind = 'hard'), 0) as nh, coalesce(max(n) filter (kind = 'cross'), 0) as nx from met group by 1),
 r1 as (select *, least(nc, np) as p from has), r2 as (select *, least(floor(({_OPTIONS} - p) * {_HARD})::bigint, nh) as h from r1), r3 as (select *, least({_OPTIONS} - p - h, nx) as x from r2),
 asked as (select item, 'positive' as kind, np as n, p as m from r3 union all select item, 'hard', nh, h from r3 union all select item, 'cross', nx, x from r3),
-{chain},
-q as (select met.* from met join d{_OPTIONS} using (item, kind) where list_contains(f, number)),
-l as (select item, option_id, option_coarse, coarse, kind, chr((row_number() over (partition by item order by md5(item::varchar || ':' || option_id::varchar), option_id) + 64)::int) as letter from q)
-"""
+""" + _draw_sql()
+
+
+_SEVERAL = f"list_sort(list_distinct([{dims.COARSE_PARTS}[c_custkey % 4 + 1], {dims.COARSE_PARTS}[(c_custkey // 4) % 4 + 1]]))"
+
+
+def _multi_sql() -> str:
+    return _LISTED + f"""tg as (select c_custkey as item, {_SEVERAL} as parts, c_custkey % 100 as source from customer),
+met as (select item, kind, parts, option_id, option_coarse, row_number() over (partition by item, kind order by list_position({dims.COARSE_PARTS}, option_coarse), place) - 1 as number, count(*) over (partition by item, kind) as n
+  from (select tg.item, parts, listed.*, case when list_contains(parts, option_coarse) then 'positive:' || option_coarse when list_contains(list_transform(parts, lambda p: split_part(p, '_', 1)), split_part(option_coarse, '_', 1)) then 'hard' else 'cross' end as kind
+    from tg join listed on option_source <> source)),
+kn as (select distinct item, kind, n from met),
+has as (select item, count(*) filter (starts_with(kind, 'positive')) as p, coalesce(max(n) filter (kind = 'hard'), 0) as nh, coalesce(max(n) filter (kind = 'cross'), 0) as nx from kn group by 1),
+r2 as (select *, least(floor(({_OPTIONS} - p) * {_HARD})::bigint, nh) as h from has), r3 as (select *, least({_OPTIONS} - p - h, nx) as x from r2),
+asked as (select item, kind, n, case kind when 'hard' then h when 'cross' then x else 1 end as m from kn join r3 using (item)),
+""" + _draw_sql()
 
 
 _VARIABLE = _variable_sql()
@@ -154,6 +180,24 @@ def variable_items(spark, d):
     return items.select("item", F.col("answer.correct_option_ids").alias("correct"), F.col("answer.mode").alias("mode"), F.size("options").alias("num_options"))
 
 
+_MULTI = _multi_sql()
+
+
+def _multi_targets(spark, d):
+    t = E._targets(spark, d)
+    other = F.element_at(F.array(*[F.lit(c) for c in dims.COARSE_PARTS]), (F.pmod(F.floor(F.col("item") / 4), F.lit(4)) + 1).cast("int"))
+    return t.select("item", "source", L.as_set(F.array("coarse", other)).alias("parts"))
+
+
+@query(_MULTI + """select item, list_sort(list(letter) filter (list_contains(parts, option_coarse))) as correct, any_value(parts) as parts, cast(count(*) as int) as num_options from l group by item having count(*) >= 2""")
+def multi_items(spark, d):
+    """Items with one right option for each of several target parts, and their answers."""
+    targets = _multi_targets(spark, d)
+    options = sampling.draw_multi(targets, E._pool(spark, d), _OPTIONS, "parts", _HARD, "item", "source")
+    items = construction.items_from_options(options, targets.select("item", F.explode("parts").alias("coarse")), "item")
+    return items.select("item", F.col("answer.correct_option_ids").alias("correct"), F.col("answer.target_coarse_parts").alias("parts"), F.size("options").alias("num_options"))
+
+
 _HISTOGRAMS = f"""with ranked as (select *, row_number() over (partition by {E._id('item_id')} order by loaded_at desc nulls last, item_row desc) as rn from benchmark_items where item_id is not null),
 it as (select options, answer from ranked where rn = 1)
 """

@@ -317,6 +317,19 @@ def test_bootstraps_have_a_thousand_replicates(spark, tmp_path):
     assert np.allclose((r["mean"], r["std"], r.ci_lower, r.ci_upper), want, atol=2e-9)
 
 
+def test_places_of_many_equal_rows_are_spread(spark):
+    """Values of far more rows than a piece, several sums, nulls and groups: every replicate draws as many rows as there are, as by hand."""
+    df = spark.range(200_000).selectExpr("cast(id % 4 > 0 as int) as hit", "id % 2 as odd")
+    reps = statistics.bootstrap_sums(df, ["hit", "odd"], replicates=3).collect()
+    assert [r.n for r in reps] == [200_000] * 3 and all(abs(r.hit - 150_000) < 1000 and abs(r.odd - 100_000) < 1200 for r in reps)
+    rows = [("g", 1, None), ("g", 1, 2), ("g", 0, 5), (None, 3, 1), (None, 3, 1)]
+    ordered = {g: sorted(((a, b) for h, a, b in rows if h == g), key=lambda p: (p[0], p[1] is not None, p[1] or 0)) for g in ("g", None)}
+    for r in statistics.bootstrap_sums(frame(spark, rows, "g string, a int, b int"), ["a", "b"], ["g"], replicates=6).collect():
+        n = len(ordered[r.g])
+        drawn_rows = [ordered[r.g][drawn(r.rep, s, n)] for s in range(n)]
+        assert (r.n, r.a) == (n, sum(a for a, _ in drawn_rows)) and (r.b or 0) == sum(b or 0 for _, b in drawn_rows)
+
+
 def test_registered_replicates(spark, monkeypatch):
     from gaugeloom.plans import evaluation
 
