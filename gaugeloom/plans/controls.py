@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from gaugeloom import dims, images
 from gaugeloom.functions import labels as L
 from gaugeloom.functions import text as X
-from gaugeloom.operators import construction, controls, reports, sampling, scoring, statistics
+from gaugeloom.operators import construction, controls, lookups, reports, sampling, scoring, statistics
 from gaugeloom.plans import evaluation as E
 from gaugeloom.runtime import clean_id, table
 
@@ -337,3 +337,32 @@ def grid_paths(spark, d):
     items = scoring.last_per_key(b, ["key"], ["loaded_at", "item_row"])
     own = F.when(F.col("options_grid.enabled"), F.col("options_grid.path"))
     return images.with_grids(items, images.grid_manifest(items, "key", "options", "grids"), "key", own).select("key", "grid_path")
+
+
+# ---- census of queries and options ---------------------------------------------------------------
+
+@query(E.ORACLE["evidence_queries"].replace("select task_name, image_id, group_id, cast(i - 1 as int)", "select task_name, coalesce(target_answer, 'labels') as answer, count(*) as n from (select task_name, image_id, group_id, cast(i - 1 as int)") + ") group by 1, 2")
+def task_counts(spark, d):
+    """How many evidence queries each task and answer has."""
+    return E.evidence_queries(spark, d).groupBy("task_name", F.coalesce("target_answer", F.lit("labels")).alias("answer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(E.ORACLE["evidence_queries"].replace("select task_name, image_id, group_id, cast(i - 1 as int)", "select image_id, arg_min(group_id, task_name) as group_id, list_sort(list_distinct(list(task_name))) as tasks from (select task_name, image_id, group_id, cast(i - 1 as int)") + ") group by 1")
+def image_tasks(spark, d):
+    """The tasks asked of every image, with its first group."""
+    return lookups.gathered(E.evidence_queries(spark, d), "image_id", ["group_id"], "task_name", ["task_name", "group_id"])
+
+
+@query(f"""with ranked as (select {E._id('item_id')} as key, *, row_number() over (partition by {E._id('item_id')} order by loaded_at desc nulls last, item_row desc) as rn from benchmark_items where item_id is not null),
+o as (select key, unnest(options) as o from ranked where rn = 1)
+select o.option_id as option_id, count(*) as n, count(distinct key) as items, bool_and(starts_with(key, 'compatibility_category')) as all_category from o where o is not null group by 1""")
+def option_census(spark, d):
+    """Option ids of current items: how often, in how many items, and whether in category items alone."""
+    rows = E.current_items(spark, d).select("key", F.explode("options").alias("o")).where("o is not null")
+    return rows.groupBy(F.col("o.option_id").alias("option_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("items"), F.bool_and(F.col("key").startswith("compatibility_category")).alias("all_category"))
+
+
+@query("""select event_id from events where event_type = 'purchase' order by md5('7:' || event_id::varchar), event_id limit 25""")
+def restricted_sample(spark, d):
+    """Twenty-five purchases in md5 order: the sample a trial run is asked for."""
+    return lookups.restricted(table(spark, d, "events").select("event_id", "event_type"), F.col("event_type") == "purchase", "event_id", 25, seed=7).select("event_id")

@@ -141,3 +141,33 @@ def test_grids_are_joined_to_their_items(spark):
     assert [tuple(r) for r in manifest.orderBy("item").collect()] == [("a:1", "grids/a_1.png", ["A"], ["x.png"]), ("b", "grids/b.png", None, None)]
     got = {r.item: r.grid_path for r in images.with_grids(items, manifest.where("item = 'b'"), "item", F.col("own")).collect()}
     assert got == {"a:1": "own.png", "b": "grids/b.png"} and images.with_grids(items, manifest.limit(0), "item").where("grid_path is null").count() == 2
+
+
+def test_lookups_fail_loudly(spark):
+    from gaugeloom.operators import lookups
+
+    df = frame(spark, [(1, "a", ["x"], None), (2, "a", [], 3), (3, "a", None, None)], "k int, v string, labels array<string>, n int")
+    assert lookups.point(df, "k", 2).first().n == 3 and lookups.probe(df, "k", 9).count() == 0
+    with pytest.raises(KeyError):
+        lookups.point(df, "k", 9)
+    assert lookups.only_value(df, "v") == "a"
+    for bad in ("k", "n"):
+        with pytest.raises(ValueError):
+            lookups.only_value(df, bad)
+    with pytest.raises(ValueError, match="not supported: z"):
+        lookups.unsupported(["x", "z", "z"], ["x", "y"])
+    lookups.unsupported([], ["x"])
+    assert [r.c for r in df.select(lookups.gold_count(F.col("n"), F.col("labels")).alias("c")).orderBy("c").collect()] == [0, 1, 3]
+    assert [r.s for r in df.orderBy("k").select(lookups.label_space(F.col("labels"), ["p", "q"]).alias("s")).collect()] == [["x"], ["p", "q"], ["p", "q"]]
+    names = frame(spark, [(" Attribution_x ",), ("compatibility_category",), (None,), ("presence",)], "v string")
+    assert [tuple(r) for r in names.select(lookups.is_attribution(F.col("v")), lookups.is_compatibility(F.col("v"))).collect()] == [(True, False), (False, True), (False, False), (False, False)]
+    assert [r.k for r in lookups.restricted(df, F.col("k") > 1, "k", 1).collect()] == [2] and lookups.restricted(df, F.lit(True), "k", 2, seed=1).count() == 2
+    rows = frame(spark, [(1, "t2", "late", 5), (1, "t1", "first", 1), (1, "t1", "x", 2), (2, "t1", "y", 1)], "k int, task string, path string, o int")
+    assert sorted(map(tuple, lookups.gathered(rows, "k", ["path"], "task", ["o"]).collect())) == [(1, "first", ["t1", "t2"]), (2, "y", ["t1"])]
+    p = df.select("*").withColumns(lookups.prediction_record(F.col("k"), F.col("v"), "m", None, L_array("b", "c"), F.col("k") == 1)).orderBy("k").collect()
+    assert p[0].choices == ["b", "c"] and p[0].prediction_labels is None and p[0].parser_status is None and p[0].answer_space_type == "constrained"
+    assert p[1].choices is None and p[1].prediction_labels == ["b", "c"] and p[1].unresolved_tokens == [] and p[1].answer_count_predicted == 2
+
+
+def L_array(*values):
+    return F.array(*[F.lit(v) for v in values])
