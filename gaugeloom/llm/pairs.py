@@ -153,6 +153,7 @@ WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 TOKEN = re.compile(r"[^\W_]+")
 WORD_GAP = re.compile(r"([^\W_]+(?:['’-][^\W_]+)*)((?:\W|_)*)")
 CLOSING = re.compile(r"[.!?…,;:)”»\"]")
+MARKS = re.compile(r"[,;:.!?/\n()\[\]|•]+")
 SENTENCE_GAP = re.compile(r"[.!?]\s|\n")
 OPEN = {"{": "}", "[": "]", "(": ")", "“": "”", "«": "»", "„": "“"}
 CLOSERS = {"}", "]", ")", "”", "»"}
@@ -322,14 +323,17 @@ def foreign(text: str, spoken: str, asked: str) -> bool:
     """The sentences are in another language than the prompt's.
 
     spoken and asked are as of ``language``. Sentences whose language is not known are foreign
-    if eight different words or more hold none of the closed classes of the prompt's language.
+    if eight different words or more hold none of the closed classes of the prompt's language,
+    and seven of them or more follow each other without a mark: lists of names are no sentences.
     """
     if spoken or not asked:
         return bool(asked) and spoken != asked
     if asked not in WORDS_OF:  # Latin letters under a prompt in another script: only words of a known language are sentences
         return False
     words = plain_words(text)
-    return len(set(words)) >= 8 and not any(w in WORDS_OF[asked] for w in words)
+    if len(set(words)) < 8 or any(w in WORDS_OF[asked] for w in words):
+        return False
+    return any(len(set(plain_words(part))) >= 7 for part in MARKS.split(text))
 
 
 def tile(a: list[str], b: list[str], least: int = 3) -> tuple[int, int]:

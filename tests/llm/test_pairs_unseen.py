@@ -81,6 +81,8 @@ def test_foreign_without_a_known_language():
     """Eight words without a single closed-class word of the prompt's language are another language."""
     text = "Mbwa analala chini ya meza na paka juu kiti"
     assert pairs.tongue(text) == "" and pairs.foreign(text, "", "en") and not pairs.foreign("Dog sleeps", "", "en") and not pairs.foreign(text, "", "")
+    for names in ("red car, blue bike, green bus, yellow tram, grey van", "steel\nwood\nglass\npaper\nstone\ncopper\nwool\nleather\nplastic", "A: hook (carbon), B: shell (foam), C: strap (nylon), D: blade (titanium)"):
+        assert not pairs.foreign(names, pairs.tongue(names), "en")
     assert pairs.foreign("犬は寝ています", "kana", "cyrillic") and not pairs.foreign("x", "en", "en")
 
 
