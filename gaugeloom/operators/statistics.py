@@ -7,15 +7,16 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gaugeloom.functions import labels as L
+from gaugeloom.functions.md5 import numbered
 from gaugeloom.runtime import shuffle_partitions
 
-BROADCAST_ROWS = 300_000  # rows of a few numbers each that may be broadcast
 RANGES = 256  # ranges of values that prefix sums and pair counts are split into
 
 
@@ -212,18 +213,26 @@ def _replicates(rows: DataFrame, key: Column, replicates: int, name: str) -> Dat
     return seeded.select(*rows.columns, F.inline(four)).where(F.col("rep") < replicates)
 
 
-PIECE = 65_536  # rows of equal value that are listed in one place
+SLOTS = 65_536  # slots that draw together, at most
+RUNS = 32  # runs of slots at least, so that small tables keep all cores busy
+TABLE = 2_000_000  # distinct rows that a task looks places up in
+BUCKETS = 16_384  # of equal width, by which most places are looked up
 
 
-def bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicates: int = 1000) -> DataFrame:
+def bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicates: int = 1000, weight: str | None = None) -> DataFrame:
     """(by, rep, n, sums...): sums of columns over resampled rows, one row per replicate, drawn row by row.
 
     Equal rows are counted first and then take a range of places each; every place is also a
     slot that draws, per replicate, a place by md5 of (replicate, slot), so that other engines
     draw the same. Costs replicates x rows: ``multinomial_bootstrap_sums`` draws from the same
-    distribution at replicates x distinct rows.
+    distribution at replicates x distinct rows. A task draws for a run of slots and looks the
+    places up in the distinct rows itself, so that only sums per replicate leave it. Of more
+    than ``TABLE`` distinct rows, tasks hold those of as many places at most, and every such part is
+    drawn for by all slots. Decimals are summed as doubles.
+
+    weight: how often each row of df is there; else once.
     """
-    values = df.groupBy(*by, *sums).agg(F.count(F.lit(1)).alias("_n"))
+    values = df.groupBy(*by, *sums).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
     # Places in order of the sums: those of smaller first sums by ranges, those of equal first sums within them.
     first, rest = sums[0], [F.col(c) for c in sums[1:]]
     below = sums_below(values.groupBy(*by, first).agg(F.sum("_n").alias("_t")), first, "_t", by)
@@ -231,23 +240,78 @@ def bootstrap_sums(df: DataFrame, sums: list[str], by: list[str] = (), replicate
     right = below.select(*[F.col(c).alias(f"_k_{c}") for c in keys], "_below")
     inside = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(*(rest or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     located = values.withColumn("_in", inside).join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])).withColumn("_from", F.col("_below") + F.col("_in"))
-    totals = values.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    totals = values.groupBy(*by).agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_rows"))
     if by:
-        totals = totals.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_all")
+        totals = totals.select(*[F.col(c).alias(f"_g_{c}") for c in by], "_all", "_rows")
         located = located.join(totals, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]))
     else:
         located = located.join(F.broadcast(totals))  # one row
-    # A value of many rows is cut into pieces, which are spread, before its places are listed.
-    pieces = located.select(*by, *sums, "_all", (F.col("_from") + F.col("_n")).alias("_to"), F.explode(F.sequence(F.col("_from"), F.col("_from") + F.col("_n") - 1, F.lit(PIECE).cast("bigint"))).alias("_start"))
-    pieces = pieces.repartition(shuffle_partitions(df.sparkSession), *by, "_start")
-    placed = pieces.select(*by, *sums, "_all", F.explode(F.sequence(F.col("_start"), F.least(F.col("_start") + PIECE, F.col("_to")) - 1)).alias("_slot"))
-    slots = placed.select(*by, "_all", "_slot").repartition(shuffle_partitions(df.sparkSession), *by, "_slot")
-    drawn = _replicates(slots, F.col("_slot"), replicates, "_r").select(*by, "rep", F.pmod("_r", "_all").alias("_slot"))
-    targets = placed.drop("_all")
-    if df.count() <= BROADCAST_ROWS:
-        targets = F.broadcast(targets)
-    hit = drawn.join(targets, [*by, "_slot"])
-    return hit.groupBy(*by, "rep").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums])
+    # Every run of slots gets the distinct rows, or each part of them. A run is no shorter than these are many, so a part is repeated to no more rows than there are places.
+    whole = [isinstance(df.schema[c].dataType, T.IntegralType) for c in sums]
+    located = located.withColumns({"_part": F.when(F.col("_rows") <= TABLE, F.lit(0)).otherwise(F.floor(F.col("_from") / TABLE)).cast("bigint"), "_run": F.greatest(F.least(F.lit(SLOTS), F.ceil(F.col("_all") / RUNS)), F.least("_rows", F.lit(TABLE))).cast("bigint")})
+    numbers = [F.coalesce(F.col(c).cast("bigint" if w else "double"), F.lit(0)).alias(f"_v{j}") for j, (c, w) in enumerate(zip(sums, whole))]
+    repeated = located.select(*by, "_all", "_part", "_run", "_from", "_n", *numbers, *[F.col(c).isNotNull().cast("bigint").alias(f"_p{j}") for j, c in enumerate(sums)], F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_all") - 1) / F.col("_run")))).alias("_at"))
+    session = df.sparkSession
+    tasks = 4 * max(shuffle_partitions(session), session.sparkContext.defaultParallelism)
+    counts = ["n", *[f"_p{j}" for j in range(len(sums))]]
+    names = [[*counts, *[f"_v{j}" for j, w in enumerate(whole) if w]], [f"_v{j}" for j, w in enumerate(whole) if not w]]
+    fields = [T.StructField(c, df.schema[c].dataType) for c in by] + [T.StructField("rep", T.IntegerType())] + [T.StructField(c, kind()) for cs, kind in zip(names, (T.LongType, T.DoubleType)) for c in cs]
+
+    def draw(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_from")
+        held = {c: rows.column(c).to_numpy() for c in rows.column_names if c[0] == "_"} | {"n": np.ones(rows.num_rows, np.int64)}
+        n, run, at = (int(held[c][0]) for c in ("_all", "_run", "_at"))
+        drawn = place_sums(held["_from"], int(held["_from"][-1] + held["_n"][-1]), [[held[c] for c in cs] for cs in names], n, at * run, min(n, (at + 1) * run), replicates)
+        columns = [rows.column(c).take(pa.array([0] * replicates)) for c in by] + [pa.array(range(replicates), pa.int32())]
+        for sums_of, kind in zip(drawn, (pa.int64(), pa.float64())):
+            columns += [pa.array(sums_of[:, j].tolist(), kind) for j in range(sums_of.shape[1])]
+        return pa.table(columns, [f.name for f in fields])
+
+    drawn = repeated.repartition(tasks, *by, "_part", "_at").groupBy(*by, "_part", "_at").applyInArrow(draw, T.StructType(fields))
+    return drawn.groupBy(*by, "rep").agg(F.sum("n").alias("n"), *[F.when(F.sum(f"_p{j}") > 0, F.sum(f"_v{j}")).alias(c) for j, c in enumerate(sums)])
+
+
+def place_sums(starts: np.ndarray, end: int, columns: list[list[np.ndarray]], n: int, first: int, last: int, replicates: int) -> list[np.ndarray]:
+    """Per replicate, the sums of columns over the rows whose places the slots from first to last - 1 draw, of n places.
+
+    A row's places begin at its entry in starts, which rise, and go up to the next row's, at last to end; other places count nothing.
+    columns: lists of columns of whole numbers and of doubles; each gives an array of replicates x its columns.
+    """
+    limits = np.concatenate(([0], starts, [end]))
+    tables = []
+    for cs, kind in zip(columns, (np.int64, np.float64)):
+        t = np.zeros((len(limits), len(cs)), kind)
+        for j, c in enumerate(cs):
+            t[1:-1, j] = c
+        if kind is np.int64 and max(int(t.max()), -int(t.min())) * (last - first) >= 1 << 63:
+            t = t.astype(object)
+        tables.append(t)
+    totals = [np.zeros((replicates, t.shape[1]), t.dtype) for t in tables]
+    # The numbers drawn are below 2^32. A place whose bucket lies within one row's places is looked up there, another by search.
+    width = max(0, (min(n, 1 << 32) - 1).bit_length() - (BUCKETS - 1).bit_length())
+    edges = np.arange(((min(n, 1 << 32) - 1) >> width) + 1, dtype=np.int64) << width
+    row = np.searchsorted(limits, edges, "right") - 1
+    row[row != np.searchsorted(limits, edges + ((1 << width) - 1), "right") - 1] = -1
+    for start in range(first, last, SLOTS):
+        for prefixes, parts in numbered([f"{q}:" for q in range((replicates + 3) // 4)], start, min(last, start + SLOTS)):
+            for k, places in enumerate(parts):
+                if n < 1 << 32:
+                    places -= places // np.uint32(n) * np.uint32(n)
+                found = row.take(places.ravel() >> np.uint32(width))
+                mixed = np.flatnonzero(found < 0)
+                found[mixed] = np.searchsorted(limits, places.ravel()[mixed].astype(np.int64), "right") - 1
+                for prefix, drawn in zip(prefixes, found.reshape(places.shape)):
+                    if (rep := 4 * int(prefix[:-1]) + k) >= replicates:
+                        break
+                    if len(limits) <= len(drawn):
+                        times = np.bincount(drawn, minlength=len(limits))
+                        drawn = np.flatnonzero(times)
+                        for t, total in zip(tables, totals):
+                            total[rep] += times[drawn] @ t[drawn]
+                    else:
+                        for t, total in zip(tables, totals):
+                            total[rep] += t[drawn].sum(0)
+    return totals
 
 
 CELLS = 1024  # cells that distinct rows are hashed into, each drawn from on its own

@@ -330,6 +330,79 @@ def test_places_of_many_equal_rows_are_spread(spark):
         assert (r.n, r.a) == (n, sum(a for a, _ in drawn_rows)) and (r.b or 0) == sum(b or 0 for _, b in drawn_rows)
 
 
+def test_places_are_not_sent_to_the_driver(spark):
+    """bootstrap_micro_f1 broadcast a place per row, as its size was not known to the planner: a broadcast holds no more than the distinct rows."""
+    df = spark.range(400_000).selectExpr("cast(id % 5 as int) as v", "cast(id % 3 as int) as w")
+    reps = statistics.bootstrap_sums(df, ["v", "w"], replicates=2)
+    assert [r.n for r in reps.collect()] == [400_000] * 2
+    sent, todo = [], [reps._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind == "BroadcastQueryStageExec":
+            todo.append(node.plan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif kind == "BroadcastExchangeExec":
+            sent.append(node.metrics().apply("numOutputRows").value())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    assert sent and max(sent) <= 15
+
+
+def test_draws_for_many_distinct_rows(spark, monkeypatch):
+    """Distinct rows that are held in parts, more of them than slots that draw together, weights, fractions and nulls: every replicate as by hand."""
+    monkeypatch.setattr(statistics, "TABLE", 40)
+    monkeypatch.setattr(statistics, "SLOTS", 16)
+    rng = random.Random(6)
+    rows = [(rng.randrange(-2, 3) << 50, rng.choice([None, 0.5, float(i), i / 8]), rng.choice([1, 1, 4])) for i in range(150)]
+    ordered = sorted(((a, b) for a, b, w in rows for _ in range(w)), key=lambda p: (p[0], p[1] is not None, p[1] or 0))
+    n = len(ordered)
+    assert n > 200 and len(set(ordered)) >= 2 * 40
+    reps = statistics.bootstrap_sums(frame(spark, rows, "a bigint, b double, w int"), ["a", "b"], replicates=7, weight="w").collect()
+    assert sorted(r.rep for r in reps) == list(range(7))
+    for r in reps:
+        mine = [ordered[drawn(r.rep, s, n)] for s in range(n)]
+        assert (r.n, r.a) == (n, sum(a for a, _ in mine)) and abs(r.b - sum(b or 0 for _, b in mine)) < 1e-6
+    nothing = statistics.bootstrap_sums(frame(spark, [(1, None)] * 3, "a int, b double"), ["a", "b"], replicates=2).collect()
+    assert [(r.n, r.a, r.b) for r in nothing] == [(3, 3, None)] * 2
+    assert statistics.bootstrap_sums(frame(spark, [], "a int"), ["a"], replicates=2).collect() == []
+
+
+def test_draws_from_more_places_than_numbers():
+    """More places than 2^32, and places of another part: numbers are places as they are, other places count nothing."""
+    import numpy as np
+
+    n, rows = 6_000_000_000, 50
+    starts = np.linspace(1 << 30, 5_000_000_000, rows).astype(np.int64)
+    values = np.arange(rows) * 10
+    (whole, _) = statistics.place_sums(starts, 5_500_000_000, [[np.ones(rows, np.int64), values], []], n, 99_990, 100_040, 6)
+    for rep in range(6):
+        at = np.array([drawn(rep, s, n) for s in range(99_990, 100_040)])
+        at = at[at >= starts[0]]
+        assert whole[rep].tolist() == [len(at), int(values[np.searchsorted(starts, at, "right") - 1].sum())]
+    (whole, _) = statistics.place_sums(np.array([0, 1]), 2, [[np.array([1 << 62, -(1 << 62)])], []], 2, 0, 30, 4)
+    assert whole[:, 0].tolist() == [sum((1, -1)[drawn(rep, s, 2)] << 62 for s in range(30)) for rep in range(4)]
+
+
+def test_md5_of_numbered_texts():
+    import hashlib
+
+    from gaugeloom.functions.md5 import numbered
+
+    prefixes = ["0:", "9:", "10:", "249:", "2500:", "12345:", "999999999:"]
+    for first, last in ((0, 12), (9_998, 10_003), (1 << 40, (1 << 40) + 3)):
+        at = {p: first for p in prefixes}
+        for some, parts in numbered(prefixes, first, last):
+            for i, p in enumerate(some):
+                for j in range(parts[0].shape[1]):
+                    assert b"".join(int(x[i, j]).to_bytes(4) for x in parts).hex() == hashlib.md5(f"{p}{at[p] + j}".encode()).hexdigest()
+                at[p] += parts[0].shape[1]
+        assert set(at.values()) == {last}
+
+
 def test_registered_replicates(spark, monkeypatch):
     from gaugeloom.plans import evaluation
 
